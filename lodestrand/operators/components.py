@@ -1,0 +1,99 @@
+"""Groups of records linked directly or through others."""
+
+from __future__ import annotations
+
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..session import stored
+from .skew import skew_join
+
+#: Edges that one task merges at most.
+PARTITION_EDGES = 500_000
+
+
+def union_find(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Vertices of the edges and the smallest vertex of each one's component."""
+    names, ends = np.unique(np.concatenate([u, v]), return_inverse=True)
+    a, b = ends[: len(u)], ends[len(u) :]
+    root = np.arange(len(names))
+    while len(a):
+        np.minimum.at(root, np.maximum(root[a], root[b]), np.minimum(root[a], root[b]))
+        while (up := root[root]).tobytes() != root.tobytes():
+            root = up
+        apart = root[a] != root[b]
+        a, b = a[apart], b[apart]
+    return names, names[root]
+
+
+def _local_forest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    parts = list(batches)
+    if not parts:
+        return
+    edges = pd.concat(parts)
+    names, roots = union_find(edges["u"].to_numpy(), edges["v"].to_numpy())
+    yield pd.DataFrame({"vertex": names, "root": roots})
+
+
+def connected_components(edges: DataFrame, u: str = "u", v: str = "v", partition_edges: int = PARTITION_EDGES) -> DataFrame:
+    """(vertex, group) for every vertex with an edge to another one; group is its component's smallest vertex.
+
+    Ends are bigint. Edges with a null end and loops are ignored, repeats and direction do not
+    matter, other columns are not read; an empty table gives an empty result.
+
+    Each round, tasks of at most ``partition_edges`` edges run union-find and keep only a spanning
+    forest (each vertex with its smallest known relative, a root with itself). A vertex met in
+    several tasks takes the smallest of these as its parent, parents are followed once more, and
+    what still lies between different parents is the next, smaller set of edges. Once a round fits
+    one bounded task its forest is final; labels then pass back down the rounds. No task and no
+    driver holds the graph.
+    """
+    links = (
+        edges.select(F.col(u).cast("bigint").alias("a"), F.col(v).cast("bigint").alias("b"))
+        .filter("a <> b")
+        .select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v"))
+        .distinct()
+    )
+    links = stored(links, "links")
+    rounds: list[DataFrame] = []
+    while True:
+        tasks = max(1, math.ceil(links.count() / partition_edges))
+        forest = links.repartition(tasks, "u", "v").mapInPandas(_local_forest, "vertex bigint, root bigint")
+        if tasks == 1:
+            labels = forest.withColumnRenamed("root", "group")
+            break
+        forest = stored(forest, "forest")
+        first = forest.groupBy("vertex").agg(F.min("root").alias("parent"))
+        above = first.select(F.col("vertex").alias("parent"), F.col("parent").alias("grand"))
+        parents = stored(skew_join(first, above, ["parent"]).select("vertex", F.col("grand").alias("parent")), "parents")
+        rounds.append(parents)
+        of_root = parents.select(F.col("vertex").alias("root"), F.col("parent").alias("b"))
+        between = forest.join(parents, "vertex").select("root", F.col("parent").alias("a"))
+        links = stored(
+            skew_join(between, of_root, ["root"])
+            .filter("a <> b")
+            .select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v"))
+            .distinct(),
+            "links",
+        )
+    for parents in reversed(rounds):
+        # A parent without a link to another one is its component's smallest vertex.
+        upper = labels.select(F.col("vertex").alias("parent"), "group")
+        labels = skew_join(parents, upper, ["parent"], "left").select("vertex", F.coalesce("group", "parent").alias("group"))
+    return labels
+
+
+def kinship_links(edges: DataFrame, samples: DataFrame) -> DataFrame:
+    """Edges (u, v) that link two different listed samples with a finite value other than zero."""
+    listed = samples.select("sample_index").dropna().distinct()
+    value = F.col("edge_values")
+    good = edges.filter(value.isNotNull() & ~F.isnan(value) & (F.abs(value) < float("inf")) & (value != 0) & (F.col("edge_rows") != F.col("edge_cols")))
+    pairs = good.select(F.col("edge_rows").alias("u"), F.col("edge_cols").alias("v"))
+    for end in ("u", "v"):
+        pairs = skew_join(pairs, listed.withColumnRenamed("sample_index", end), [end], "left_semi")
+    return pairs
