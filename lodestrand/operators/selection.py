@@ -44,8 +44,9 @@ def select_ranks(rows: DataFrame, keys: Sequence[str], value: str, ranks: DataFr
 def _refine(data: DataFrame, keys: list[str], state: DataFrame, bins: int) -> DataFrame:
     open_ = state.filter("_lo < _hi")
     intervals = open_.select(*keys, "_lo", "_hi").distinct()
-    width = (F.col("_hi") - F.col("_lo")).cast("double") / F.lit(bins)
-    place = F.floor((F.col("_v") - F.col("_lo")).cast("double") / width)
+    above = lambda c: F.coalesce(F.try_subtract(F.col(c), F.col("_lo")).cast("double"), F.col(c).cast("double") - F.col("_lo").cast("double"))
+    width = above("_hi") / F.lit(bins)
+    place = F.floor(above("_v") / width)
     # An interval too narrow or too wide for doubles is split into its lower end and the rest.
     usable = (width > 0) & (width < F.lit(float("inf")))
     cell = F.when(usable, F.least(place, F.lit(bins - 1))).otherwise(F.when(F.col("_v") > F.col("_lo"), 1).otherwise(0))

@@ -1,0 +1,54 @@
+import random
+
+import numpy as np
+import pytest
+
+from lodestrand.operators import components
+
+
+def brute(edges):
+    label = {x: x for e in edges for x in e}
+    changed = True
+    while changed:
+        changed = False
+        for a, b in edges:
+            low = min(label[a], label[b])
+            if label[a] != low or label[b] != low:
+                label[a] = label[b] = low
+                changed = True
+    return label
+
+
+def shapes():
+    rng = random.Random(4)
+    chain = [(i, i + 1) for i in range(200)]
+    down = [(900 - i, 899 - i) for i in range(150)]
+    star = [(5_000, 2_000 + i) for i in range(300)]
+    noise = [(rng.randrange(10_000, 10_400), rng.randrange(10_000, 10_400)) for _ in range(260)]
+    edges = chain + down + star + [e for e in noise if e[0] != e[1]] + chain[:20]
+    rng.shuffle(edges)
+    return edges
+
+
+@pytest.mark.parametrize("partition_edges", [37, 100_000])
+def test_components_against_brute_force(spark, partition_edges):
+    edges = shapes()
+    df = spark.createDataFrame([(a, b, "x") for a, b in edges] + [(1, 1, "loop"), (None, 3, "x"), (77_777, None, "x"), (88_888, 88_888, "loop")], "u bigint, v bigint, vertex string")
+    got = [tuple(r) for r in components.connected_components(df, partition_edges=partition_edges).collect()]
+    assert len(got) == len(dict(got)) and dict(got) == brute(edges)
+
+
+def test_empty_edges(spark):
+    assert components.connected_components(spark.createDataFrame([], "u bigint, v bigint")).collect() == []
+
+
+def test_union_find_kernel():
+    names, roots = components.union_find(np.array([3, 9, 4]), np.array([9, 7, 5]))
+    assert dict(zip(names.tolist(), roots.tolist(), strict=True)) == {3: 3, 9: 3, 7: 3, 4: 4, 5: 4}
+
+
+def test_kinship_links(spark):
+    samples = spark.createDataFrame([(1, None), (2, "x"), (2, "x"), (3, "y"), (None, "z")], "sample_index bigint, sample_id string")
+    rows = [(1, 2, 0.5), (2, 1, -0.1), (1, 3, float("nan")), (1, 3, float("inf")), (2, 3, 0.0), (2, 3, None), (3, 3, 1.0), (1, 9, 1.0), (None, 1, 1.0)]
+    edges = spark.createDataFrame(rows, "edge_rows bigint, edge_cols bigint, edge_values double")
+    assert sorted(map(tuple, components.kinship_links(edges, samples).collect())) == [(1, 2), (2, 1)]
