@@ -37,7 +37,7 @@ MIN_DOCS = 3
 RIDGE_COMMON, RIDGE_OWN = 1e-2, 1.0
 THRESHOLD = 0.5
 
-_WORD = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[^\W\d_a-zA-Z]+")
+_WORD = re.compile(r"[A-Z]+(?![^\W\d_A-Z])|[A-Z]?[^\W\d_A-Z]+")
 
 
 def words(text: str) -> list[str]:
