@@ -10,8 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _CHECKPOINT_SETTING = "spark.checkpoint.dir"
-#: Rows up to which a side is broadcast; at under 200 bytes a row this stays below 40 MB.
-BROADCAST_ROWS = 200_000
+#: Rows up to which a side is broadcast; at under 400 bytes a row this stays below 40 MB.
+BROADCAST_ROWS = 100_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
