@@ -61,7 +61,7 @@ def frequencies(counts: DataFrame) -> DataFrame:
         counts.withColumn("ref_af", ref_af)
         .withColumn("missing_rate", missing_rate)
         .withColumn("alt_ac", F.when(F.col("called") > 0, alt_ac))
-        .withColumn("initial_mac", F.least("alt_ac", F.col("ref_ac").cast("double")))
+        .withColumn("initial_mac", F.when(F.col("called") > 0, F.least("alt_ac", F.col("ref_ac").cast("double"))))
         .withColumn("alt_af", 1 - F.col("ref_af"))
         .withColumn("maf", F.least("ref_af", "alt_af"))
         .withColumn("counts_alt", F.col("ref_af") >= 0.5)

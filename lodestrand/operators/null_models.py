@@ -105,9 +105,8 @@ def fit_logistic(design: DataFrame, p: int, rounds: int = 100, tolerance: float
             settled = t in loss and abs(r["loss"] - loss[t]) < tolerance * (0.05 + abs(r["loss"]))
             if r["loss"] < 1e-6 * r["n"]:
                 raise ValueError(f"{t} is separated by its covariates")
-            if settled:
+            if settled:  # the step that is left refines the estimate once more
                 open_traits.discard(t)
-                continue
             step = np.linalg.solve(_square(r["xtx"], p), np.array(r["xty"]))
             if t in loss and r["loss"] > loss[t] + 1e-10 and t in state:
                 step = (step + state[t]) / 2
