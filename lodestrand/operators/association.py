@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.numerics import log_ndtr
-from ..session import broadcast_if_small
+from ..session import broadcast_if_small, stored
 from .genotypes import LACKS_CALLED, LACKS_REFERENCE, by_state, frequencies, is_missing, trait_maf
 from .null_models import NullModel
 
@@ -30,7 +30,7 @@ def variant_sums(calls: DataFrame, null: NullModel) -> DataFrame:
     The minor dosage of a sample is base + sign * stored dosage, and fill for missing dosages.
     """
     p = null.p
-    weights = ["resid", "w", *(f"wx{i}" for i in range(p))]
+    weights = ["resid", "w", "w1", *(f"wx{i}" for i in range(p))]
     d = F.when(is_missing(), 0.0).otherwise(F.col("state").cast("double"))
     sums = []
     for c in weights:
@@ -69,17 +69,23 @@ def quadratic(vector: Column, cov: Column, p: int) -> Column:
     return F.aggregate(terms, F.lit(0.0), lambda a, b: a + b)
 
 
-def scores(sums: DataFrame, p: int, imputation: str = "mean") -> DataFrame:
-    """Adds score (U), cross (C) and variance (V) to ``variant_sums``."""
-    rows = oriented(sums, imputation)
-    base, sign, fill = F.col("base"), F.col("sign"), F.col("fill")
-    squares = base * base * F.col("w0") + 2 * base * sign * F.col("d_w") + F.col("dd_w") + (fill * fill - base * base) * F.col("m_w")
+def scores(calls: DataFrame, null: NullModel, imputation: str = "mean") -> DataFrame:
+    """``variant_sums`` with score (U), cross (C), e_w1 and variance (V), as a stored table."""
+    p = null.p
+    rows = oriented(variant_sums(calls, null), imputation)
+    base, off = F.col("base"), F.col("fill") - F.col("base")
+    squares = base * base * F.col("w0") + 2 * base * F.col("e_w1") + F.col("dd_w") + off * off * F.col("m_w") + F.col("between")
     cross = F.array(*(base * F.col("xw0")[i] + stored_sum(f"wx{i}") for i in range(p)))
-    return (
-        rows.withColumn("score", base * F.col("r0") + stored_sum("resid"))
-        .withColumn("cross", cross)
-        .withColumn("variance", squares - quadratic(F.col("cross"), F.col("cov"), p))
-    )
+    rows = rows.withColumn("score", base * F.col("r0") + stored_sum("resid")).withColumn("cross", cross).withColumn("e_w1", stored_sum("w1"))
+    if null.pairs is None:
+        rows = rows.withColumn("between", F.lit(0.0))
+    else:
+        rows = stored(rows, "scores")
+        cells = oriented_cells(calls, null, rows)
+        own = related(cells, null).join(cells.select("trait", "variant_idx", "sample_idx", F.col("e").alias("e2")), ["trait", "variant_idx", "sample_idx"])
+        between = own.groupBy("trait", "variant_idx").agg(F.sum(F.col("we") * F.col("e2")).alias("between"))
+        rows = rows.join(between, ["trait", "variant_idx"], "left").fillna({"between": 0.0})
+    return stored(rows.withColumn("variance", squares - quadratic(F.col("cross"), F.col("cov"), p)), "scores")
 
 
 @F.pandas_udf(T.DoubleType())
@@ -94,7 +100,7 @@ def single_variant(calls: DataFrame, null: NullModel, variants: DataFrame, mac_c
     variants in position order; results sort by trait, pos, ordinal div chunk, commonness,
     extraction group and variant. P is 1 where the variance is not positive.
     """
-    kept = scores(variant_sums(calls, null), null.p, imputation).filter(F.col("initial_mac") >= mac_cutoff).filter("maf > 0 and maf < 1")
+    kept = scores(calls, null, imputation).filter(F.col("initial_mac") >= mac_cutoff).filter("maf > 0 and maf < 1")
     rows = kept.join(variants.select("variant_idx", "chrom", "pos", "ref", "alt"), "variant_idx")
     positive = F.col("variance") > 0
     rows = rows.withColumn("score_se", F.when(F.col("variance") >= 0, F.sqrt("variance")))
@@ -132,13 +138,25 @@ def oriented_cells(calls: DataFrame, null: NullModel, orientation: DataFrame) ->
     return cells.select("trait", "variant_idx", "sample_idx", e.alias("e"), "w").filter("e <> 0")
 
 
-def covariance_pairs(cells: DataFrame, members: DataFrame) -> DataFrame:
-    """trait, gene_name, v1 <= v2, pair_sum: sums of w e1 e2 over shared samples, for variants of the same gene.
+def related(cells: DataFrame, null: NullModel) -> DataFrame:
+    """trait, variant_idx, sample_idx, we: products of e with the precision entries between different samples."""
+    spread = cells.select("trait", "variant_idx", F.col("sample_idx").alias("i"), "e").join(null.pairs, ["trait", "i"])
+    return spread.groupBy("trait", "variant_idx", F.col("j").alias("sample_idx")).agg(F.sum(F.col("e") * F.col("value")).alias("we"))
+
+
+def weighted_cells(cells: DataFrame, null: NullModel) -> DataFrame:
+    """trait, variant_idx, sample_idx, we: e times the whole precision matrix."""
+    own = cells.select("trait", "variant_idx", "sample_idx", (F.col("w") * F.col("e")).alias("we"))
+    return own if null.pairs is None else own.unionByName(related(cells, null))
+
+
+def covariance_pairs(cells: DataFrame, members: DataFrame, null: NullModel) -> DataFrame:
+    """trait, gene_name, v1 <= v2, pair_sum: products of e under the precision matrix, for variants of the same gene.
 
     Samples carry few rare variants of one gene, so the self-join on (trait, gene, sample) stays small.
     """
-    placed = cells.join(members.select("gene_name", "variant_idx").distinct(), "variant_idx")
-    left = placed.select("trait", "gene_name", "sample_idx", F.col("variant_idx").alias("v1"), (F.col("w") * F.col("e")).alias("we"))
-    right = placed.select("trait", "gene_name", "sample_idx", F.col("variant_idx").alias("v2"), F.col("e").alias("e2"))
+    genes = members.select("gene_name", "variant_idx").distinct()
+    left = weighted_cells(cells, null).join(genes, "variant_idx").select("trait", "gene_name", "sample_idx", F.col("variant_idx").alias("v1"), "we")
+    right = cells.join(genes, "variant_idx").select("trait", "gene_name", "sample_idx", F.col("variant_idx").alias("v2"), F.col("e").alias("e2"))
     pairs = left.join(right, ["trait", "gene_name", "sample_idx"]).filter("v1 <= v2")
     return pairs.groupBy("trait", "gene_name", "v1", "v2").agg(F.sum(F.col("we") * F.col("e2")).alias("pair_sum"))

@@ -21,14 +21,20 @@ from .ranking import inverse_normal
 
 @dataclass
 class NullModel:
-    """``samples``: trait, sample_idx, resid, w, mu, x*, wx*; ``models``: trait, family, n, beta, cov, sigma2, r0, w0, xw0."""
+    """``samples``: trait, sample_idx, resid, w, w1, mu, x*, wx*; ``models``: trait, family, n, beta, cov, sigma2, r0, w0, xw0.
+
+    With a precision matrix S of the samples, w is its diagonal, w1 its row sums, wx its product with
+    the design, and ``pairs`` (trait, i, j, value) its other entries; independent samples have none.
+    """
 
     samples: DataFrame
     models: DataFrame
     p: int
+    pairs: DataFrame | None = None
 
     def union(self, other: NullModel) -> NullModel:
-        return NullModel(self.samples.unionByName(other.samples), self.models.unionByName(other.models), self.p)
+        pairs = self.pairs if other.pairs is None else other.pairs if self.pairs is None else self.pairs.unionByName(other.pairs)
+        return NullModel(self.samples.unionByName(other.samples), self.models.drop("tau").unionByName(other.models.drop("tau")), self.p, pairs)
 
 
 def _x(p: int) -> list[str]:
@@ -133,7 +139,7 @@ def _inverses(sums: DataFrame, p: int) -> DataFrame:
 
 
 def _sample_columns(rows: DataFrame, p: int) -> DataFrame:
-    return rows.select("trait", "sample_idx", "resid", "w", "mu", *_x(p), *((F.col("w") * F.col(f"x{i}")).alias(f"wx{i}") for i in range(p)))
+    return rows.select("trait", "sample_idx", "resid", "w", F.col("w").alias("w1"), "mu", *_x(p), *((F.col("w") * F.col(f"x{i}")).alias(f"wx{i}") for i in range(p)))
 
 
 def _with_sums(models: DataFrame, samples: DataFrame, p: int) -> DataFrame:

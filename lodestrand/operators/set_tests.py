@@ -20,7 +20,7 @@ from ..functions import numerics
 from ..functions.combine import cauchy, cauchy_spa
 from ..session import small, stored
 from .annotations import association_weights
-from .association import covariance_pairs, oriented_cells, quadratic, scores, stored_sum, variant_sums
+from .association import covariance_pairs, oriented_cells, quadratic, scores, weighted_cells
 from .genotypes import cumulative_mac
 from .null_models import NullModel
 
@@ -104,18 +104,18 @@ def set_tests(calls: DataFrame, null: NullModel, variants: DataFrame, members: D
     whose entries ``names`` name. Masks with fewer than ``at_least`` rare variants give no rows.
     """
     p_design = null.p
-    scored = stored(scores(variant_sums(calls, null), p_design, imputation).withColumn("e_w", stored_sum("w")), "scores")
+    scored = scores(calls, null, imputation)
     rare = stored(rare_members(members, scored, cutoff, at_least, maximum), "members")
     per_variant = rare.groupBy("trait", "gene_name", "variant_idx").agg(F.collect_set("mask").alias("masks"))
     weights = association_weights(F.col("test_maf"), F.col("phred"))
     rows = (
         per_variant.join(scored, ["trait", "variant_idx"])
         .join(variants.select("variant_idx", phred.alias("phred")), "variant_idx")
-        .select("trait", "gene_name", "variant_idx", "masks", "score", "cross", "base", "e_w", "w0", "cov", "extraction_group", F.rint(F.col("test_maf") * 2 * F.col("n")).alias("mac"), cumulative_mac("test_maf", imputation).alias("cmac"), *(w.alias(f"w{k}") for k, w in weights.items()))
+        .select("trait", "gene_name", "variant_idx", "masks", "score", "cross", "base", "e_w1", "w0", "cov", "extraction_group", F.rint(F.col("test_maf") * 2 * F.col("n")).alias("mac"), cumulative_mac("test_maf", imputation).alias("cmac"), *(w.alias(f"w{k}") for k, w in weights.items()))
     )
     used = per_variant.select("trait", "gene_name", "variant_idx")
     cells = oriented_cells(calls, null, scored.join(used.select("trait", "variant_idx").distinct(), ["trait", "variant_idx"], "left_semi"))
-    pairs = covariance_pairs(cells, used.select("gene_name", "variant_idx"))
+    pairs = covariance_pairs(cells, used.select("gene_name", "variant_idx"), null)
     labels = _labels(names)
 
     def test(key: tuple, gene: pd.DataFrame, products: pd.DataFrame) -> pd.DataFrame:
@@ -127,7 +127,7 @@ def set_tests(calls: DataFrame, null: NullModel, variants: DataFrame, members: D
         kept = products["v1"].isin(place.index) & products["v2"].isin(place.index)
         i, j = place[products.loc[kept, "v1"]].to_numpy(), place[products.loc[kept, "v2"]].to_numpy()
         v[i, j] = v[j, i] = products.loc[kept, "pair_sum"]
-        base, e, c = gene["base"].to_numpy(), gene["e_w"].to_numpy(), np.stack(gene["cross"].to_list())
+        base, e, c = gene["base"].to_numpy(), gene["e_w1"].to_numpy(), np.stack(gene["cross"].to_list())
         cov = np.array(gene["cov"].iloc[0]).reshape(p_design, p_design)
         v += np.outer(base, base) * gene["w0"].iloc[0] + np.outer(base, e) + np.outer(e, base) - c @ cov @ c.T
         u, mac, cmac = gene["score"].to_numpy(), gene["mac"].to_numpy(), gene["cmac"].to_numpy()
@@ -146,7 +146,7 @@ def set_tests(calls: DataFrame, null: NullModel, variants: DataFrame, members: D
 
 def burden_statistics(calls: DataFrame, null: NullModel, members: DataFrame, imputation: str = "mean", cutoff: float = 0.01) -> DataFrame:
     """trait, gene_name, mask, n_variants, score, variance, skat_q, cmac of unweighted burdens, by joins and sums only."""
-    scored = stored(scores(variant_sums(calls, null), null.p, imputation).withColumn("e_w", stored_sum("w")), "scores")
+    scored = scores(calls, null, imputation)
     rare = rare_members(members, scored, cutoff)
     per_mask = rare.join(scored, ["trait", "variant_idx"]).groupBy("trait", "gene_name", "mask").agg(
         F.count(F.lit(1)).alias("n_variants"),
@@ -154,15 +154,17 @@ def burden_statistics(calls: DataFrame, null: NullModel, members: DataFrame, imp
         F.sum(F.col("score") * F.col("score")).alias("skat_q"),
         F.sum(cumulative_mac("test_maf", imputation)).alias("cmac"),
         F.sum("base").alias("base"),
-        F.sum("e_w").alias("e_w"),
+        F.sum("e_w1").alias("e_w1"),
         F.array(*(F.sum(F.col("cross")[i]) for i in range(null.p))).alias("cross"),
         F.first("w0").alias("w0"),
         F.first("cov").alias("cov"),
     )
     cells = oriented_cells(calls, null, scored.join(rare.select("trait", "variant_idx").distinct(), ["trait", "variant_idx"], "left_semi"))
-    per_sample = cells.join(rare, ["trait", "variant_idx"]).groupBy("trait", "gene_name", "mask", "sample_idx").agg(F.sum("e").alias("e"), F.first("w").alias("w"))
-    squares = per_sample.groupBy("trait", "gene_name", "mask").agg(F.sum(F.col("w") * F.col("e") * F.col("e")).alias("ee"))
-    whole = F.col("base") * F.col("base") * F.col("w0") + 2 * F.col("base") * F.col("e_w") + F.coalesce("ee", F.lit(0.0))
+    place = ["trait", "gene_name", "mask", "sample_idx"]
+    per_sample = cells.join(rare, ["trait", "variant_idx"]).groupBy(*place).agg(F.sum("e").alias("e"))
+    weighed = weighted_cells(cells, null).join(rare, ["trait", "variant_idx"]).groupBy(*place).agg(F.sum("we").alias("we"))
+    squares = per_sample.join(weighed, place).groupBy("trait", "gene_name", "mask").agg(F.sum(F.col("we") * F.col("e")).alias("ee"))
+    whole = F.col("base") * F.col("base") * F.col("w0") + 2 * F.col("base") * F.col("e_w1") + F.coalesce("ee", F.lit(0.0))
     return per_mask.join(squares, ["trait", "gene_name", "mask"], "left").select(
         "trait", "gene_name", "mask", "n_variants", "score", (whole - quadratic(F.col("cross"), F.col("cov"), null.p)).alias("variance"), "skat_q", "cmac"
     )
@@ -260,8 +262,10 @@ def binary_burdens(calls: DataFrame, null: NullModel, variants: DataFrame, membe
     trait, gene_name, mask, n_variants, cmac, beta, annotation, score, variance, p_normal, p. No
     variant covariance is built: each weighted burden is summed per sample by Spark.
     """
+    if null.pairs is not None:
+        raise ValueError("saddlepoint tests need independent samples")
     x = [f"x{i}" for i in range(null.p)]
-    scored = stored(scores(variant_sums(calls, null), null.p, imputation).withColumn("e_w", stored_sum("w")), "scores")
+    scored = scores(calls, null, imputation)
     rare = stored(rare_members(members, scored, cutoff, at_least), "members")
     labels = _labels(names)
     label = F.array(*(F.struct(F.lit(b).alias("beta"), F.lit(n).alias("annotation")) for b, n in labels))
@@ -269,22 +273,22 @@ def binary_burdens(calls: DataFrame, null: NullModel, variants: DataFrame, membe
     weighted = (
         rare.join(scored, ["trait", "variant_idx"])
         .join(variants.select("variant_idx", phred.alias("phred")), "variant_idx")
-        .select("trait", "gene_name", "mask", "variant_idx", "score", "cross", "base", "e_w", "w0", "cov", cumulative_mac("test_maf", imputation).alias("cmac"), F.explode(F.arrays_zip(label.alias("l"), weights.alias("b"))).alias("lb"))
+        .select("trait", "gene_name", "mask", "variant_idx", "score", "cross", "base", "e_w1", "w0", "cov", cumulative_mac("test_maf", imputation).alias("cmac"), F.explode(F.arrays_zip(label.alias("l"), weights.alias("b"))).alias("lb"))
         .select("*", "lb.l.beta", "lb.l.annotation", F.col("lb.b").alias("b"))
         .drop("lb")
     )
     key = ["trait", "gene_name", "mask", "beta", "annotation"]
     b = F.col("b")
     per_mask = weighted.groupBy(*key).agg(
-        F.count(F.lit(1)).cast("int").alias("n_variants"), F.sum("cmac").alias("cmac"), F.sum(b * F.col("score")).alias("score"), F.sum(b * F.col("base")).alias("base"), F.sum(b * F.col("e_w")).alias("e_w"),
+        F.count(F.lit(1)).cast("int").alias("n_variants"), F.sum("cmac").alias("cmac"), F.sum(b * F.col("score")).alias("score"), F.sum(b * F.col("base")).alias("base"), F.sum(b * F.col("e_w1")).alias("e_w1"),
         F.array(*(F.sum(b * F.col("cross")[i]) for i in range(null.p))).alias("cross"), F.first("w0").alias("w0"), F.first("cov").alias("cov"),
     )
     cells = oriented_cells(calls, null, scored.join(rare.select("trait", "variant_idx").distinct(), ["trait", "variant_idx"], "left_semi"))
     per_sample = stored(cells.join(weighted.select(*key, "variant_idx", "b"), ["trait", "variant_idx"]).groupBy(*key, "sample_idx").agg(F.sum(b * F.col("e")).alias("e"), F.first("w").alias("w")), "burdens")
     squares = per_sample.groupBy(*key).agg(F.sum(F.col("w") * F.col("e") * F.col("e")).alias("ee"))
-    whole = F.col("base") * F.col("base") * F.col("w0") + 2 * F.col("base") * F.col("e_w") + F.coalesce("ee", F.lit(0.0))
+    whole = F.col("base") * F.col("base") * F.col("w0") + 2 * F.col("base") * F.col("e_w1") + F.coalesce("ee", F.lit(0.0))
     nominal = per_mask.join(squares, key, "left").withColumn("variance", whole - quadratic(F.col("cross"), F.col("cov"), null.p))
-    nominal = stored(nominal.withColumn("p_normal", chi2_p(F.col("score") * F.col("score") / F.when(F.col("variance") > 0, F.col("variance")))).drop("cross", "w0", "cov", "ee", "e_w"), "nominal")
+    nominal = stored(nominal.withColumn("p_normal", chi2_p(F.col("score") * F.col("score") / F.when(F.col("variance") > 0, F.col("variance")))).drop("cross", "w0", "cov", "ee", "e_w1"), "nominal")
     chosen = nominal.filter(F.col("p_normal") < p_filter).select(*key, "score", "base")
     carriers = per_sample.join(chosen, key).join(null.samples.select("trait", "sample_idx", "mu", *x), ["trait", "sample_idx"])
     patterns = null.samples.sparkSession.sparkContext.broadcast(_Patterns(null).of)
@@ -317,7 +321,7 @@ def binary_single(calls: DataFrame, null: NullModel, mac_cutoff: float = 20, p_f
     A p of exactly 0 is kept and marked by ``unverified``.
     """
     x = [f"x{i}" for i in range(null.p)]
-    scored = stored(scores(variant_sums(calls, null), null.p, imputation).filter(F.col("initial_mac") >= mac_cutoff).filter("maf > 0 and maf < 1 and variance > 0 and family = 'binomial'"), "scores")
+    scored = scores(calls, null, imputation).filter(F.col("initial_mac") >= mac_cutoff).filter("maf > 0 and maf < 1 and variance > 0 and family = 'binomial'")
     nominal = scored.withColumn("p_normal", chi2_p(F.col("score") * F.col("score") / F.col("variance"))).select("trait", "variant_idx", "score", "variance", "p_normal", "base")
     chosen = nominal.filter(F.col("p_normal") < p_filter)
     cells = oriented_cells(calls, null, scored).join(chosen.select("trait", "variant_idx", "score", "base"), ["trait", "variant_idx"])

@@ -214,7 +214,7 @@ def covariance_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Products of oriented dosages summed over samples, for pairs of variants in one coding mask's gene."""
     calls, null = stored(star.calls(spark, sf_dir), "calls"), _linear(spark, sf_dir)
     orientation = association.oriented(association.variant_sums(calls, null))
-    pairs = association.covariance_pairs(association.oriented_cells(calls, null, orientation), coding_masks(spark, sf_dir))
+    pairs = association.covariance_pairs(association.oriented_cells(calls, null, orientation), coding_masks(spark, sf_dir), null)
     sigma = null.models.select("trait", "sigma2")
     return pairs.join(sigma, "trait").select("gene_name", "v1", "v2", F.round(F.col("pair_sum") * F.col("sigma2"), 6).alias("product"))
 

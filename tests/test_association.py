@@ -67,7 +67,7 @@ def test_null_models_and_scores(study, trait):
     model = study["null"].models.filter(F.col("trait") == trait).first()
     assert model["n"] == d["n"] and np.allclose(model["beta"], d["beta"], rtol=1e-7, atol=1e-9)
     assert np.allclose(np.array(model["cov"]).reshape(3, 3), d["cov"], rtol=1e-6)
-    rows = association.scores(association.variant_sums(study["calls"], study["null"]), 3).filter(F.col("trait") == trait).collect()
+    rows = association.scores(study["calls"], study["null"]).filter(F.col("trait") == trait).collect()
     assert {r["variant_idx"] for r in rows} == {j for j in range(M) if d["s"][j].any()}
     for r in rows:
         j = r["variant_idx"]

@@ -1,0 +1,92 @@
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from lodestrand.operators import association, kinship, set_tests
+
+N = 90
+
+
+@pytest.fixture(scope="module")
+def families(spark):
+    rng = np.random.default_rng(5)
+    k = np.eye(N)
+    for f in range(0, 60, 3):
+        k[f : f + 3, f : f + 3] = 0.5 + 0.5 * np.eye(3)
+    k += np.diag(rng.uniform(-0.01, 0.01, N))
+    x = np.column_stack([np.ones(N), rng.standard_normal(N)])
+    y = x @ [1.0, 0.5] + np.linalg.cholesky(2 * k + 0.5 * np.eye(N)) @ rng.standard_normal(N)
+    b = (rng.random(N) < 1 / (1 + np.exp(-(x @ [0.2, 0.4] + np.linalg.cholesky(1.5 * k) @ rng.standard_normal(N))))).astype(float)
+    make = lambda t, v: spark.createDataFrame([(t, i, float(v[i]), *map(float, x[i])) for i in range(N)], "trait string, sample_idx bigint, y double, x0 double, x1 double")
+    diagonal = spark.createDataFrame([(i, float(k[i, i])) for i in range(N)], "sample_idx bigint, value double")
+    edges = spark.createDataFrame([(i, j, float(k[i, j])) for i in range(N) for j in range(N) if i != j and k[i, j]] + [(5, 5, 9.0)], "i bigint, j bigint, value double")
+    return {"k": k, "x": x, "y": y, "b": b, "design": make("y", y), "binary": make("b", b), "diagonal": diagonal, "edges": edges}
+
+
+def reml(tau, k, x, y):
+    v = tau[0] * np.eye(len(y)) + tau[1] * k
+    inverse = np.linalg.inv(v)
+    xvx = x.T @ inverse @ x
+    p = inverse - inverse @ x @ np.linalg.inv(xvx) @ x.T @ inverse
+    return -0.5 * (np.linalg.slogdet(v)[1] + np.linalg.slogdet(xvx)[1] + y @ p @ y), p
+
+
+def test_linear_mixed_model_maximises_restricted_likelihood(spark, families, monkeypatch):
+    monkeypatch.setattr(kinship, "BUCKET_SAMPLES", 25)
+    null = kinship.fit_mixed_linear(families["design"], families["diagonal"], families["edges"], 2)
+    model = null.models.first()
+    tau = np.array(model["tau"])
+    best, p = reml(tau, families["k"], families["x"], families["y"])
+    for change in ([1e-2, 0], [-1e-2, 0], [0, 1e-2], [0, -1e-2]):
+        if (tau + change >= 0).all():
+            assert reml(tau + change, families["k"], families["x"], families["y"])[0] <= best + 1e-7
+    rows = null.samples.orderBy("sample_idx").toPandas()
+    assert np.allclose(rows["resid"], p @ families["y"], atol=2e-4)
+    s = np.diag(rows["w"].to_numpy())
+    for r in null.pairs.collect():
+        s[r["i"], r["j"]] = r["value"]
+    assert np.allclose(s, np.linalg.inv(tau[0] * np.eye(N) + tau[1] * families["k"]), atol=2e-4)
+    assert np.allclose(rows["w1"], s.sum(axis=1)) and np.allclose(rows[["wx0", "wx1"]], s @ families["x"])
+
+    rng = np.random.default_rng(8)
+    states = rng.binomial(2, rng.choice([0.02, 0.05, 0.97], 14)[:, None], (14, N))
+    states[rng.random(states.shape) < 0.02] = 3
+    calls = spark.createDataFrame([(i, j, int(states[j, i])) for j in range(14) for i in range(N) if states[j, i]], "sample_idx bigint, variant_idx bigint, state int")
+    called = np.where(states == 3, 0, 2).sum(1)
+    ref_af = np.where(states == 3, 0, 2 - states).sum(1) / called
+    maf = np.minimum(ref_af, 1 - ref_af)
+    g = np.where(states == 3, 2 * maf[:, None], np.where(ref_af[:, None] >= 0.5, states, 2 - states)).T.astype(float)
+    cov = np.array(model["cov"]).reshape(2, 2)
+    c = (s @ families["x"]).T @ g
+    v = g.T @ s @ g - c.T @ cov @ c
+    for r in association.scores(calls, null).collect():
+        j = r["variant_idx"]
+        assert r["variance"] == pytest.approx(v[j, j], rel=1e-8) and r["score"] == pytest.approx(g[:, j] @ rows["resid"].to_numpy(), rel=1e-8, abs=1e-9)
+    members = spark.createDataFrame([("G", "plof", j) for j in range(14)], "gene_name string, mask string, variant_idx bigint")
+    variants = spark.createDataFrame([(j, 1.0) for j in range(14)], "variant_idx bigint, a double")
+    rows = set_tests.set_tests(calls, null, variants, members, F.array("a"), ["one"], cutoff=0.2).filter("test = 'B' and annotation = '' and beta = '1,1'").collect()
+    js = [j for j in range(14) if 0 < maf[j] < 0.2]
+    u = g[:, js] @ np.ones(len(js)) @ null.samples.orderBy("sample_idx").toPandas()["resid"].to_numpy()
+    import math
+
+    assert rows[0]["p"] == pytest.approx(math.erfc(abs(u) / math.sqrt(2 * v[np.ix_(js, js)].sum())), rel=1e-6)
+    plain = set_tests.burden_statistics(calls, null, members, cutoff=0.2).first()
+    assert plain["variance"] == pytest.approx(v[np.ix_(js, js)].sum(), rel=1e-8)
+
+
+def test_logistic_mixed_model_solves_its_equations(families):
+    null = kinship.fit_mixed_logistic(families["binary"], families["diagonal"], families["edges"], 2)
+    model = null.models.first()
+    rows = null.samples.orderBy("sample_idx").toPandas()
+    tau, mu = model["tau"][1], rows["mu"].to_numpy()
+    assert np.allclose(rows["resid"], families["b"] - mu)
+    assert np.allclose(families["x"].T @ rows["resid"].to_numpy(), 0, atol=2e-3)
+    random_effect = np.log(mu / (1 - mu)) - families["x"] @ np.array(model["beta"])
+    assert np.allclose(random_effect, tau * families["k"] @ rows["resid"].to_numpy(), atol=5e-3)
+
+
+def test_subset(families, spark):
+    keep = spark.createDataFrame([(0,), (1,), (4,), (0,)], "sample_idx bigint")
+    diagonal, edges = kinship.subset(families["diagonal"], families["edges"], keep)
+    assert sorted(r["sample_idx"] for r in diagonal.collect()) == [0, 1, 4]
+    assert sorted((r["i"], r["j"]) for r in edges.collect()) == [(0, 1), (1, 0)]
