@@ -97,6 +97,18 @@ def _labels(names: Sequence[str]) -> list[tuple[str, str]]:
     return [(beta, name) for beta in BETAS for name in ("", *names)]
 
 
+def gene_covariance(gene: pd.DataFrame, products: pd.DataFrame, p: int) -> np.ndarray:
+    """Score covariance of a gene's variants in row order from base, e_w1, cross, cov and the stored pair products."""
+    place = pd.Series(np.arange(len(gene)), index=gene["variant_idx"].to_numpy())
+    v = np.zeros((len(gene), len(gene)))
+    kept = products["v1"].isin(place.index) & products["v2"].isin(place.index)
+    i, j = place[products.loc[kept, "v1"]].to_numpy(), place[products.loc[kept, "v2"]].to_numpy()
+    v[i, j] = v[j, i] = products.loc[kept, "pair_sum"]
+    base, e, c = gene["base"].to_numpy(), gene["e_w1"].to_numpy(), np.stack(gene["cross"].to_list())
+    cov = np.array(gene["cov"].iloc[0]).reshape(p, p)
+    return v + np.outer(base, base) * gene["w0"].iloc[0] + np.outer(base, e) + np.outer(e, base) - c @ cov @ c.T
+
+
 def set_tests(calls: DataFrame, null: NullModel, variants: DataFrame, members: DataFrame, phred: Column, names: Sequence[str], cutoff: float = 0.01, at_least: int = 2, maximum: int | None = None, imputation: str = "mean", long_threshold: int = 5000, long_rank: int = 512) -> DataFrame:
     """Elementary p-values of every trait and mask: trait, gene_name, mask, n_variants, cmac, test (S, B, A), beta, annotation, p.
 
@@ -122,14 +134,7 @@ def set_tests(calls: DataFrame, null: NullModel, variants: DataFrame, members: D
         if gene.empty:
             return pd.DataFrame(columns=["trait", "gene_name", "mask", "n_variants", "cmac", "test", "beta", "annotation", "p"])
         gene = gene.sort_values(["extraction_group", "variant_idx"])
-        place = pd.Series(np.arange(len(gene)), index=gene["variant_idx"].to_numpy())
-        v = np.zeros((len(gene), len(gene)))
-        kept = products["v1"].isin(place.index) & products["v2"].isin(place.index)
-        i, j = place[products.loc[kept, "v1"]].to_numpy(), place[products.loc[kept, "v2"]].to_numpy()
-        v[i, j] = v[j, i] = products.loc[kept, "pair_sum"]
-        base, e, c = gene["base"].to_numpy(), gene["e_w1"].to_numpy(), np.stack(gene["cross"].to_list())
-        cov = np.array(gene["cov"].iloc[0]).reshape(p_design, p_design)
-        v += np.outer(base, base) * gene["w0"].iloc[0] + np.outer(base, e) + np.outer(e, base) - c @ cov @ c.T
+        v = gene_covariance(gene, products, p_design)
         u, mac, cmac = gene["score"].to_numpy(), gene["mac"].to_numpy(), gene["cmac"].to_numpy()
         all_weights = {k: np.stack(gene[f"w{k}"].to_list()) for k in TESTS}
         out = []
