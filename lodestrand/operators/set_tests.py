@@ -61,19 +61,18 @@ def mask_p_values(u: np.ndarray, v: np.ndarray, mac: np.ndarray, weights: dict[s
     """
     columns = weights["B"].shape[1]
     burden = _chi1(weights["B"].T @ u, np.einsum("jc,jk,kc->c", weights["B"], v, weights["B"]))
-    skat = np.full(columns, np.nan)
-    for c in range(columns):
-        ws = weights["S"][:, c]
-        matrix, q = v * np.outer(ws, ws), float((u**2 * ws**2).sum())
-        try:
-            if len(u) <= long_threshold:
-                skat[c] = numerics.quadratic_form_sf(q, np.linalg.eigvalsh(matrix))
-            elif long_method == "liu":
-                skat[c] = numerics.liu_sf(q, numerics.power_sums(matrix, long_rank, seed=seed))
-            else:
-                skat[c] = numerics.long_mask_sf(q, matrix, long_rank, seed)
-        except ArithmeticError:
-            pass
+    ws = weights["S"].T
+    q = (ws**2) @ (u**2)
+    if len(u) <= long_threshold:
+        skat = numerics.quadratic_forms_sf(q, np.linalg.eigvalsh(v * ws[:, :, None] * ws[:, None, :]))
+    else:
+        skat = np.full(columns, np.nan)
+        for c in range(columns):
+            matrix = v * np.outer(ws[c], ws[c])
+            try:
+                skat[c] = numerics.liu_sf(q[c], numerics.power_sums(matrix, long_rank, seed=seed)) if long_method == "liu" else numerics.long_mask_sf(q[c], matrix, long_rank, seed)
+            except ArithmeticError:
+                pass
     common = mac > VERY_RARE_MAC
     each = _chi1(u[common], np.diag(v)[common])
     if dof is not None:
@@ -274,36 +273,36 @@ def binary_burdens(calls: DataFrame, null: NullModel, variants: DataFrame, membe
     rare = stored(rare_members(members, scored, cutoff, at_least), "members")
     labels = _labels(names)
     label = F.array(*(F.struct(F.lit(b).alias("beta"), F.lit(n).alias("annotation")) for b, n in labels))
-    weights = association_weights(F.col("test_maf"), F.col("phred"))["B"]
-    weighted = (
+    mask = ["trait", "gene_name", "mask"]
+    weighted = stored(
         rare.join(scored, ["trait", "variant_idx"])
         .join(variants.select("variant_idx", phred.alias("phred")), "variant_idx")
-        .select("trait", "gene_name", "mask", "variant_idx", "score", "cross", "base", "e_w1", "w0", "cov", cumulative_mac("test_maf", imputation).alias("cmac"), F.explode(F.arrays_zip(label.alias("l"), weights.alias("b"))).alias("lb"))
-        .select("*", "lb.l.beta", "lb.l.annotation", F.col("lb.b").alias("b"))
-        .drop("lb")
+        .select(*mask, "variant_idx", "score", "cross", "base", "e_w1", "w0", "cov", cumulative_mac("test_maf", imputation).alias("cmac"), association_weights(F.col("test_maf"), F.col("phred"))["B"].alias("b")),
+        "weighted",
     )
-    key = ["trait", "gene_name", "mask", "beta", "annotation"]
     b = F.col("b")
-    per_mask = weighted.groupBy(*key).agg(
+    per_mask = weighted.select("*", F.posexplode("b").alias("at", "one")).drop("b").withColumnRenamed("one", "b").groupBy(*mask, "at").agg(
         F.count(F.lit(1)).cast("int").alias("n_variants"), F.sum("cmac").alias("cmac"), F.sum(b * F.col("score")).alias("score"), F.sum(b * F.col("base")).alias("base"), F.sum(b * F.col("e_w1")).alias("e_w1"),
         F.array(*(F.sum(b * F.col("cross")[i]) for i in range(null.p))).alias("cross"), F.first("w0").alias("w0"), F.first("cov").alias("cov"),
     )
     cells = oriented_cells(calls, null, scored.join(rare.select("trait", "variant_idx").distinct(), ["trait", "variant_idx"], "left_semi"))
-    per_sample = stored(cells.join(weighted.select(*key, "variant_idx", "b"), ["trait", "variant_idx"]).groupBy(*key, "sample_idx").agg(F.sum(b * F.col("e")).alias("e"), F.first("w").alias("w")), "burdens")
-    squares = per_sample.groupBy(*key).agg(F.sum(F.col("w") * F.col("e") * F.col("e")).alias("ee"))
-    whole = F.col("base") * F.col("base") * F.col("w0") + 2 * F.col("base") * F.col("e_w1") + F.coalesce("ee", F.lit(0.0))
-    nominal = per_mask.join(squares, key, "left").withColumn("variance", whole - quadratic(F.col("cross"), F.col("cov"), null.p))
-    nominal = stored(nominal.withColumn("p_normal", chi2_p(F.col("score") * F.col("score") / F.when(F.col("variance") > 0, F.col("variance")))).drop("cross", "w0", "cov", "ee", "e_w1"), "nominal")
-    chosen = nominal.filter(F.col("p_normal") < p_filter).select(*key, "score", "base")
-    carriers = per_sample.join(chosen, key).join(null.samples.select("trait", "sample_idx", "mu", *x), ["trait", "sample_idx"])
+    burdens = F.array(*(F.sum(b[i] * F.col("e")) for i in range(len(labels)))).alias("es")
+    per_sample = stored(cells.join(weighted.select(*mask, "variant_idx", "b"), ["trait", "variant_idx"]).groupBy(*mask, "sample_idx").agg(burdens, F.first("w").alias("w")), "burdens")
+    squares = per_sample.groupBy(*mask).agg(F.array(*(F.sum(F.col("w") * F.col("es")[i] * F.col("es")[i]) for i in range(len(labels)))).alias("ees"))
+    whole = F.col("base") * F.col("base") * F.col("w0") + 2 * F.col("base") * F.col("e_w1") + F.coalesce(F.get("ees", F.col("at")), F.lit(0.0))
+    nominal = per_mask.join(squares, mask, "left").withColumn("variance", whole - quadratic(F.col("cross"), F.col("cov"), null.p))
+    nominal = stored(nominal.withColumn("p_normal", chi2_p(F.col("score") * F.col("score") / F.when(F.col("variance") > 0, F.col("variance")))).drop("cross", "w0", "cov", "ees", "e_w1"), "nominal")
+    chosen = nominal.filter(F.col("p_normal") < p_filter).select(*mask, "at", "score", "base")
+    carriers = per_sample.join(chosen, mask).join(null.samples.select("trait", "sample_idx", "mu", *x), ["trait", "sample_idx"]).withColumn("e", F.get("es", F.col("at"))).select(*mask, "at", "score", "base", "e", "mu", *x)
     patterns = null.samples.sparkSession.sparkContext.broadcast(_Patterns(null).of)
 
     def correct(k: tuple, own: pd.DataFrame) -> pd.DataFrame:
         p = _spa_with_patterns(float(own["score"].iloc[0]), own, x, float(own["base"].iloc[0]), patterns.value[k[0]], tol, rounds)
-        return pd.DataFrame([(*k, p)], columns=[*key, "p_spa"])
+        return pd.DataFrame([(*k, p)], columns=[*mask, "at", "p_spa"])
 
-    corrected = carriers.groupBy(*key).applyInPandas(correct, ", ".join(f"{k} string" for k in key) + ", p_spa double")
-    return nominal.join(corrected, key, "left").select(*key, "n_variants", "cmac", "score", "variance", "p_normal", F.coalesce("p_spa", "p_normal").alias("p"))
+    corrected = carriers.groupBy(*mask, "at").applyInPandas(correct, "trait string, gene_name string, mask string, at int, p_spa double")
+    named = F.get(label, F.col("at"))
+    return nominal.join(corrected, [*mask, "at"], "left").select(*mask, named["beta"].alias("beta"), named["annotation"].alias("annotation"), "n_variants", "cmac", "score", "variance", "p_normal", F.coalesce("p_spa", "p_normal").alias("p"))
 
 
 @F.pandas_udf(T.DoubleType())

@@ -5,6 +5,8 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -75,3 +77,17 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
 def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """A broadcast hint where the counted size allows it; otherwise ``df`` for a shuffle join."""
     return F.broadcast(df) if small(df, rows) else df
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors' Python workers once per application, for sessions that do not have it installed."""
+    sc = spark.sparkContext
+    if getattr(sc, "_lodestrand_shipped", False):
+        return
+    package = Path(__file__).resolve().parent
+    archive = Path(tempfile.mkdtemp(prefix="spark-")) / "lodestrand.zip"
+    with zipfile.ZipFile(archive, "w") as z:
+        for source in sorted(package.rglob("*.py")):
+            z.write(source, source.relative_to(package.parent))
+    sc.addPyFile(str(archive))
+    sc._lodestrand_shipped = True
