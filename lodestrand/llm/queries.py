@@ -28,23 +28,23 @@ def p7_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.fill(_packed(spark, sf_dir), table(spark, sf_dir, "container_specs"))
 
 
-def _scored(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list[str]]:
+def _scored(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list[str], float]:
     return subjects.subject_posteriors(table(spark, sf_dir, "documents"), table(spark, sf_dir, "subject_labels"), table(spark, sf_dir, "subjects"))
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scored, names = _scored(spark, sf_dir)
-    return subjects.assign(scored.filter("mask is null"), names).select("doc_id", "subject")
+    scored, names, threshold = _scored(spark, sf_dir)
+    return subjects.assign(scored.filter("mask is null"), names, threshold).select("doc_id", "subject")
 
 
 def p8_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents and expected documents of each subject, and their share of the corpus."""
-    scored, names = _scored(spark, sf_dir)
+    scored, names, threshold = _scored(spark, sf_dir)
     scored = stored(scored, "scored")
     every = scored.count()
     per_subject = subjects.assign(scored, names, 0.0).groupBy("subject")
     return per_subject.agg(
-        F.count_if(F.col("posterior") > subjects.THRESHOLD).alias("n_documents"), F.round(F.sum("posterior"), 1).alias("n_expected"), F.round(F.sum("posterior") / F.lit(max(every, 1)), 4).alias("share")
+        F.count_if(F.col("posterior") > threshold).alias("n_documents"), F.round(F.sum("posterior"), 1).alias("n_expected"), F.round(F.sum("posterior") / F.lit(max(every, 1)), 4).alias("share")
     )
 
 

@@ -35,7 +35,8 @@ SMOOTHING = 0.1
 TELLING, STEEPNESS = 1.0, 2.0
 MIN_DOCS = 3
 RIDGE_COMMON, RIDGE_OWN = 1e-2, 1.0
-THRESHOLD = 0.5
+#: Posteriors that may decide; the one with the best F1 on the labelled documents does.
+THRESHOLDS = tuple(i / 20 for i in range(4, 17))
 
 _WORD = re.compile(r"[A-Z]+(?![^\W\d_A-Z])|[A-Z]?[^\W\d_A-Z]+")
 
@@ -83,6 +84,7 @@ class Model:
         self.weights = np.zeros((n_subjects, CELLS), np.float32)
         self.telling = np.zeros((n_subjects, CELLS), np.float32)
         self.centre = self.scale = self.factors = None
+        self.threshold = 0.5
 
     def weigh(self, cells: np.ndarray, sums: np.ndarray, doc_counts: np.ndarray, totals: np.ndarray) -> None:
         """Complement weights from word counts per subject, over all, and the number of documents of each cell."""
@@ -113,6 +115,9 @@ class Model:
         x = (evidence - self.centre) / self.scale
         common = _logistic(x.reshape(flat.shape), truth.ravel(), np.zeros(flat.shape[1] + 1), RIDGE_COMMON)
         self.factors = np.stack([_logistic(x[:, s], truth[:, s], common, RIDGE_OWN) for s in range(self.subjects)])
+        p, real = self.posteriors(evidence), truth > 0
+        f1 = [2 * (real & (p > t)).sum() / max(1, real.sum() + (p > t).sum()) for t in THRESHOLDS]
+        self.threshold = max(zip(f1, THRESHOLDS, strict=True), key=lambda x: (round(float(x[0]), 4), -abs(x[1] - 0.5)))[1]
 
     def posteriors(self, evidence: np.ndarray) -> np.ndarray:
         x = (evidence - self.centre) / self.scale
@@ -237,8 +242,8 @@ def posteriors(features: DataFrame, model: Model) -> DataFrame:
     return features.mapInArrow(run, f"doc_id {features.schema['doc_id'].dataType.simpleString()}, mask bigint, posteriors array<double>")
 
 
-def subject_posteriors(docs: DataFrame, labels: DataFrame, subjects: DataFrame, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, list[str]]:
-    """(doc_id, mask, posteriors) of every document, and the subjects in the order of bits and posteriors.
+def subject_posteriors(docs: DataFrame, labels: DataFrame, subjects: DataFrame, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, list[str], float]:
+    """(doc_id, mask, posteriors) of every document, the subjects in the order of bits and posteriors, and the deciding threshold.
 
     ``subjects`` (subject) is a short list of up to 60 names, ``labels`` has doc_id and subject.
     Texts without words (empty, blank, null) have null posteriors. Labels of unknown documents or
@@ -247,10 +252,11 @@ def subject_posteriors(docs: DataFrame, labels: DataFrame, subjects: DataFrame,
     names = sorted(r[0] for r in subjects.select("subject").distinct().collect() if r[0] is not None)
     cells = word_cells(docs, doc_id, text)
     features = stored(cells.join(broadcast_if_small(label_masks(labels, names)), "doc_id", "left"), "features")
-    return posteriors(features, train(features, len(names))), names
+    model = train(features, len(names))
+    return posteriors(features, model), names, model.threshold
 
 
-def assign(scored: DataFrame, subjects: list[str], threshold: float = THRESHOLD) -> DataFrame:
+def assign(scored: DataFrame, subjects: list[str], threshold: float) -> DataFrame:
     """(doc_id, subject, posterior) of every subject whose posterior passes ``threshold``."""
     pairs = F.arrays_zip(F.array(*map(F.lit, subjects)).alias("subject"), F.col("posteriors").alias("posterior"))
     return scored.filter("posteriors is not null").select("doc_id", F.explode(pairs).alias("x")).select("doc_id", "x.subject", "x.posterior").filter(F.col("posterior") > threshold)

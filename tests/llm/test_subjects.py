@@ -33,10 +33,10 @@ def test_held_out_documents(spark):
     labels = [(i, s, "r") for i in range(120) for s in truth[i]] + [(0, next(iter(truth[0])), "r"), (5, "unknown", "r"), (10**6, "boats", "r"), (None, "boats", "r")]
     odd = [(10_000, None, "x"), (10_001, "", "x"), (10_002, " \n", "x"), (10_003, "x" * 100_000, "x")]
     frame = spark.createDataFrame(docs + odd, "doc_id bigint, text string, mask string")
-    scored, names = subjects.subject_posteriors(frame, spark.createDataFrame(labels, "doc_id bigint, subject string, rater string"), spark.createDataFrame([(s,) for s in TOPICS] + [("boats",)], "subject string"))
+    scored, names, threshold = subjects.subject_posteriors(frame, spark.createDataFrame(labels, "doc_id bigint, subject string, rater string"), spark.createDataFrame([(s,) for s in TOPICS] + [("boats",)], "subject string"))
     rows = {r["doc_id"]: r for r in scored.collect()}
     assert len(rows) == len(docs) + len(odd) and all(rows[i]["posteriors"] is None for i in (10_000, 10_001, 10_002))
-    got = {(r["doc_id"], r["subject"]) for r in subjects.assign(scored.filter("mask is null"), names).collect() if r["doc_id"] < 10_000}
+    got = {(r["doc_id"], r["subject"]) for r in subjects.assign(scored.filter("mask is null"), names, threshold).collect() if r["doc_id"] < 10_000}
     want = {(i, s) for i in range(120, len(docs)) for s in truth[i]}
     assert len(got & want) / len(got) > 0.97 and len(got & want) / len(want) > 0.97
 
