@@ -12,7 +12,8 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import broadcast_if_small, stored
@@ -190,3 +191,21 @@ def needs_intercept(design: DataFrame, names: list[str]) -> DataFrame:
     for c in all_ones[1:]:
         any_ones = any_ones | c
     return design.groupBy("trait").agg((~any_ones).alias("needs_intercept"))
+
+
+def save_model(model: NullModel, path: str) -> None:
+    """Write a fitted model as Parquet tables."""
+    model.samples.write.parquet(f"{path}/samples")
+    model.models.write.parquet(f"{path}/models")
+    if model.pairs is not None:
+        model.pairs.write.parquet(f"{path}/pairs")
+
+
+def load_model(spark: SparkSession, path: str) -> NullModel:
+    """A saved model; the number of design columns is that of its samples."""
+    samples = spark.read.parquet(f"{path}/samples")
+    try:
+        pairs = spark.read.parquet(f"{path}/pairs")
+    except AnalysisException:
+        pairs = None
+    return NullModel(samples, spark.read.parquet(f"{path}/models"), sum(c.startswith("wx") for c in samples.columns), pairs)

@@ -108,11 +108,12 @@ def gene_covariance(gene: pd.DataFrame, products: pd.DataFrame, p: int) -> np.nd
     return v + np.outer(base, base) * gene["w0"].iloc[0] + np.outer(base, e) + np.outer(e, base) - c @ cov @ c.T
 
 
-def set_tests(calls: DataFrame, null: NullModel, variants: DataFrame, members: DataFrame, phred: Column, names: Sequence[str], cutoff: float = 0.01, at_least: int = 2, maximum: int | None = None, imputation: str = "mean", long_threshold: int = 5000, long_rank: int = 512) -> DataFrame:
+def set_tests(calls: DataFrame, null: NullModel, variants: DataFrame, members: DataFrame, phred: Column, names: Sequence[str], cutoff: float = 0.01, at_least: int = 2, maximum: int | None = None, imputation: str = "mean", long_threshold: int = 5000, long_rank: int = 512, long_method: str = "residual", student_acat: bool = False) -> DataFrame:
     """Elementary p-values of every trait and mask: trait, gene_name, mask, n_variants, cmac, test (S, B, A), beta, annotation, p.
 
     ``members`` has gene_name, mask, variant_idx; ``phred`` is an array expression over ``variants``
     whose entries ``names`` name. Masks with fewer than ``at_least`` rare variants give no rows.
+    ``student_acat`` calibrates ACAT-V's single variants by Student's t (least-squares traits only).
     """
     p_design = null.p
     scored = scores(calls, null, imputation)
@@ -122,7 +123,7 @@ def set_tests(calls: DataFrame, null: NullModel, variants: DataFrame, members: D
     rows = (
         per_variant.join(scored, ["trait", "variant_idx"])
         .join(variants.select("variant_idx", phred.alias("phred")), "variant_idx")
-        .select("trait", "gene_name", "variant_idx", "masks", "score", "cross", "base", "e_w1", "w0", "cov", "extraction_group", F.rint(F.col("test_maf") * 2 * F.col("n")).alias("mac"), cumulative_mac("test_maf", imputation).alias("cmac"), *(w.alias(f"w{k}") for k, w in weights.items()))
+        .select("trait", "gene_name", "variant_idx", "masks", "score", "cross", "base", "e_w1", "w0", "cov", "n", "extraction_group", F.rint(F.col("test_maf") * 2 * F.col("n")).alias("mac"), cumulative_mac("test_maf", imputation).alias("cmac"), *(w.alias(f"w{k}") for k, w in weights.items()))
     )
     used = per_variant.select("trait", "gene_name", "variant_idx")
     cells = oriented_cells(calls, null, scored.join(used.select("trait", "variant_idx").distinct(), ["trait", "variant_idx"], "left_semi"))
@@ -136,10 +137,11 @@ def set_tests(calls: DataFrame, null: NullModel, variants: DataFrame, members: D
         v = gene_covariance(gene, products, p_design)
         u, mac, cmac = gene["score"].to_numpy(), gene["mac"].to_numpy(), gene["cmac"].to_numpy()
         all_weights = {k: np.stack(gene[f"w{k}"].to_list()) for k in TESTS}
+        dof = int(gene["n"].iloc[0]) - p_design if student_acat else None
         out = []
         for mask in sorted({m for ms in gene["masks"] for m in ms}):
             at = np.array([mask in ms for ms in gene["masks"]])
-            tests = mask_p_values(u[at], v[np.ix_(at, at)], mac[at], {k: w[at] for k, w in all_weights.items()}, long_threshold, long_rank)
+            tests = mask_p_values(u[at], v[np.ix_(at, at)], mac[at], {k: w[at] for k, w in all_weights.items()}, long_threshold, long_rank, long_method, dof=dof)
             for k, ps in tests.items():
                 out += [(*key, mask, int(at.sum()), float(cmac[at].sum()), k, beta, name, None if math.isnan(p) else float(p)) for (beta, name), p in zip(labels, ps, strict=True)]
         return pd.DataFrame(out, columns=["trait", "gene_name", "mask", "n_variants", "cmac", "test", "beta", "annotation", "p"])

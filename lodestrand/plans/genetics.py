@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.combine import cauchy
 from ..functions.normal import normal_quantile_sql
-from ..operators import annotations, association, genotypes, identity, masks, null_models, ranges, ranking, set_tests
-from ..session import stored
-from ..sources import star
+from ..operators import annotations, association, genotypes, identity, joint, kinship, masks, null_models, ranges, ranking, set_tests
+from ..session import shared_dir, stored, table
+from ..sources import files, star
+from ..streaming import counts
 
 NAMES = ["CADD", "aPC.LocalDiversity"]
 
@@ -252,13 +255,73 @@ def binary_burdens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return each.unionByName(set_tests.binary_summaries(burdens))
 
 
+def kinship_subset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Relationship entries between listed samples whose diagonal is known."""
+    listed = table(spark, sf_dir, "kinship_samples").filter("diagonal is not null").select(F.col("sample_index").alias("sample_idx"), F.col("diagonal").alias("value"))
+    edges = table(spark, sf_dir, "kinship_edges").select(F.col("edge_rows").alias("i"), F.col("edge_cols").alias("j"), F.col("edge_values").alias("value")).filter("value = value and abs(value) < double('infinity')").distinct()
+    return kinship.subset(listed, edges, listed)[1].select("i", "j", _r("value", 9))
+
+
+def _mixed(spark: SparkSession, sf_dir: str) -> null_models.NullModel:
+    design = star.design(spark, sf_dir).filter("trait = 'balance'")
+    return kinship.fit_mixed_linear(design, *kinship.subset(*star.relatives(spark, sf_dir), design), 3)
+
+
+def mixed_linear(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Variance components and effects of balance with related customers."""
+    return _mixed(spark, sf_dir).models.select("trait", "n", F.round(F.col("tau")[0], 0).alias("tau0"), F.round(F.col("tau")[1], 0).alias("tau1"), *(F.round(F.col("beta")[i], 4).alias(f"b{i}") for i in range(3)))
+
+
+def mixed_logistic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Variance component and effects of building with related customers."""
+    design = star.design(spark, sf_dir).filter("trait = 'building'")
+    model = kinship.fit_mixed_logistic(design, *kinship.subset(*star.relatives(spark, sf_dir), design), 3)
+    return model.models.select("trait", "n", F.round(F.col("tau")[1], 4).alias("tau"), *(F.round(F.col("beta")[i], 4).alias(f"b{i}") for i in range(3)))
+
+
+def single_variant_mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Single-variant tests of balance under the related customers' precision matrix."""
+    rows = association.single_variant(stored(star.calls(spark, sf_dir), "calls"), _mixed(spark, sf_dir), star.variants(spark, sf_dir))
+    return rows.select("variant_idx", "pos", "pvalue", "est", "est_se")
+
+
+def joint_single(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Variants tested for balance and number of orders together."""
+    model = joint.fit_joint(star.joint_design(spark, sf_dir), ["balance", "n_orders"], 2)
+    return joint.joint_single(stored(star.calls(spark, sf_dir), "calls"), model)
+
+
+def joint_set_tests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Coding masks tested for both traits together, with their combined p-values."""
+    phred, names = _phred()
+    model = joint.fit_joint(star.joint_design(spark, sf_dir), ["balance", "n_orders"], 2)
+    long = stored(joint.joint_set_tests(stored(star.calls(spark, sf_dir), "calls"), model, star.variants(spark, sf_dir), coding_masks(spark, sf_dir), phred, names), "joint")
+    return set_tests.omnibus(long.withColumn("trait", F.lit("joint"))).select("gene_name", "mask", "name", "p")
+
+
+def streamed_allele_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Allele counts kept by the streaming job from call files as they arrive."""
+    where = f"{shared_dir(spark)}/lodestrand/stream-{uuid.uuid4().hex}"
+    star.calls(spark, sf_dir).write.parquet(f"{where}/calls")
+    counts.start_counting(spark, f"{where}/calls", f"{where}/counts", f"{where}/mark").awaitTermination()
+    return counts.totals(spark, f"{where}/counts", star.samples(spark, sf_dir).count()).select("variant_idx", "ref_ac", "called", "n_missing")
+
+
+def result_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mask sizes written as a sorted result CSV and read back."""
+    where = f"{shared_dir(spark)}/lodestrand/results-{uuid.uuid4().hex}"
+    files.write_results(mask_sizes(spark, sf_dir), where, ["gene_name", "mask"])
+    return spark.read.schema("gene_name string, mask string, n_variants bigint").csv(where, header=True)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         variant_stats, variant_stats_subset, mac_prescreen, minor_dosages, sample_keys, sample_alignment, alignment_counts, presence_flags, quality_summary,
         annotation_join, annotation_coverage, annotation_problems, annotation_weights, gene_span_join, promoter_overlap, coding_masks, ptv_masks_all_variants,
         noncoding_masks, mask_sizes, rare_masks, distinct_masks, rint_values, null_linear, null_logistic, residual_rint, single_variant, single_variant_p,
-        burden_statistics, covariance_pairs, cauchy_combination, gene_table, disruptive_missense, binary_burdens,
+        burden_statistics, covariance_pairs, cauchy_combination, gene_table, disruptive_missense, binary_burdens, kinship_subset, mixed_linear, mixed_logistic, single_variant_mixed,
+        joint_single, joint_set_tests, streamed_allele_counts, result_sink,
     )
 }
 
@@ -428,6 +491,11 @@ ORACLE = {
         """placed AS (SELECT gene_name, d.variant_idx, d.sample_idx, g - CASE WHEN counts_alt THEN 0 ELSE 2 END e FROM dense d JOIN cf ON cf.variant_idx = d.variant_idx JOIN coding c ON c.variant_idx = d.variant_idx
            WHERE g <> CASE WHEN counts_alt THEN 0 ELSE 2 END)""",
     ),
+    "kinship_subset": """
+        SELECT i, j, round(value, 9) + 0.0 AS value FROM (SELECT DISTINCT edge_rows i, edge_cols j, edge_values + 0.0 AS value FROM kinship_edges WHERE isfinite(edge_values))
+        WHERE i IN (SELECT sample_index FROM kinship_samples WHERE diagonal IS NOT NULL) AND j IN (SELECT sample_index FROM kinship_samples WHERE diagonal IS NOT NULL)""",
+    "streamed_allele_counts": _with("SELECT DISTINCT f.variant_idx, ref_ac::BIGINT ref_ac, called::BIGINT called, f.n_missing FROM freq f JOIN calls k ON k.variant_idx = f.variant_idx", _FREQ),
+    "result_sink": _with("SELECT gene_name, mask, count(*) n_variants FROM members GROUP BY ALL", _MEMBERS),
     "cauchy_combination": """
         SELECT l_partkey, round(log10(CASE WHEN t > 1e15 THEN 1 / (t * pi()) WHEN abs(t) <= 1 THEN 0.5 - atan(t) / pi() ELSE atan(1 / t) / pi() + (t <= 0)::INT END), 6) + 0.0 log_p
         FROM (SELECT l_partkey, sum(l_quantity * CASE WHEN p < 1e-16 THEN 1 / (p * pi()) ELSE tan((0.5 - p) * pi()) END) / sum(l_quantity) t

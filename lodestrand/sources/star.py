@@ -84,6 +84,20 @@ def design(spark: SparkSession, sf_dir: str) -> DataFrame:
     return long.select("trait", "sample_idx", "y", F.lit(1.0).alias("x0"), F.col("nation").alias("x1"), F.col("n_orders").alias("x2"))
 
 
+def joint_design(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """trait (balance, n_orders), sample_idx, y, x0, x1 (nation) of samples that have both."""
+    rows = traits(spark, sf_dir).select("sample_idx", "balance").join(covariates(spark, sf_dir), "sample_idx").dropna()
+    long = rows.unpivot(["sample_idx", "nation"], ["balance", "n_orders"], "trait", "y")
+    return long.select("trait", "sample_idx", "y", F.lit(1.0).alias("x0"), F.col("nation").alias("x1"))
+
+
+def relatives(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Relationship entries: diagonal (sample_idx, value) and edges (i, j, value) among families of up to three neighbouring customers."""
+    ids = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("sample_idx"))
+    near = ids.select(F.col("sample_idx").alias("i"), F.explode(F.array(F.lit(1), F.lit(2))).alias("step")).filter("i div 3 = (i + step) div 3")
+    return ids.withColumn("value", F.lit(1.0)), near.select("i", (F.col("i") + F.col("step")).alias("j"), F.lit(0.25).alias("value"))
+
+
 def genes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """gene_name, chrom, start_pos, end_pos: twenty neighbouring parts each."""
     rows = variants(spark, sf_dir).groupBy(F.concat(F.lit("G"), F.floor(F.col("variant_idx") / GENE_PARTS).cast("string")).alias("gene_name"), "chrom")

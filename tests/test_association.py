@@ -196,3 +196,37 @@ def test_frequency_ties_and_uncalled(spark):
     rows = {r["variant_idx"]: r for r in genotypes.frequencies(counts).collect()}
     assert rows[1]["counts_alt"] and rows[1]["maf"] == 0.5 and rows[2]["maf"] is None and rows[2]["initial_mac"] is None
     assert rows[3]["alt_ac"] == 2 * round(9.5) - 7
+
+
+def test_student_calibration_and_saved_models(spark, study, tmp_path):
+    linear = null_models.NullModel(study["null"].samples.filter("trait = 'y'"), study["null"].models.filter("trait = 'y'"), 3)
+    null_models.save_model(linear, str(tmp_path / "m"))
+    again = null_models.load_model(spark, str(tmp_path / "m"))
+    assert again.p == 3 and again.pairs is None
+    members = spark.createDataFrame([("G", "plof", j) for j in range(M)], "gene_name string, mask string, variant_idx bigint")
+    rows = set_tests.set_tests(study["calls"], again, study["variants"], members, F.array("a").cast("array<double>"), ["one"], cutoff=0.05, student_acat=True).filter("annotation = '' and beta = '1,1' and test = 'A'").collect()
+    d = dense(study, "y")
+    js = [j for j in range(M) if 0 < d["maf"][j] < 0.05]
+    mac, dof = np.rint(d["maf"] * 2 * d["n"]), d["n"] - 3
+    ps, ws = [], []
+    for j in js:
+        if mac[j] > 10:
+            e = d["u"][j] ** 2 / d["v"][j, j]
+            ps.append(numerics.student_two_sided(e / (dof - e) * (dof - 1), dof - 1))
+            ws.append(math.pi**2 * d["maf"][j] * (1 - d["maf"][j]))
+    few = [j for j in js if mac[j] <= 10]
+    if few:
+        ps.append(math.erfc(abs(d["u"][few].sum()) / math.sqrt(2 * d["v"][np.ix_(few, few)].sum())))
+        ws.append(np.mean([math.pi**2 * d["maf"][j] * (1 - d["maf"][j]) for j in few]))
+    assert rows[0]["p"] == pytest.approx(numerics.cauchy(ps, ws), rel=1e-6)
+
+
+def test_long_masks_switch_to_leading_eigenvalues(study):
+    d = dense(study, "y")
+    js = [j for j in range(M) if 0 < d["maf"][j] < 0.05]
+    v, u, mac = d["v"][np.ix_(js, js)], d["u"][js], np.rint(d["maf"][js] * 2 * d["n"])
+    weights = {k: np.ones((len(js), 2)) for k in "BSA"}
+    whole = set_tests.mask_p_values(u, v, mac, weights)["S"]
+    for method in ("residual", "liu"):
+        short = set_tests.mask_p_values(u, v, mac, weights, long_threshold=3, long_rank=len(js) - 2, long_method=method)["S"]
+        assert short == pytest.approx(whole, rel=0.1)
