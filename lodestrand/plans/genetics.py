@@ -197,13 +197,17 @@ def single_variant(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def single_variant_p(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """p-values of both traits, in result order; the binary ones corrected by saddlepoint."""
-    linear, logistic = _linear(spark, sf_dir), _logistic(spark, sf_dir)
-    calls = stored(star.calls(spark, sf_dir), "calls")
-    rows = association.single_variant(calls, linear.union(logistic), star.variants(spark, sf_dir))
-    spa = set_tests.binary_single(calls, logistic).select("trait", "variant_idx", F.col("p").alias("p_spa"))
-    joined = rows.join(spa, ["trait", "variant_idx"], "left")
-    return joined.select(*association.SINGLE_ORDER, "pvalue", "pvalue_log10", "p_spa").orderBy(*association.SINGLE_ORDER)
+    """p-values of the single-variant tests of balance."""
+    rows = association.single_variant(stored(star.calls(spark, sf_dir), "calls"), _linear(spark, sf_dir), star.variants(spark, sf_dir))
+    return rows.select("variant_idx", _r("pvalue", 8), _r("pvalue_log10", 4))
+
+
+def binary_single(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Single-variant tests of building in result order, by saddlepoint where nominally significant."""
+    calls, null = stored(star.calls(spark, sf_dir), "calls"), _logistic(spark, sf_dir)
+    rows = association.single_variant(calls, null, star.variants(spark, sf_dir))
+    spa = set_tests.binary_single(calls, null).select("trait", "variant_idx", F.col("p").alias("p_spa"), "unverified")
+    return rows.join(spa, ["trait", "variant_idx"], "left").orderBy(*association.SINGLE_ORDER).select(*association.SINGLE_ORDER, "pvalue", "p_spa", "unverified")
 
 
 def burden_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -235,6 +239,13 @@ def _set_tests(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list[str]]:
     return stored(long, "set_tests"), names
 
 
+def burden_and_acat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Burden and ACAT-V p-values of balance under all frequency and annotation weights, and their joint Cauchy combination."""
+    long = _set_tests(spark, sf_dir)[0].filter("test <> 'S'")
+    whole = long.groupBy("gene_name", "mask").agg(cauchy("p").alias("p")).select("gene_name", "mask", F.lit("all").alias("test"), F.lit("").alias("beta"), F.lit("").alias("annotation"), "p")
+    return long.select("gene_name", "mask", "test", "beta", "annotation", "p").unionByName(whole).withColumn("p", F.round("p", 7) + F.lit(0.0))
+
+
 def gene_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All mask tests of balance with their combined p-values, one row per mask."""
     long, names = _set_tests(spark, sf_dir)
@@ -319,8 +330,8 @@ QUERIES = {
     for f in (
         variant_stats, variant_stats_subset, mac_prescreen, minor_dosages, sample_keys, sample_alignment, alignment_counts, presence_flags, quality_summary,
         annotation_join, annotation_coverage, annotation_problems, annotation_weights, gene_span_join, promoter_overlap, coding_masks, ptv_masks_all_variants,
-        noncoding_masks, mask_sizes, rare_masks, distinct_masks, rint_values, null_linear, null_logistic, residual_rint, single_variant, single_variant_p,
-        burden_statistics, covariance_pairs, cauchy_combination, gene_table, disruptive_missense, binary_burdens, kinship_subset, mixed_linear, mixed_logistic, single_variant_mixed,
+        noncoding_masks, mask_sizes, rare_masks, distinct_masks, rint_values, null_linear, null_logistic, residual_rint, single_variant, single_variant_p, binary_single,
+        burden_statistics, covariance_pairs, cauchy_combination, burden_and_acat, gene_table, disruptive_missense, binary_burdens, kinship_subset, mixed_linear, mixed_logistic, single_variant_mixed,
         joint_single, joint_set_tests, streamed_allele_counts, result_sink,
     )
 }
@@ -399,7 +410,64 @@ def _with(body: str, *ctes: str) -> str:
 
 _RARE_BALANCE = "rare AS (SELECT m.* FROM members m JOIN cf ON cf.variant_idx = m.variant_idx WHERE maf > 0 AND maf < 0.01 QUALIFY count(*) OVER (PARTITION BY gene_name, mask) >= 2)"
 
+
+
+def _erfc(x: str) -> str:
+    """Complementary error function by its series of positive terms; x of 0 to about 8."""
+    return f"(1 - exp(-pow({x}, 2)) * list_sum([exp((2 * i + 1) * ln(greatest({x}, 1e-300)) - lgamma(i + 1.5)) FOR i IN range(0, 160)]))"
+
+
+def _cauchy_sql(t: str) -> str:
+    return f"CASE WHEN {t} > 1e15 THEN 1 / ({t} * pi()) WHEN abs({t}) <= 1 THEN 0.5 - atan({t}) / pi() ELSE atan(1 / {t}) / pi() + ({t} <= 0)::INT END"
+
+
+_TAN = "CASE WHEN p < 1e-16 THEN 1 / (p * pi()) ELSE tan((0.5 - p) * pi()) END"
+_QUAD = "(i00 * {0}0 * {0}0 + i11 * {0}1 * {0}1 + i22 * {0}2 * {0}2 + 2 * i01 * {0}0 * {0}1 + 2 * i02 * {0}0 * {0}2 + 2 * i12 * {0}1 * {0}2)"
+#: Weighted burdens per sample from all dosages, over all rare variants of a mask and over its very rare ones (prefix v).
+_WEIGHTED = f"""
+    marks AS (
+      SELECT cf.variant_idx, maf, round_even(maf * 2 * n, 0) <= 10 few, c.j, c.beta, c.annotation, CASE c.j WHEN 0 THEN 1.0 WHEN 1 THEN 1 - pow(10, -coalesce(cadd, 0) / 10) WHEN 2 THEN 1 - pow(10, -local_diversity / 10)
+        ELSE CASE WHEN local_diversity = 0 THEN 1.0 ELSE 1 - pow(10, log10(1 - pow(10, -local_diversity / 10))) END END rnk, CASE c.beta WHEN '1,25' THEN 25 * pow(1 - maf, 24) ELSE 1.0 END w
+      FROM cf JOIN variants v ON v.variant_idx = cf.variant_idx, (SELECT j, beta, annotation FROM (VALUES (0, ''), (1, 'CADD'), (2, 'aPC.LocalDiversity'), (3, 'aPC.LocalDiversity(-)')) a(j, annotation), (VALUES ('1,25'), ('1,1')) b(beta)) c),
+    burdens AS (
+      SELECT gene_name, mask, beta, annotation, sample_idx, any_value(raw) raw, any_value(x1) x1, any_value(x2) x2, sum(rnk * w * g) b, sum(CASE WHEN few THEN rnk * w * g ELSE 0 END) v
+      FROM rare JOIN marks m ON m.variant_idx = rare.variant_idx JOIN dense d ON d.variant_idx = rare.variant_idx GROUP BY ALL),
+    burden_tests AS (
+      SELECT gene_name, mask, beta, annotation, abs(bu) / sqrt(sigma2 * (bb - {_QUAD.format('b')})) bz, CASE WHEN vv > 0 THEN abs(vu) / sqrt(sigma2 * (vv - {_QUAD.format('v')})) END vz
+      FROM (SELECT gene_name, mask, beta, annotation, sum(b * raw) bu, sum(b * b) bb, sum(b) b0, sum(b * x1) b1, sum(b * x2) b2, sum(v * raw) vu, sum(v * v) vv, sum(v) v0, sum(v * x1) v1, sum(v * x2) v2 FROM burdens GROUP BY ALL), inv, sigma),
+    parts AS (
+      SELECT gene_name, mask, beta, annotation, {_erfc('(abs(score) / sqrt(2 * variance))')} p, rnk * w * w * pi() * pi() * maf * (1 - maf) wa FROM rare JOIN marks m ON m.variant_idx = rare.variant_idx JOIN tests t ON t.variant_idx = rare.variant_idx WHERE NOT few
+      UNION ALL
+      SELECT gene_name, mask, beta, annotation, {_erfc('(vz / sqrt(2))')}, wa FROM burden_tests JOIN (
+        SELECT gene_name, mask, beta, annotation, avg(rnk * w * w * pi() * pi() * maf * (1 - maf)) wa FROM rare JOIN marks m ON m.variant_idx = rare.variant_idx WHERE few GROUP BY ALL) USING (gene_name, mask, beta, annotation)),
+    acat AS (SELECT gene_name, mask, beta, annotation, sum(wa * {_TAN}) / sum(wa) t FROM parts GROUP BY ALL),
+    elementary AS (
+      SELECT gene_name, mask, 'B' test, beta, annotation, {_erfc('(bz / sqrt(2))')} p FROM burden_tests UNION ALL SELECT gene_name, mask, 'A', beta, annotation, {_cauchy_sql('t')} FROM acat)"""
+
+
+def _newton_sql(rounds: int) -> str:
+    """Logistic regression of building by unrolled Newton steps, each solved by Cramer's rule."""
+    ctes = ["units AS (SELECT sample_idx, y, x1, x2 FROM design WHERE trait = 'building')", "beta0 AS (SELECT 0.0::DOUBLE b0, 0.0::DOUBLE b1, 0.0::DOUBLE b2)"]
+    for k in range(rounds):
+        ctes.append(f"""sums{k} AS (
+          SELECT any_value(b0) b0, any_value(b1) b1, any_value(b2) b2, sum(w) n, sum(w * x1) a, sum(w * x2) b, sum(w * x1 * x1) c, sum(w * x1 * x2) d, sum(w * x2 * x2) e, sum(y - m) p, sum((y - m) * x1) q, sum((y - m) * x2) r
+          FROM (SELECT *, m * (1 - m) w FROM (SELECT *, 1 / (1 + exp(-(b0 + b1 * x1 + b2 * x2))) m FROM units, beta{k})))""")
+        ctes.append(f"""beta{k + 1} AS (
+          SELECT b0 + ((c * e - d * d) * p + (b * d - a * e) * q + (a * d - b * c) * r) / det b0, b1 + ((b * d - a * e) * p + (n * e - b * b) * q + (a * b - n * d) * r) / det b1, b2 + ((a * d - b * c) * p + (a * b - n * d) * q + (n * c - a * a) * r) / det b2
+          FROM (SELECT *, n * (c * e - d * d) - a * (a * e - b * d) + b * (a * d - b * c) det FROM sums{k}))""")
+    return ", ".join(ctes)
+
+
 ORACLE = {
+    "null_logistic": _with("SELECT 'building' trait, (SELECT count(*) FROM units) n, round(b0, 6) b0, round(b1, 6) b1, round(b2, 6) b2, true at_optimum FROM beta9", _newton_sql(9)),
+    "single_variant_p": _with(
+        f"SELECT variant_idx, round(p, 8) + 0.0 pvalue, round(-log10(p), 4) + 0.0 pvalue_log10 FROM (SELECT cf.variant_idx, {_erfc('(abs(score) / sqrt(2 * variance))')} p FROM cf JOIN tests t ON t.variant_idx = cf.variant_idx WHERE initial_mac >= 20 AND maf > 0 AND maf < 1)", _DENSE
+    ),
+    "burden_and_acat": _with(
+        f"""SELECT gene_name, mask, test, beta, annotation, CASE WHEN NOT isnan(p) THEN round(p, 7) + 0.0 END p FROM (
+              SELECT * FROM elementary UNION ALL SELECT gene_name, mask, 'all', '', '', {_cauchy_sql('t')} FROM (SELECT gene_name, mask, avg({_TAN}) t FROM elementary GROUP BY ALL))""",
+        _MEMBERS, _DENSE, _RARE_BALANCE, _WEIGHTED,
+    ),
     "variant_stats": _with(
         "SELECT variant_idx, ref_ac::BIGINT ref_ac, called::BIGINT called, n_missing, round(ref_af, 9) ref_af, round(missing_rate, 9) missing_rate, initial_mac, round(maf, 9) maf, counts_alt, extraction_group, observed_mac::BIGINT observed_mac, round(observed_mac + n_missing * 2 * maf, 6) cmac FROM freq", _FREQ
     ),
