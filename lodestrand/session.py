@@ -25,7 +25,7 @@ def shared_dir(spark: SparkSession) -> str:
     where = spark.conf.get(_CHECKPOINT_SETTING, None) or spark.sparkContext.getConf().get(_CHECKPOINT_SETTING)
     if where:
         return where.rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
+    if not spark.sparkContext.master.startswith("local"):
         raise ValueError(f"{_CHECKPOINT_SETTING} must name a folder that all executors share")
     where = spark.sparkContext.getCheckpointDir()
     if not where:
@@ -70,8 +70,8 @@ atexit.register(release)
 
 
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
-    """Whether ``df`` has at most ``rows`` rows; reads no more than that."""
-    return df.limit(rows + 1).count() <= rows
+    """Whether ``df`` has at most ``rows`` rows. Partitions are tried a few at a time, so a large ``df`` is given up early."""
+    return len(df.select(F.lit(1)).take(rows + 1)) <= rows
 
 
 def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
