@@ -61,7 +61,8 @@ def _dot(p: int, factors: str) -> Column:
 
 def fit_linear(design: DataFrame, p: int) -> NullModel:
     """Ordinary least squares: resid = (y - fit) / sigma2 and w = 1 / sigma2. A singular design or n <= p is an error."""
-    sums = _moments(design, p, F.lit(1.0), F.col("y"), F.sum(F.col("y") * F.col("y")).alias("yty"))
+    design = stored(design.select("trait", "sample_idx", "y", *_x(p)), "design")
+    sums = _moments(design, p, F.lit(1.0), F.col("y"))
 
     def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

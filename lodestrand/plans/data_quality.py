@@ -90,7 +90,7 @@ _PEOPLE = """
     SELECT DISTINCT table_name, row_key, fid, iid, loaded_at t FROM (
       SELECT 'phenotypes' table_name, row_id row_key, fid, iid, loaded_at FROM phenotypes
       UNION ALL SELECT 'covariates', row_id, fid, iid, loaded_at FROM covariates
-      UNION ALL SELECT 'kinship_samples', sample_index, json_extract_string(sample_id, '$[0]'), json_extract_string(sample_id, '$[1]'), loaded_at FROM kinship_samples)
+      UNION ALL SELECT 'kinship_samples', sample_index, CASE WHEN json_valid(sample_id) THEN json_extract_string(sample_id, '$[0]') END, CASE WHEN json_valid(sample_id) THEN json_extract_string(sample_id, '$[1]') END, loaded_at FROM kinship_samples)
     WHERE fid IS NOT NULL AND iid IS NOT NULL"""
 
 _ORPHANS = f"""
@@ -197,5 +197,6 @@ ORACLE = {
         WHERE finding IS NOT NULL""",
     "p5_profile": f"""{_CELLS}
         SELECT c.table_name, c.load_id, c.column_name, n_rows, round(n_missing / n_rows, 9) null_rate, n_bad, n_distinct, least, greatest, q25, q50, q75, round(distance, 9) distance
-        FROM chained c LEFT JOIN shifts s ON s.table_name = c.table_name AND s.load_id = c.load_id AND s.column_name = c.column_name""",
+        FROM chained c LEFT JOIN shifts s ON s.table_name = c.table_name AND s.load_id = c.load_id AND s.column_name = c.column_name
+        WHERE (c.table_name, c.column_name) IN (SELECT (table_name, column_name) FROM value_dictionary)""",
 }
