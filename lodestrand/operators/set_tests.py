@@ -321,6 +321,22 @@ def binary_summaries(burdens: DataFrame) -> DataFrame:
     return per_beta.unionByName(burdens.groupBy(*key).agg(cauchy_spa("p").alias("p")).select(*key, F.lit("WGS-B").alias("name"), "p"))
 
 
+def binary_with_disruptive(burdens: DataFrame) -> DataFrame:
+    """trait, gene_name, name, p of missense masks once the disruptive ones' base burdens join them.
+
+    'Burden(<beta>)-Disruptive' (1 where the gene has no disruptive mask or its p is missing) and,
+    where it has one, the WGS-B summaries over all.
+    """
+    key = ["trait", "gene_name"]
+    missense = burdens.filter("mask = 'missense'").select(*key, "mask", "beta", "annotation", "p")
+    disruptive = burdens.filter("mask = 'disruptive_missense' and annotation = ''").select(*key, "beta", "p", F.lit(True).alias("has"))
+    base = missense.filter("annotation = ''").select(*key, "mask", "beta")
+    added = base.join(disruptive, [*key, "beta"], "left").select(*key, "mask", "beta", F.lit("Disruptive").alias("annotation"), F.coalesce(F.nanvl("p", F.lit(1.0)), F.lit(1.0)).alias("p"), "has")
+    together = missense.join(added.filter("has").select(*key).distinct(), key, "left_semi").unionByName(added.filter("has").drop("has"))
+    own = added.select(*key, F.concat(F.lit("Burden("), "beta", F.lit(")-Disruptive")).alias("name"), "p")
+    return own.unionByName(binary_summaries(together).drop("mask"))
+
+
 def binary_single(calls: DataFrame, null: NullModel, mac_cutoff: float = 20, p_filter: float = 0.05, imputation: str = "mean", tol: float = 2.0**-13, rounds: int = 1000) -> DataFrame:
     """trait, variant_idx, score, variance, p_normal, p of binary traits; p by saddlepoint where p_normal < ``p_filter``.
 

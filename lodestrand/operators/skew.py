@@ -8,6 +8,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import small
+
 #: Keys are counted in this many hash buckets; a bucket with over HOT_SHARE of the rows is salted.
 BUCKETS = 4096
 HOT_SHARE = 1 / 64
@@ -66,6 +68,5 @@ def skew_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str =
 
 
 def broadcast_if_small_rows(df: DataFrame) -> DataFrame | None:
-    from ..session import small
-
+    """``df`` with a broadcast hint where its counted size allows it, else None."""
     return F.broadcast(df) if small(df) else None

@@ -148,7 +148,12 @@ def test_binary_burdens_and_single(spark, study):
     members = members_of(spark)
     want = expected_sets(study, members.collect(), "b", 0.05)
     null = null_models.NullModel(study["null"].samples.filter("trait = 'b'"), study["null"].models.filter("trait = 'b'"), 3)
-    rows = set_tests.binary_burdens(study["calls"], null, study["variants"], members, F.array("a", "b"), ["one", "two"], cutoff=0.05, p_filter=1.1).collect()
+    burdens = set_tests.binary_burdens(study["calls"], null, study["variants"], members, F.array("a", "b"), ["one", "two"], cutoff=0.05, p_filter=1.1)
+    rows = burdens.collect()
+    extra = {(r["gene_name"], r["name"]): r["p"] for r in set_tests.binary_with_disruptive(burdens).collect()}
+    assert extra["G3", "Burden(1,1)-Disruptive"] == 1.0 and ("G3", "WGS-B") not in extra
+    ps = [r["p"] for r in rows if (r["gene_name"], r["mask"]) == ("G1", "missense")] + [r["p"] for r in rows if (r["gene_name"], r["mask"], r["annotation"]) == ("G1", "disruptive_missense", "")]
+    assert extra["G1", "WGS-B"] == pytest.approx(numerics.cauchy([p for p in ps if p < 1]), rel=1e-9)
     assert {(r["gene_name"], r["mask"]) for r in rows} == set(want)
     labels = [(b, n) for b in ("1,25", "1,1") for n in ("", "one", "two")]
     for (gene, mask), (js, weights, d) in want.items():
