@@ -153,7 +153,7 @@ def set_tests(calls: DataFrame, null: NullModel, variants: DataFrame, members: D
 def burden_statistics(calls: DataFrame, null: NullModel, members: DataFrame, imputation: str = "mean", cutoff: float = 0.01) -> DataFrame:
     """trait, gene_name, mask, n_variants, score, variance, skat_q, cmac of unweighted burdens, by joins and sums only."""
     scored = scores(calls, null, imputation)
-    rare = rare_members(members, scored, cutoff)
+    rare = stored(rare_members(members, scored, cutoff), "members")
     per_mask = rare.join(scored, ["trait", "variant_idx"]).groupBy("trait", "gene_name", "mask").agg(
         F.count(F.lit(1)).alias("n_variants"),
         F.sum("score").alias("score"),

@@ -212,7 +212,7 @@ def binary_single(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def burden_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Unweighted burden score and variance, SKAT statistic and cMAC of every mask of balance."""
-    rows = set_tests.burden_statistics(star.calls(spark, sf_dir), _linear(spark, sf_dir), _members(spark, sf_dir))
+    rows = set_tests.burden_statistics(stored(star.calls(spark, sf_dir), "calls"), _linear(spark, sf_dir), _members(spark, sf_dir))
     z = F.round(F.col("score") / F.sqrt("variance"), 6) + F.lit(0.0)
     return rows.select("gene_name", "mask", "n_variants", z.alias("z"), F.round(F.col("skat_q") / F.col("variance"), 6).alias("q_ratio"), _r("cmac", 6))
 
