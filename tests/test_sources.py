@@ -4,7 +4,6 @@ import tarfile
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 from lodestrand.operators import masks
 from lodestrand.plans import workflow
