@@ -60,8 +60,12 @@ def value_counts(df: DataFrame, table_name: str, columns: Sequence[str]) -> Data
 
 
 def sorted_counts(counts: DataFrame) -> DataFrame:
-    """The counts range-sorted by column, cohort and value, with the number of their sorted partition, as a stored table."""
-    spread = counts.repartitionByRange(*SERIES, "value", "load_id").withColumn("part", F.spark_partition_id())
+    """The counts range-sorted by column, cohort and value, with the number of their sorted partition, as a stored table.
+
+    Equal values of a series share a partition (one number row per load), so curves of neighbouring
+    loads step together there.
+    """
+    spread = counts.repartitionByRange(*SERIES, "value").withColumn("part", F.spark_partition_id())
     return stored(spread, "value_counts")
 
 

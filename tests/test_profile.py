@@ -64,3 +64,21 @@ def test_each_change_of_a_load(spark):
     for r in profile.findings({"x": df}, limits).collect():
         found.setdefault(r["load_id"], set()).add(r["finding"])
     assert found == {2: {"range", "shift"}, 3: {"constant", "distinct", "shift"}, 4: {"constant", "null_rate"}, 5: {"distinct", "null_rate"}, 6: {"null_rate"}}
+
+
+def test_equal_values_of_loads_stay_in_one_partition(spark):
+    rows = [(load * 100 + i, load, "c", float(i % 2), 7.0) for load in range(1, 16) for i in range(20)]
+    df = spark.createDataFrame(rows, "row_id bigint, load_id int, cohort string, v double, same double")
+    limits = spark.createDataFrame([("x", "v", 0.0, 1.0), ("x", "same", 0.0, 9.0)], "table_name string, column_name string, min_value double, max_value double")
+    settings = {"spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        distances = {(r["load_id"], r["column_name"]): r["distance"] for r in profile.profile({"x": df}, limits).collect()}
+        found = {(r["column_name"], r["finding"]) for r in profile.findings({"x": df}, limits).collect()}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert all(d == (None if load == 1 else 0.0) for (load, _), d in distances.items()) and len(distances) == 30
+    assert found == {("same", "constant")}
