@@ -226,6 +226,21 @@ def with_disruptive(long: DataFrame) -> DataFrame:
     return own.unionByName(combined).unionByName(unchanged)
 
 
+def disruptive_columns(tests: Sequence[str] = ("S", "B", "A")) -> list[str]:
+    return [f"{TESTS[t]}({beta})-Disruptive" for t in tests for beta in BETAS]
+
+
+def wide_with_disruptive(long: DataFrame, names: Sequence[str], chrom: str | None = None) -> DataFrame:
+    """``wide`` with the '-Disruptive' columns at its end; missense rows take the summaries of ``with_disruptive``."""
+    table = wide(long, names, chrom)
+    changed = [f"WGS-{t}({beta})" for t in TESTS for beta in BETAS] + ["WGS-O"]
+    extra = with_disruptive(long).groupBy("trait", "gene_name").pivot("name", [*disruptive_columns(), *changed]).agg(F.first("p"))
+    extra = extra.select("trait", F.col("gene_name").alias("Gene name"), F.lit("missense").alias("Category"), F.struct(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(extra.columns[2:]))).alias("_new"))
+    place = {c: F.col(f"_new.c{i}") for i, c in enumerate([*disruptive_columns(), *changed])}
+    kept = [F.when(F.col("_new").isNotNull(), place[c]).otherwise(F.col(f"`{c}`")).alias(c) if c in changed else F.col(f"`{c}`") for c in table.columns]
+    return table.join(extra, ["trait", "Gene name", "Category"], "left").select(*kept, *(place[c].alias(c) for c in disruptive_columns()))
+
+
 class _Patterns:
     """The different (mu, design) rows of each binary trait with their numbers, and each sample's pattern."""
 
@@ -240,12 +255,13 @@ class _Patterns:
 
 
 def _spa_with_patterns(score: float, own: pd.DataFrame, x: list[str], base: float, patterns: tuple, tol: float, rounds: int) -> float:
-    """Saddlepoint p of a burden given on its carriers (e, mu, x*), ``base`` elsewhere; others enter by pattern and number."""
+    """Saddlepoint p of a burden given on its carriers (e, mu, x*), ``base`` elsewhere; others enter by pattern and number.
+
+    ``cross`` is the burden's product with the precision matrix and the design.
+    """
     mu, design, many, cov = patterns
     e, own_mu, own_x = own["e"].to_numpy(), own["mu"].to_numpy(), own[x].to_numpy()
-    w, own_w = mu * (1 - mu), own_mu * (1 - own_mu)
-    cross = base * (design * (w * many)[:, None]).sum(axis=0) + (own_x * (own_w * e)[:, None]).sum(axis=0)
-    factor = cov @ cross
+    factor = cov @ np.array(own["cross"].iloc[0])
     g = np.concatenate([base - design @ factor, base - own_x @ factor, base + e - own_x @ factor])
     weight = np.concatenate([many, -np.ones(len(e)), np.ones(len(e))])
     p, failed = weighted_spa(score, g, np.concatenate([mu, own_mu, own_mu]), weight, tol, rounds)
@@ -266,10 +282,9 @@ def binary_burdens(calls: DataFrame, null: NullModel, variants: DataFrame, membe
     """Burden p-values of binary traits: normal ones, and by saddlepoint where these are below ``p_filter``.
 
     trait, gene_name, mask, n_variants, cmac, beta, annotation, score, variance, p_normal, p. No
-    variant covariance is built: each weighted burden is summed per sample by Spark.
+    variant covariance is built: each weighted burden is summed per sample by Spark. Under a mixed
+    model variances and projections are those of its precision matrix, the saddlepoint takes its means.
     """
-    if null.pairs is not None:
-        raise ValueError("saddlepoint tests need independent samples")
     x = [f"x{i}" for i in range(null.p)]
     scored = scores(calls, null, imputation)
     rare = stored(rare_members(members, scored, cutoff, at_least), "members")
@@ -290,12 +305,16 @@ def binary_burdens(calls: DataFrame, null: NullModel, variants: DataFrame, membe
     cells = oriented_cells(calls, null, scored.join(rare.select("trait", "variant_idx").distinct(), ["trait", "variant_idx"], "left_semi"))
     burdens = F.array(*(F.sum(b[i] * F.col("e")) for i in range(len(labels)))).alias("es")
     per_sample = stored(cells.join(weighted.select(*mask, "variant_idx", "b"), ["trait", "variant_idx"]).groupBy(*mask, "sample_idx").agg(burdens, F.first("w").alias("w")), "burdens")
-    squares = per_sample.groupBy(*mask).agg(F.array(*(F.sum(F.col("w") * F.col("es")[i] * F.col("es")[i]) for i in range(len(labels)))).alias("ees"))
+    products = per_sample.withColumn("wes", F.transform("es", lambda e: F.col("w") * e))
+    if null.pairs is not None:
+        weighed = F.array(*(F.sum(b[i] * F.col("we")) for i in range(len(labels)))).alias("wes")
+        products = per_sample.join(weighted_cells(cells, null).join(weighted.select(*mask, "variant_idx", "b"), ["trait", "variant_idx"]).groupBy(*mask, "sample_idx").agg(weighed), [*mask, "sample_idx"])
+    squares = products.groupBy(*mask).agg(F.array(*(F.sum(F.col("wes")[i] * F.col("es")[i]) for i in range(len(labels)))).alias("ees"))
     whole = F.col("base") * F.col("base") * F.col("w0") + 2 * F.col("base") * F.col("e_w1") + F.coalesce(F.get("ees", F.col("at")), F.lit(0.0))
     nominal = per_mask.join(squares, mask, "left").withColumn("variance", whole - quadratic(F.col("cross"), F.col("cov"), null.p))
-    nominal = stored(nominal.withColumn("p_normal", chi2_p(F.col("score") * F.col("score") / F.when(F.col("variance") > 0, F.col("variance")))).drop("cross", "w0", "cov", "ees", "e_w1"), "nominal")
-    chosen = nominal.filter(F.col("p_normal") < p_filter).select(*mask, "at", "score", "base")
-    carriers = per_sample.join(chosen, mask).join(null.samples.select("trait", "sample_idx", "mu", *x), ["trait", "sample_idx"]).withColumn("e", F.get("es", F.col("at"))).select(*mask, "at", "score", "base", "e", "mu", *x)
+    nominal = stored(nominal.withColumn("p_normal", chi2_p(F.col("score") * F.col("score") / F.when(F.col("variance") > 0, F.col("variance")))).drop("w0", "cov", "ees", "e_w1"), "nominal")
+    chosen = nominal.filter(F.col("p_normal") < p_filter).select(*mask, "at", "score", "base", "cross")
+    carriers = per_sample.join(chosen, mask).join(null.samples.select("trait", "sample_idx", "mu", *x), ["trait", "sample_idx"]).withColumn("e", F.get("es", F.col("at"))).select(*mask, "at", "score", "base", "cross", "e", "mu", *x)
     patterns = null.samples.sparkSession.sparkContext.broadcast(_Patterns(null).of)
 
     def correct(k: tuple, own: pd.DataFrame) -> pd.DataFrame:
@@ -337,6 +356,13 @@ def binary_with_disruptive(burdens: DataFrame) -> DataFrame:
     return own.unionByName(binary_summaries(together).drop("mask"))
 
 
+def binary_names(burdens: DataFrame) -> DataFrame:
+    """``binary_summaries`` of every mask, those of missense masks over their disruptive burdens too (with these as rows)."""
+    extra = binary_with_disruptive(burdens).select("trait", "gene_name", F.lit("missense").alias("mask"), "name", "p")
+    plain = binary_summaries(burdens)
+    return plain.join(extra, ["trait", "gene_name", "mask", "name"], "left_anti").select(extra.columns).unionByName(extra)
+
+
 def binary_single(calls: DataFrame, null: NullModel, mac_cutoff: float = 20, p_filter: float = 0.05, imputation: str = "mean", tol: float = 2.0**-13, rounds: int = 1000) -> DataFrame:
     """trait, variant_idx, score, variance, p_normal, p of binary traits; p by saddlepoint where p_normal < ``p_filter``.
 
@@ -344,9 +370,9 @@ def binary_single(calls: DataFrame, null: NullModel, mac_cutoff: float = 20, p_f
     """
     x = [f"x{i}" for i in range(null.p)]
     scored = scores(calls, null, imputation).filter(F.col("initial_mac") >= mac_cutoff).filter("maf > 0 and maf < 1 and variance > 0 and family = 'binomial'")
-    nominal = scored.withColumn("p_normal", chi2_p(F.col("score") * F.col("score") / F.col("variance"))).select("trait", "variant_idx", "score", "variance", "p_normal", "base")
+    nominal = scored.withColumn("p_normal", chi2_p(F.col("score") * F.col("score") / F.col("variance"))).select("trait", "variant_idx", "score", "variance", "p_normal", "base", "cross")
     chosen = nominal.filter(F.col("p_normal") < p_filter)
-    cells = oriented_cells(calls, null, scored).join(chosen.select("trait", "variant_idx", "score", "base"), ["trait", "variant_idx"])
+    cells = oriented_cells(calls, null, scored).join(chosen.select("trait", "variant_idx", "score", "base", "cross"), ["trait", "variant_idx"])
     carriers = cells.join(null.samples.select("trait", "sample_idx", "mu", *x), ["trait", "sample_idx"])
     patterns = null.samples.sparkSession.sparkContext.broadcast(_Patterns(null).of)
 

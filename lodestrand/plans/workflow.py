@@ -111,7 +111,8 @@ def run_all(spark: SparkSession, phenotype_csv: str, covariate_csv: str, prepare
 
     ``traits`` maps phenotype to covariate columns (default: all of both), ``families`` overrides the
     family that 0/1 values imply, ``transform`` is none, rint or paper for continuous traits,
-    ``null_fit_mode`` ordinary or mixed (with ``grm`` = diagonal, edges). A complete output is not written again.
+    ``null_fit_mode`` ordinary or mixed (with ``grm`` = diagonal, edges). Binary traits have burdens only,
+    with saddlepoint p-values in single-variant tests and burdens. A complete output is not written again.
     """
     done = os.path.join(output, "report.json")
     if os.path.exists(done):
@@ -147,30 +148,46 @@ def run_all(spark: SparkSession, phenotype_csv: str, covariate_csv: str, prepare
         files.write_results(table, f"{output}/{name}", order)
         report["rows"][name] = table.count()
 
+    binary = [t for t, f in found.items() if f == "binomial"]
+
+    def part(of_binary: bool) -> null_models.NullModel:
+        own = F.col("trait").isin(binary) if of_binary else ~F.col("trait").isin(binary)
+        return null_models.NullModel(null.samples.filter(own), null.models.filter(own), p, null.pairs if null.pairs is None else null.pairs.filter(own))
+
     if "single" in analyses:
         single = association.single_variant(calls, null, variants, mac_cutoff, imputation=imputation)
+        if binary:
+            single = _with_saddlepoint(single, set_tests.binary_single(calls, part(True), mac_cutoff, imputation=imputation))
         sink("single", single, association.SINGLE_ORDER)
     phred, names = annotations.phred_columns(variants.columns, list(annotation_names), gene_variant_type)
     rows = {"coding": lambda: masks.coding_masks(variants, data.genes, gene_variant_type), "noncoding": lambda: masks.noncoding_masks(variants, data.promoters, data.genes, gene_variant_type, include_ncrna=False), "ncrna": lambda: masks.noncoding_masks(variants, data.promoters, data.ncrnas, gene_variant_type).filter("mask = 'ncRNA'")}
-    binary = [t for t, f in found.items() if f == "binomial"]
     for kind in ("coding", "noncoding", "ncrna"):
         if kind not in analyses:
             continue
         members = rows[kind]()
-        continuous = null_models.NullModel(null.samples.filter(~F.col("trait").isin(binary)), null.models.filter(~F.col("trait").isin(binary)), p, null.pairs)
         if len(binary) < len(found):
-            long = stored(set_tests.set_tests(calls, continuous, variants, members, phred, names, rare_maf_cutoff, rv_num_cutoff, maximum_mask_variants, imputation, long_mask_threshold, long_mask_rank), "tests")
-            table = set_tests.wide(long, names, ",".join(chromosomes) if chromosomes else None)
+            long = stored(set_tests.set_tests(calls, part(False), variants, members, phred, names, rare_maf_cutoff, rv_num_cutoff, maximum_mask_variants, imputation, long_mask_threshold, long_mask_rank), "tests")
+            shape = set_tests.wide_with_disruptive if kind == "coding" else set_tests.wide
+            table = shape(long, names, ",".join(chromosomes) if chromosomes else None)
             sink(kind, files.gene_rows_as_text(table), ["trait", "Gene name", "Category"])
-        if binary and null.pairs is None:
-            own = null_models.NullModel(null.samples.filter(F.col("trait").isin(binary)), null.models.filter(F.col("trait").isin(binary)), p)
-            burdens = set_tests.binary_burdens(calls, own, variants, members, phred, names, rare_maf_cutoff, rv_num_cutoff, imputation=imputation)
+        if binary:
+            burdens = stored(set_tests.binary_burdens(calls, part(True), variants, members, phred, names, rare_maf_cutoff, rv_num_cutoff, imputation=imputation), "binary")
             sink(f"{kind}_binary", burdens.drop("score", "variance"), ["trait", "gene_name", "mask", "beta", "annotation"])
+            sink(f"{kind}_binary_summaries", set_tests.binary_names(burdens), ["trait", "gene_name", "mask", "name"])
     os.makedirs(output, exist_ok=True)
     with open(done, "w") as f:
         json.dump(report, f, indent=1)
     return report
 
 
+def _with_saddlepoint(single: DataFrame, spa: DataFrame) -> DataFrame:
+    """Single-variant rows whose final p is that of ``binary_single``, with the normal one beside it; a p of 0 has an infinite, unverified logarithm."""
+    rows = single.join(spa.select("trait", "variant_idx", "p_normal", F.col("p").alias("_p"), "unverified"), ["trait", "variant_idx"], "left")
+    changed = F.col("_p").isNotNull() & (F.col("_p") != F.col("p_normal"))
+    log_p = F.when(F.col("_p") == 0, F.lit(float("inf"))).otherwise(-F.log10("_p"))
+    final = {"pvalue": F.when(changed, F.col("_p")).otherwise(F.col("pvalue")), "pvalue_log10": F.when(changed, log_p).otherwise(F.col("pvalue_log10"))}
+    return rows.select(*(final.get(c, F.col(c)).alias(c) for c in single.columns), F.when(F.col("_p").isNotNull(), F.col("pvalue")).alias("normal_pvalue"), F.when(F.col("_p").isNotNull(), F.col("pvalue_log10")).alias("normal_pvalue_log10"), "unverified")
+
+
 def _rint(rows: DataFrame) -> DataFrame:
     return inverse_normal(rows, ["trait"], "y").withColumn("y", F.col("rint")).drop("rank", "n", "rint")

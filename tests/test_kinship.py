@@ -90,3 +90,55 @@ def test_subset(families, spark):
     diagonal, edges = kinship.subset(families["diagonal"], families["edges"], keep)
     assert sorted(r["sample_idx"] for r in diagonal.collect()) == [0, 1, 4]
     assert sorted((r["i"], r["j"]) for r in edges.collect()) == [(0, 1), (1, 0)]
+
+
+def test_study_writes_every_binary_analysis(spark, families, tmp_path):
+    from lodestrand.functions import numerics
+    from lodestrand.plans import workflow
+
+    rng = np.random.default_rng(3)
+    states = rng.binomial(2, rng.choice([0.03, 0.06], 16)[:, None], (16, N))
+    calls = spark.createDataFrame([(i, j, int(states[j, i]), "21") for j in range(16) for i in range(N) if states[j, i]], "sample_idx bigint, variant_idx bigint, state int, chrom string")
+    rows = [(j, "21", 10 * j + 5, "A", "C", "PASS", "exonic", "nonsynonymous SNV", "D" if j in (1, 3, 5) else "T", "", "", "", "") for j in range(16)]
+    tables = {
+        "samples": spark.createDataFrame([(i, "f", str(i)) for i in range(N)], "sample_idx bigint, fid string, iid string"),
+        "variants": spark.createDataFrame(rows, "variant_idx bigint, chrom string, pos bigint, ref string, alt string, qc string, category string, exonic string, metasvm string, info string, genehancer string, cage string, dhs string"),
+        "calls": calls,
+        "variant_stats": spark.createDataFrame([(0, "21")], "variant_idx bigint, chrom string"),
+        "genes": spark.createDataFrame([(0, "G1", "21", 1, 80, None), (1, "G2", "21", 81, 200, None)], "ordinal bigint, gene_name string, chrom string, start_pos bigint, end_pos bigint, problem string"),
+        "ncrnas": spark.createDataFrame([(0, "R", "21")], "ordinal bigint, gene_name string, chrom string"),
+        "promoters": spark.createDataFrame([("21", 1, 3)], "chrom string, start_pos bigint, end_pos bigint"),
+    }
+    for name, df in tables.items():
+        df.write.parquet(str(tmp_path / "d" / name))
+    (tmp_path / "x.csv").write_text("FID,IID,age\n" + "".join(f"f,{i},{float(families['x'][i, 1])!r}\n" for i in range(N)))
+    (tmp_path / "y.csv").write_text("FID,IID,y,b\n" + "".join(f"f,{i},{float(families['y'][i])!r},{int(families['b'][i])}\n" for i in range(N)))
+    (tmp_path / "b.csv").write_text("FID,IID,b\n" + "".join(f"f,{i},{int(families['b'][i])}\n" for i in range(N)))
+    run = lambda y, out, **more: workflow.run_all(spark, str(tmp_path / y), str(tmp_path / "x.csv"), str(tmp_path / "d"), str(tmp_path / out), analyses=("single", "coding"), mac_cutoff=1, rare_maf_cutoff=0.3, **more)
+    read = lambda path: spark.read.csv(str(tmp_path / path), header=True).toPandas()
+
+    assert {"single", "coding", "coding_binary", "coding_binary_summaries"} == set(run("y.csv", "plain")["rows"])
+    single = read("plain/single")
+    assert single.loc[single["trait"] == "b", "normal_pvalue"].notna().all() and single.loc[single["trait"] == "y", "normal_pvalue"].isna().all()
+    table = read("plain/coding").set_index(["Gene name", "Category"])
+    assert table.loc[("G1", "missense"), "Burden(1,1)-Disruptive"] == table.loc[("G1", "disruptive_missense"), "Burden(1,1)"]
+    assert float(table.loc[("G2", "missense"), "SKAT(1,25)-Disruptive"]) == 1.0
+    names = read("plain/coding_binary_summaries").set_index(["gene_name", "mask", "name"])["p"]
+    assert {"WGS-B", "WGS-B(1,1)", "WGS-B(1,25)", "Burden(1,1)-Disruptive", "Burden(1,25)-Disruptive"} == set(names.loc["G1", "missense"].index)
+
+    mixed = run("b.csv", "mixed", null_fit_mode="mixed", grm=(families["diagonal"], families["edges"]))
+    assert mixed["rows"]["coding_binary"] > 0 and mixed["rows"]["coding_binary_summaries"] > 0
+    null = kinship.fit_mixed_logistic(families["binary"], families["diagonal"], families["edges"], 2)
+    samples = null.samples.orderBy("sample_idx").toPandas()
+    s, x = np.diag(samples["w"].to_numpy()), families["x"]
+    for r in null.pairs.collect():
+        s[r["i"], r["j"]] = r["value"]
+    maf = states.sum(1) / (2 * N)
+    members = spark.createDataFrame([("G", "plof", j) for j in range(16)], "gene_name string, mask string, variant_idx bigint")
+    got = set_tests.binary_burdens(calls.drop("chrom"), null, spark.createDataFrame([(j, 1.0) for j in range(16)], "variant_idx bigint, a double"), members, F.array("a"), ["one"], cutoff=0.3, p_filter=1.1)
+    got = got.filter("beta = '1,1' and annotation = ''").first()
+    burden = states[(maf > 0) & (maf < 0.3)].sum(0).astype(float)
+    cov = np.linalg.inv(x.T @ s @ x)
+    projected = burden - x @ (cov @ (x.T @ s @ burden))
+    assert got["variance"] == pytest.approx(burden @ s @ projected, rel=1e-6)
+    assert got["p"] == pytest.approx(numerics.binary_spa(float(burden @ samples["resid"]), projected, samples["mu"].to_numpy())[0], rel=1e-4)
