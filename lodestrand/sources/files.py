@@ -6,6 +6,7 @@ import io
 import json
 import tarfile
 from collections.abc import Iterator, Sequence
+from typing import BinaryIO
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -33,24 +34,49 @@ def read_annotations(spark: SparkSession, path: str, mapping: dict[str, str], me
     return spark.read.csv(path, sep=separator, header=True, inferSchema=False, quote='"', escape='"').select(*chosen)
 
 
+def _stream(path: str) -> BinaryIO:
+    """A file of the shared folder or another file system, named as Spark does, to be read once from its start."""
+    if path.startswith(("/", "file:")):
+        return open("/" + path.removeprefix("file:").lstrip("/"), "rb")
+    from pyarrow import fs
+
+    system, place = fs.FileSystem.from_uri(path)
+    return system.open_input_stream(place, compression=None)
+
+
+class _Once(io.RawIOBase):
+    """A member of a streamed archive, which can't seek."""
+
+    def __init__(self, member: BinaryIO):
+        self.member = member
+
+    def readable(self) -> bool:
+        return True
+
+    def readinto(self, buffer) -> int:
+        data = self.member.read(len(buffer))
+        buffer[: len(data)] = data
+        return len(data)
+
+
 def _read_tar(spark: SparkSession, path: str, member: str | None, mapping: dict[str, str]) -> DataFrame:
-    """One task per archive, read member by member in chunks; nothing is unpacked to disk."""
+    """An archive is read by one task, as a stream and in chunks; neither it nor a member is ever held whole or unpacked to disk."""
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for content in batch["content"]:
-                with tarfile.open(fileobj=io.BytesIO(content), mode="r:*") as archive:
+            for place in batch["path"]:
+                with _stream(place) as source, tarfile.open(fileobj=source, mode="r|*") as archive:
                     for entry in archive:
                         if not entry.isfile() or (member is not None and entry.name != member):
                             continue
                         separator = "," if ".csv" in entry.name else "\t"
                         packed = "gzip" if entry.name.endswith(".gz") else None
-                        chunks = pd.read_csv(archive.extractfile(entry), sep=separator, dtype=str, keep_default_na=False, usecols=list(mapping.values()), compression=packed, chunksize=TAR_ROWS)
+                        chunks = pd.read_csv(io.BufferedReader(_Once(archive.extractfile(entry))), sep=separator, dtype=str, keep_default_na=False, usecols=list(mapping.values()), compression=packed, chunksize=TAR_ROWS)
                         for chunk in chunks:
                             yield chunk.rename(columns={source: field for field, source in mapping.items()})[list(mapping)].replace("", None)
 
     schema = ", ".join(f"`{field}` string" for field in mapping)
-    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(read, schema)
+    return spark.read.format("binaryFile").load(path).select("path").mapInPandas(read, schema)
 
 
 def read_manifest(path: str, chrom: str) -> dict:

@@ -83,6 +83,22 @@ def test_annotation_formats(spark, study):
     assert sorted(map(str, files.read_annotations(spark, str(study / "a.parquet"), mapping).collect())) == sorted(map(str, files.read_annotations(spark, str(study / "a.csv"), mapping).collect()))
 
 
+def test_archive_is_streamed_not_loaded(spark, tmp_path):
+    place = tmp_path / "a b%20c.tar.gz"
+    text = "POS,WEIGHT\n" + "".join(f"{i},{i * i}\n" for i in range(2000))
+    with tarfile.open(place, "w:gz") as archive:
+        info = tarfile.TarInfo("x.csv")
+        info.size = len(text)
+        archive.addfile(info, io.BytesIO(text.encode()))
+    setting = "spark.sql.sources.binaryFile.maxLength"
+    spark.conf.set(setting, "100")
+    try:
+        got = [tuple(r) for r in files._read_tar(spark, str(place), None, {"pos": "POS", "score": "WEIGHT"}).collect()]
+    finally:
+        spark.conf.unset(setting)
+    assert got == [(str(i), str(i * i)) for i in range(2000)]
+
+
 def test_references_and_manifest(spark, study):
     genes = files.read_genes(spark, str(study / "genes.csv"), "21").orderBy("ordinal").collect()
     assert [(g["gene_name"], g["start_pos"], g["end_pos"], g["problem"]) for g in genes] == [("GENE_B", 20, 30, None), ("GENE_A", 1, 10, None)]
