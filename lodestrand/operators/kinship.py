@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import stored
-from .components import connected_components
+from .blocks import matrix_blocks
 from .null_models import NullModel, fit_logistic
 
 #: Samples whose blocks one task works through, about.
@@ -39,7 +39,7 @@ def block_rows(design: DataFrame, diagonal: DataFrame, edges: DataFrame, p: int)
     diagonal entry count as 1.
     """
     links = edges.filter("i <> j and value <> 0").select(F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"), "value").dropDuplicates(["i", "j"])
-    groups = connected_components(links, "i", "j").select(F.col("vertex").alias("sample_idx"), F.col("group").alias("block"))
+    groups = matrix_blocks(links).select(F.col("index").alias("sample_idx"), "block")
     both = links.unionByName(links.select(F.col("j").alias("i"), F.col("i").alias("j"), "value"))
     relatives = both.groupBy(F.col("i").alias("sample_idx")).agg(F.collect_list(F.struct("j", "value")).alias("relatives"))
     rows = design.join(groups, "sample_idx", "left").join(relatives, "sample_idx", "left").join(diagonal.withColumnRenamed("value", "own"), "sample_idx", "left")

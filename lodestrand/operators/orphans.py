@@ -10,12 +10,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .skew import hot_buckets, salt, salts_for, skew_join, with_all_salts
+from .skew import hot_buckets, salted, skew_join, with_all_salts
 
 #: Integer keys are sorted in blocks of 2**BLOCK_BITS, which bounds every sorted group.
 BLOCK_BITS = 16
-#: References of one hot individual that one task sorts at most, about.
-ROWS_PER_SALT = 100_000
+#: References of one individual that one task sorts; beyond them they are salted.
+ROWS_PER_TASK = 100_000
 _FOREVER = 2**62
 
 
@@ -63,7 +63,7 @@ def validity_runs(fam: DataFrame) -> DataFrame:
     )
 
 
-def individual_orphans(references: DataFrame, runs: DataFrame) -> DataFrame:
+def individual_orphans(references: DataFrame, runs: DataFrame, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
     """table_name, row_key, period_month, status of references (table_name, row_key, fid, iid, loaded_at) to no valid individual.
 
     References and runs of an individual meet in one sorted group and the last run starting no
@@ -73,10 +73,9 @@ def individual_orphans(references: DataFrame, runs: DataFrame) -> DataFrame:
     pair = ["fid", "iid"]
     t = F.unix_micros(F.col("loaded_at").cast("timestamp"))
     refs = references.select("table_name", "row_key", *pair, t.alias("t"), F.date_format("loaded_at", "yyyy-MM").alias("period_month")).dropna(subset=pair)
-    hot = hot_buckets(refs, pair)
-    salts = salts_for(hot, ROWS_PER_SALT)
-    asked = refs.withColumn("salt", salt(pair, hot, salts, F.struct("table_name", "row_key", "t"))).withColumn("run_end", F.lit(None).cast("bigint"))
-    known = with_all_salts(runs, pair, hot, salts, "salt").select(
+    hot = hot_buckets(refs, pair, rows_per_task)
+    asked = salted(refs, pair, hot, F.struct("table_name", "row_key", "t"), "salt").withColumn("run_end", F.lit(None).cast("bigint"))
+    known = with_all_salts(runs, pair, hot, "salt").select(
         F.lit(None).cast("string").alias("table_name"), F.lit(None).cast("bigint").alias("row_key"), *pair, F.col("run_start").alias("t"), F.lit(None).cast("string").alias("period_month"), "salt", "run_end"
     )
     group = Window.partitionBy(*pair, "salt")

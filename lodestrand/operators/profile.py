@@ -35,7 +35,7 @@ def value_counts(df: DataFrame, table_name: str, columns: Sequence[str]) -> Data
     """
     types = dict(df.dtypes)
     columns = [c for c in columns if c in types]
-    rows = df.select("row_id", "cohort", "load_id", *columns).filter("load_id is not null").distinct()
+    rows = df.filter("load_id is not null").select("row_id", F.coalesce("cohort", F.lit("")).alias("cohort"), "load_id", *columns).distinct()
     out = None
     for text in (True, False):
         names = [c for c in columns if (types[c] == "string") == text]
@@ -52,7 +52,7 @@ def value_counts(df: DataFrame, table_name: str, columns: Sequence[str]) -> Data
             value = F.when(~missing & (F.abs("raw") < float("inf")), F.col("raw"))
         kind = F.when(missing, "missing").when(value.isNull(), "bad").otherwise("number")
         value = value + F.lit(0.0)
-        part = counted.select(F.lit(table_name).alias("table_name"), F.coalesce("cohort", F.lit("")).alias("cohort"), "load_id", "column_name", kind.alias("kind"), value.alias("value"), "n")
+        part = counted.select(F.lit(table_name).alias("table_name"), "cohort", "load_id", "column_name", kind.alias("kind"), value.alias("value"), "n")
         if text:
             part = part.groupBy(*CELL, "kind", "value").agg(F.sum("n").alias("n"))
         out = part if out is None else out.unionByName(part)

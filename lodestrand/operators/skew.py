@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -10,61 +9,67 @@ from pyspark.sql import functions as F
 
 from ..session import small
 
-#: Keys are counted in this many hash buckets; a bucket with over HOT_SHARE of the rows is salted.
-BUCKETS = 4096
-HOT_SHARE = 1 / 64
+#: Keys are counted in this many hash buckets.
+BUCKETS = 1 << 16
+#: Rows of one key that a task takes; a bucket above them is split, into as many parts as it holds this many rows.
+ROWS_PER_TASK = 500_000
+#: Buckets that are split at most: on tables beyond MAX_HOT * ROWS_PER_TASK rows a task takes a MAX_HOT-th of all rows.
+MAX_HOT = 4096
 
 
 def key_bucket(keys: Sequence[str]) -> Column:
     return F.pmod(F.xxhash64(*keys), F.lit(BUCKETS)).cast("int")
 
 
-def hot_buckets(df: DataFrame, keys: Sequence[str], share: float = HOT_SHARE) -> dict[int, int]:
-    """Hash buckets of ``keys`` with more than ``share`` of the rows, and their row counts.
+def hot_buckets(df: DataFrame, keys: Sequence[str], rows_per_task: int = ROWS_PER_TASK) -> dict[int, int]:
+    """Hash buckets of ``keys`` with more rows than a task should take, and the number of salts each needs.
 
-    A key with more than that share always lies in one of them. At most ``1/share`` buckets come
-    back, whatever the data: only ``BUCKETS`` counters are ever aggregated.
+    A key with more rows than that always lies in one of them. At most MAX_HOT buckets with fewer
+    than 2 * MAX_HOT salts together come back, whatever the data: only BUCKETS counters are aggregated.
     """
     counts = df.groupBy(key_bucket(keys).alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
-    total = Window.partitionBy()
-    rows = counts.withColumn("total", F.sum("n").over(total)).filter(F.col("n") > F.col("total") * share).collect()
-    return {r["bucket"]: r["n"] for r in rows}
+    whole = Window.partitionBy()  # over the counters
+    limit = F.greatest(F.lit(rows_per_task), F.sum("n").over(whole) / MAX_HOT)
+    rows = counts.withColumn("limit", limit).filter("n > limit").select("bucket", F.ceil(F.col("n") / F.col("limit")).cast("int").alias("salts")).collect()
+    return {r["bucket"]: r["salts"] for r in rows}
 
 
-def salts_for(hot: dict[int, int], rows_per_salt: int) -> int:
-    return max(1, math.ceil(max(hot.values(), default=0) / rows_per_salt))
+def _salts(df: DataFrame, keys: Sequence[str], hot: dict[int, int], name: str) -> DataFrame:
+    """``df`` with the number of salts of its key (1 outside hot buckets)."""
+    table = df.sparkSession.createDataFrame(list(hot.items()), "_bucket int, _salts int")
+    joined = df.withColumn("_bucket", key_bucket(keys)).join(F.broadcast(table), "_bucket", "left")  # at most MAX_HOT rows
+    return joined.withColumn(name, F.coalesce("_salts", F.lit(1))).select(*df.columns, name)
 
 
-def salt(keys: Sequence[str], hot: dict[int, int], salts: int, spread: Column) -> Column:
-    """0 for rows outside hot buckets, else one of ``salts`` numbers by ``spread``."""
-    if not hot or salts == 1:
-        return F.lit(0)
-    return F.when(key_bucket(keys).isin(list(hot)), F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int")).otherwise(F.lit(0))
+def salted(df: DataFrame, keys: Sequence[str], hot: dict[int, int], spread: Column, name: str) -> DataFrame:
+    """``df`` with a salt from ``spread``: 0 for rows outside hot buckets, else one of the bucket's."""
+    if not hot:
+        return df.withColumn(name, F.lit(0))
+    return _salts(df, keys, hot, name).withColumn(name, F.pmod(F.xxhash64(spread), F.col(name)).cast("int"))
 
 
-def with_all_salts(df: DataFrame, keys: Sequence[str], hot: dict[int, int], salts: int, name: str) -> DataFrame:
-    """One copy of each row per salt its key can have: ``salts`` copies in hot buckets, one elsewhere."""
-    if not hot or salts == 1:
+def with_all_salts(df: DataFrame, keys: Sequence[str], hot: dict[int, int], name: str) -> DataFrame:
+    """One copy of each row per salt its key can have; one outside hot buckets."""
+    if not hot:
         return df.withColumn(name, F.lit(0))
-    all_salts = F.when(key_bucket(keys).isin(list(hot)), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
-    return df.withColumn(name, F.explode(all_salts))
+    return _salts(df, keys, hot, name).withColumn(name, F.explode(F.sequence(F.lit(0), F.col(name) - 1)))
 
 
-def skew_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner", salts: int = 32) -> DataFrame:
+def skew_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner", rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
     """Equi-join of a large, possibly skewed ``left`` with a ``right`` of few rows per key.
 
     A ``right`` of counted small size is broadcast. Otherwise rows of hot buckets are spread over
-    ``salts`` tasks and the matching right rows are repeated for each. ``how`` is inner, left,
-    left_semi or left_anti. Null keys match nothing.
+    as many tasks as their number asks for, and the matching right rows are repeated for each.
+    ``how`` is inner, left, left_semi or left_anti. Null keys match nothing.
     """
     right_small = broadcast_if_small_rows(right)
     if right_small is not None:
         return left.join(right_small, list(keys), how)
-    hot = hot_buckets(left, keys)
-    spread = F.struct(*left.columns)
-    salted = left.withColumn("_salt", salt(keys, hot, salts, spread))
-    copies = with_all_salts(right, keys, hot, salts, "_salt")
-    return salted.join(copies, [*keys, "_salt"], how).drop("_salt")
+    hot = hot_buckets(left, keys, rows_per_task)
+    if not hot:
+        return left.join(right, list(keys), how)
+    spread = salted(left, keys, hot, F.struct(*left.columns), "_salt")
+    return spread.join(with_all_salts(right, keys, hot, "_salt"), [*keys, "_salt"], how).drop("_salt")
 
 
 def broadcast_if_small_rows(df: DataFrame) -> DataFrame | None:

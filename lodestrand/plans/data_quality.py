@@ -1,23 +1,23 @@
-"""Queries p1 to p5 and their SQL twins."""
+"""Queries p1 and p3 to p5 and their SQL twins."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import components, orphans, profile, rejects, selection
+from ..operators import orphans, profile, rejects, selection
 from ..session import stored, table
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Runs and genes whose variant of rank threshold + 1 exists, found by exact selection."""
+    """Runs and genes whose variant of rank threshold + 1 exists, found by exact selection; variants rank by a key without nulls."""
     assignments = table(spark, sf_dir, "gene_assignments")
     variants = stored(selection.different_variants(assignments, table(spark, sf_dir, "gene_reference")), "variants")
     limits = table(spark, sf_dir, "analysis_options").select("options_id", "long_mask_threshold").distinct()
     runs = assignments.groupBy("run_id").agg(F.min("options_id").alias("options_id")).join(limits, "options_id")
     genes = variants.select("run_id", "hgnc_symbol").distinct()
     wanted = genes.join(runs, "run_id").select("run_id", "hgnc_symbol", (F.col("long_mask_threshold") + 1).alias("rank"))
-    return selection.select_ranks(variants, ["run_id", "hgnc_symbol"], "pos", wanted).select("run_id", "hgnc_symbol")
+    return selection.select_ranks(variants, ["run_id", "hgnc_symbol"], "variant", wanted).select("run_id", "hgnc_symbol")
 
 
 def p1_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,12 +26,6 @@ def p1_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return selection.exact_quantiles(variants, ["run_id", "hgnc_symbol"], "pos", (0.25, 0.5, 0.75))
 
 
-def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    links = components.kinship_links(table(spark, sf_dir, "kinship_edges"), table(spark, sf_dir, "kinship_samples"))
-    groups = components.connected_components(links)
-    return groups.select(F.col("vertex").alias("sample_index"), F.col("group").alias("group_index"))
-
-
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, rejected = rejects.split_lines(table(spark, sf_dir, "raw_lines"))
     return rejected.select("file_name", "line_no", "reason")
@@ -75,17 +69,12 @@ def p5_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return full.select("table_name", "load_id", "column_name", F.col("rows").alias("n_rows"), rate.alias("null_rate"), F.col("bad").alias("n_bad"), F.col("distinct").alias("n_distinct"), "least", "greatest", "q25", "q50", "q75", F.round("distance", 9).alias("distance"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_quantiles, p2_found, p3_found, p3_loaded, p4_found, p4_report, p5_found, p5_profile)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_quantiles, p3_found, p3_loaded, p4_found, p4_report, p5_found, p5_profile)}
 
 _VARIANTS = """
     SELECT DISTINCT a.run_id, a.hgnc_symbol, a.pos, a.ref_allele, a.alt_allele
     FROM gene_assignments a WHERE a.qc = 'PASS' AND a.hgnc_symbol IN (SELECT hgnc_symbol FROM gene_reference)"""
 
-_LINKS = """
-    SELECT edge_rows u, edge_cols v FROM kinship_edges
-    WHERE edge_rows <> edge_cols AND edge_values IS NOT NULL AND NOT isnan(edge_values) AND NOT isinf(edge_values) AND edge_values <> 0
-      AND edge_rows IN (SELECT sample_index FROM kinship_samples) AND edge_cols IN (SELECT sample_index FROM kinship_samples)"""
-
 _PEOPLE = """
     SELECT DISTINCT table_name, row_key, fid, iid, loaded_at t FROM (
       SELECT 'phenotypes' table_name, row_id row_key, fid, iid, loaded_at FROM phenotypes
@@ -180,10 +169,6 @@ ORACLE = {
           SELECT *, row_number() OVER (PARTITION BY run_id, hgnc_symbol ORDER BY pos) rn, count(*) OVER (PARTITION BY run_id, hgnc_symbol) n FROM ({_VARIANTS})),
           (VALUES (0.25::DOUBLE), (0.5::DOUBLE), (0.75::DOUBLE)) q(probability)
         WHERE rn >= probability * n GROUP BY run_id, hgnc_symbol, probability, n""",
-    "p2_found": f"""
-        WITH RECURSIVE links AS (SELECT u, v FROM ({_LINKS}) UNION SELECT v, u FROM ({_LINKS})),
-        reach(a, b) AS (SELECT u, u FROM links UNION SELECT r.a, l.v FROM reach r JOIN links l ON l.u = r.b)
-        SELECT a AS sample_index, min(b) AS group_index FROM reach GROUP BY a""",
     "p4_found": _ORPHANS,
     "p4_report": f"SELECT table_name, period_month, status, count(*) AS n_orphans FROM ({_ORPHANS}) GROUP BY ALL",
     "p5_found": f"""{_CELLS}

@@ -8,7 +8,7 @@ import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 _CHECKPOINT_SETTING = "spark.checkpoint.dir"
@@ -46,13 +46,29 @@ _written: list[tuple[SparkSession, str]] = []
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back: the lineage ends there.
 
-    The folders are removed when the driver program ends, or by ``release``.
+    The rows are counted while they are written, for ``small``. The folders are removed when the
+    driver program ends, by ``release``, or one by one by ``discard``.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/lodestrand/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    counted = Observation()
+    df.observe(counted, F.count(F.lit(1)).alias("n")).write.option("compression", "zstd").parquet(path)
     _written.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    back._stored_path, back._stored_rows = path, counted.get["n"]
+    return back
+
+
+def discard(df: DataFrame) -> None:
+    """Remove the table behind ``df``, as ``stored`` returned it, once nothing reads it any more."""
+    at = next((i for i, (_, path) in enumerate(_written) if path == df._stored_path), None)
+    if at is not None:
+        _delete(*_written.pop(at))
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def release() -> None:
@@ -60,8 +76,7 @@ def release() -> None:
     while _written:
         spark, path = _written.pop()
         try:
-            target = spark._jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+            _delete(spark, path)
         except Exception:  # noqa: BLE001  the session may be gone
             pass
 
@@ -70,8 +85,9 @@ atexit.register(release)
 
 
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
-    """Whether ``df`` has at most ``rows`` rows. Partitions are tried a few at a time, so a large ``df`` is given up early."""
-    return len(df.select(F.lit(1)).take(rows + 1)) <= rows
+    """Whether ``df`` has at most ``rows`` rows: known for tables of ``stored``, else counted by Spark up to that limit."""
+    known = getattr(df, "_stored_rows", None)
+    return (df.select(F.lit(1)).limit(rows + 1).count() if known is None else known) <= rows
 
 
 def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:

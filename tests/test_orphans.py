@@ -13,9 +13,8 @@ def day(n):
     return None if n is None else dt.datetime(2024, 1, 1) + dt.timedelta(days=n)
 
 
-@pytest.mark.parametrize("rows_per_salt", [3, 100_000])
-def test_individuals_against_brute_force(spark, rows_per_salt, monkeypatch):
-    monkeypatch.setattr(orphans, "ROWS_PER_SALT", rows_per_salt)
+@pytest.mark.parametrize("rows_per_task", [3, 100_000])
+def test_individuals_against_brute_force(spark, rows_per_task):
     rng = random.Random(1)
     fam = [(rng.choice("01"), rng.choice("abc"), rng.randrange(20), rng.choice([None, *range(25)])) for _ in range(12)]
     fam += [fam[0], ("never", "x", None, None), (None, "a", 1, None)]
@@ -24,6 +23,7 @@ def test_individuals_against_brute_force(spark, rows_per_salt, monkeypatch):
     got = orphans.individual_orphans(
         spark.createDataFrame([("t", k, f, i, day(t), "x") for k, f, i, t in [*refs, refs[0]]], REFS),
         orphans.validity_runs(spark.createDataFrame([(f, i, day(a), day(b), "x") for f, i, a, b in fam], FAM)),
+        rows_per_task,
     ).collect()
     want = {}
     for key, f, i, t in refs:

@@ -1,6 +1,8 @@
 import math
 import random
 
+import pytest
+
 from lodestrand.operators import profile
 
 
@@ -66,11 +68,21 @@ def test_each_change_of_a_load(spark):
     assert found == {2: {"range", "shift"}, 3: {"constant", "distinct", "shift"}, 4: {"constant", "null_rate"}, 5: {"distinct", "null_rate"}, 6: {"null_rate"}}
 
 
-def test_equal_values_of_loads_stay_in_one_partition(spark):
+def test_null_and_empty_cohorts_are_one(spark):
+    rows = [(1, 1, None, 5.0), (2, 1, "", 5.0), (3, 1, "", 5.0), (3, 1, "", 5.0)]
+    df = spark.createDataFrame(rows, "row_id bigint, load_id int, cohort string, v double")
+    limits = spark.createDataFrame([("x", "v", 0.0, 9.0)], "table_name string, column_name string, min_value double, max_value double")
+    (cell,) = profile.profile({"x": df}, limits).collect()
+    assert (cell["rows"], cell["numbers"], cell["distinct"]) == (3, 3, 1)
+    assert [r["finding"] for r in profile.findings({"x": df}, limits).collect()] == ["constant"]
+
+
+@pytest.mark.parametrize("partitions", [1, 12, 200])
+def test_equal_values_of_loads_stay_in_one_partition(spark, partitions):
     rows = [(load * 100 + i, load, "c", float(i % 2), 7.0) for load in range(1, 16) for i in range(20)]
     df = spark.createDataFrame(rows, "row_id bigint, load_id int, cohort string, v double, same double")
     limits = spark.createDataFrame([("x", "v", 0.0, 1.0), ("x", "same", 0.0, 9.0)], "table_name string, column_name string, min_value double, max_value double")
-    settings = {"spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    settings = {"spark.sql.shuffle.partitions": str(partitions), "spark.sql.adaptive.enabled": "false"}
     before = {k: spark.conf.get(k) for k in settings}
     try:
         for k, v in settings.items():

@@ -2,7 +2,6 @@ from lodestrand.plans import compare, data_quality, genetics
 
 FOUND = {
     "p1_found": {"run_id", "hgnc_symbol"},
-    "p2_found": {"sample_index", "group_index"},
     "p3_found": {"file_name", "line_no", "reason"},
     "p4_found": {"table_name", "row_key", "period_month", "status"},
     "p5_found": {"table_name", "load_id", "column_name", "finding"},
