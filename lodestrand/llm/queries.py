@@ -1,4 +1,4 @@
-"""Queries p6 to p8 and their SQL twins (none: tokens and learned labels have no SQL form)."""
+"""Queries p2 and p6 to p8, and the SQL twins of those that have one (tokens and learned labels have none)."""
 
 from __future__ import annotations
 
@@ -6,7 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import stored, table
-from . import encode, packing, subjects
+from . import components, encode, packing, subjects
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    links = components.kinship_links(table(spark, sf_dir, "kinship_edges"), table(spark, sf_dir, "kinship_samples"))
+    groups = components.connected_components(links)
+    return groups.select(F.col("vertex").alias("sample_index"), F.col("group").alias("group_index"))
 
 
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,5 +54,15 @@ def p8_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (p6_ids, p7_containers, p7_fill, p8_found, p8_composition)}
-ORACLE: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (p2_found, p6_ids, p7_containers, p7_fill, p8_found, p8_composition)}
+_LINKS = """
+    SELECT edge_rows u, edge_cols v FROM kinship_edges
+    WHERE edge_rows <> edge_cols AND edge_values IS NOT NULL AND NOT isnan(edge_values) AND NOT isinf(edge_values) AND edge_values <> 0
+      AND edge_rows IN (SELECT sample_index FROM kinship_samples) AND edge_cols IN (SELECT sample_index FROM kinship_samples)"""
+
+ORACLE = {
+    "p2_found": f"""
+        WITH RECURSIVE links AS (SELECT u, v FROM ({_LINKS}) UNION SELECT v, u FROM ({_LINKS})),
+        reach(a, b) AS (SELECT u, u FROM links UNION SELECT r.a, l.v FROM reach r JOIN links l ON l.u = r.b)
+        SELECT a AS sample_index, min(b) AS group_index FROM reach GROUP BY a""",
+}
