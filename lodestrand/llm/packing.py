@@ -1,135 +1,230 @@
-"""Packing of documents into fixed-capacity containers by bulk best-fit.
-
-Pieces (documents, and the parts of those above the capacity) are range-sorted by size once, so
-each size class is a stretch of the sorted order and each piece has a rank in its class. The sweep
-takes the classes from large to small as supersteps. Within one, the gaps of at least that size are
-swept upwards from the class's successor: the gap closest in size takes as many pieces as fit, then
-the next; conflicts are settled by rank, since the k-th piece of the class takes the k-th place;
-gaps are updated, and the next class follows. Pieces without a gap open new containers. This gives
-what best-fit decreasing gives piece by piece. Sizes are whole tokens up to the capacity, so the
-sweep of one capacity sees at most that many classes however many documents there are; the pieces
-themselves stay distributed and find their places by joining ranks with the sweep's rank ranges.
+"""Packing of documents into fixed-capacity containers by bulk-synchronous best-fit.
+
+Pieces (documents, and the parts of those above the capacity) and gaps (what is free in open
+containers) are distributed tables. Pieces come in bands of size, large to small. A superstep
+range-sorts the pieces of every kind's band together with the gaps that can hold one, and with new
+containers, by descending size. Each partition sweeps its stretch: every piece finds its successor,
+the tightest gap met so far that no piece before it took. What a sweep leaves over (pieces of one
+partition, gaps of an earlier one) is matched by rank: with the counts of the partitions before,
+pieces and gaps get a level, and a piece takes the last gap before it on its level. Gaps are then
+updated and the next superstep follows: what is left of the band, or the next band.
+
+A gap that holds several pieces of the band's largest size offers as many places in one superstep.
+New containers are opened no faster than the tokens that are left need, so that gaps are always
+tried first; this gives about what best-fit decreasing gives piece by piece. The number of
+supersteps depends on the capacity's bands, not on the number of documents.
 """
 
 from __future__ import annotations
 
-from bisect import bisect_left, insort
+import uuid
 from collections.abc import Iterator
+from functools import reduce
 
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..session import broadcast_if_small, stored
-
-#: Rank ranges are matched in stretches of 2**RANK_BITS pieces.
-RANK_BITS = 12
-
-_PLAN = "container_name string, size bigint, rank_from bigint, rank_to bigint, first_container bigint, per_container bigint, used_before bigint"
-
-
-def sweep(capacity: int, classes: list[tuple[int, int]]) -> Iterator[tuple[int, int, int, int, int, int]]:
-    """(size, rank_from, rank_to, first_container, per_container, used_before) for classes (size, pieces) of descending size.
-
-    The piece of rank r goes to container first + (r - rank_from) // per, behind used_before tokens
-    and the pieces placed there before it from the same range.
+from ..session import discard, shared_dir, stored
+
+_PIECE = ["kind", "size", "doc_id", "piece_no"]
+
+
+def successors(kind: np.ndarray, is_piece: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(pieces, gaps): positions of matches in one sorted stretch; each piece takes the last free gap of its kind before it."""
+    depth = np.cumsum(np.where(is_piece, -1, 1)) + is_piece
+    order = np.lexsort((np.arange(len(depth)), depth, kind))
+    first, then = order[:-1], order[1:]
+    hit = ~is_piece[first] & is_piece[then] & (depth[first] == depth[then]) & (kind[first] == kind[then])
+    return then[hit], first[hit]
+
+
+def _sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Matched pieces with their container; free pieces and gaps with their rank among those of their kind."""
+    parts = list(batches)
+    if not parts:
+        return
+    rows = pa.Table.from_batches(parts).combine_chunks()
+    kind, is_piece = rows["kind"].to_numpy(), rows["is_piece"].to_numpy()
+    container = rows["container_id"].to_numpy().copy()
+    pieces, gaps = successors(kind, is_piece)
+    container[pieces] = container[gaps]
+    state = np.zeros(len(kind), np.int32)  # 0 free, 1 matched piece, 2 taken gap
+    state[pieces], state[gaps] = 1, 2
+    rank = np.zeros(len(kind), np.int64)
+    for which in (is_piece & (state == 0), ~is_piece & (state == 0)):
+        at = np.flatnonzero(which)
+        begin = np.searchsorted(kind[at], kind[at], side="left")
+        rank[at] = np.arange(len(at)) - begin
+    out = rows.set_column(rows.schema.get_field_index("container_id"), "container_id", pa.array(container))
+    out = out.append_column("matched", pa.array(state == 1)).append_column("rank", pa.array(rank))
+    yield from out.filter(pa.array(state < 2)).to_batches()
+
+
+def match(events: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """kind, size, doc_id, piece_no, container_id (null where no gap was left) of every piece of ``events``; and the stored table it reads.
+
+    ``events`` has kind, width, is_piece and the columns of the result; of a piece container_id is
+    -1, of a gap the other columns are null. A piece fits gaps of its width or more.
     """
-    gaps: dict[int, list[tuple[int, int]]] = {}
-    order: list[int] = []
-    containers = 0
-
-    def add(gap: int, first: int, many: int) -> None:
-        if gap and many:
-            if gap not in gaps:
-                gaps[gap] = []
-                insort(order, gap)
-            gaps[gap].append((first, many))
-
-    for size, pieces in classes:
-        rank = 0
-        while rank < pieces:
-            at = bisect_left(order, size)
-            if at < len(order):
-                gap = order[at]
-                first, many = gaps[gap].pop()
-                if not gaps[gap]:
-                    del gaps[gap], order[at]
-            else:
-                gap, first, many = capacity, containers, -(-(pieces - rank) // (capacity // size))
-                containers += many
-            per = gap // size
-            full = min(many, (pieces - rank) // per)
-            if full:
-                yield size, rank, rank + full * per, first, per, capacity - gap
-                rank += full * per
-                add(gap - per * size, first, full)
-            rest = min(pieces - rank, per) if full < many else 0
-            if rest:
-                yield size, rank, rank + rest, first + full, rest, capacity - gap
-                rank += rest
-                add(gap - rest * size, first + full, 1)
-                full += 1
-            add(gap, first + full, many - full)
-
-
-def _sweep_group(classes: pd.DataFrame) -> pd.DataFrame:
-    name, capacity = classes["container_name"].iloc[0], int(classes["capacity"].iloc[0])
-    by_size = classes.sort_values("size", ascending=False)
-    rows = list(sweep(capacity, list(zip(by_size["size"].tolist(), by_size["pieces"].tolist(), strict=True))))
-    plan = pd.DataFrame(rows, columns=["size", "rank_from", "rank_to", "first_container", "per_container", "used_before"], dtype="int64")
-    plan.insert(0, "container_name", name)
-    return plan
+    columns = ["kind", "width", "is_piece", "size", "doc_id", "piece_no", "container_id"]
+    # Gaps come before pieces of their width, and containers opened first are met last, so they fill first.
+    order = [F.col("kind"), F.col("width").desc(), F.col("is_piece"), F.col("container_id").desc(), F.col("doc_id"), F.col("piece_no")]
+    placed = events.select(*columns).repartitionByRange(*order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id())
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in placed.schema) + ", matched boolean, rank bigint"
+    swept = stored(placed.mapInArrow(_sweep, schema), "swept")
+    free = swept.filter("not matched")
+    counts = free.groupBy("kind", "part").agg(F.count_if("is_piece").alias("pieces"), F.count_if(~F.col("is_piece")).alias("gaps"))
+    earlier = Window.partitionBy("kind").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row per partition
+    counts = counts.withColumn("depth", F.coalesce(F.sum(F.col("gaps") - F.col("pieces")).over(earlier), F.lit(0))).drop("gaps")
+    level = F.when(F.col("is_piece"), F.col("depth") - F.col("rank")).otherwise(F.col("depth") - F.col("pieces") + F.col("rank") + 1)
+    on_level = Window.partitionBy("kind", "level").orderBy("part", F.col("is_piece").desc())  # at most two rows per partition
+    gap_before = F.lag(F.when(~F.col("is_piece"), F.col("container_id"))).over(on_level)
+    across = free.join(F.broadcast(counts), ["kind", "part"]).withColumn("level", level).withColumn("container_id", F.when(F.col("is_piece"), gap_before).otherwise(F.col("container_id")))
+    result = [*_PIECE, "container_id"]
+    return swept.filter("matched").select(*result).unionByName(across.filter("is_piece").select(*result)), swept
+
+
+def _band(size: Column, capacity: Column) -> Column:
+    """Two bands per halving of the size, so that one and a half or two pieces of a band's largest size make one of the band's before."""
+    share = capacity / size
+    halvings = F.floor(F.log2(share))
+    return (2 * halvings + (share / F.pow(F.lit(2.0), halvings) >= 1.5).cast("int")).cast("int")
+
+
+class _Band:
+    """What is known of the pieces that are left of a kind's band, and how many containers to open for them."""
+
+    def __init__(self, pieces: int, tokens: int, least: int, most: int):
+        self.pieces, self.tokens, self.least, self.most = pieces, tokens, least, most
+
+    def openings(self, capacity: int, widest_gap: int, tried: bool) -> int:
+        if widest_gap < self.least:  # no gap holds any of the pieces
+            return self.pieces if 2 * self.least > capacity else -(-self.tokens // capacity)
+        if not tried:
+            return 0
+        return self.pieces if 2 * self.least > capacity else max(1, self.tokens // capacity)
+
+
+def _per_kind(of: list[int]) -> Column:
+    """The value of each kind, by its number."""
+    return F.element_at(F.array(*(F.lit(v).cast("bigint") for v in of)), F.col("kind") + 1)
+
+
+def _left_over(kinds: int) -> list[Column]:
+    """Aggregates of the unplaced pieces of every kind, to be observed while they are written."""
+    out = []
+    for k in range(kinds):
+        own = F.when((F.col("kind") == k) & F.col("container_id").isNull(), F.col("size"))
+        out += [F.count(own).alias(f"pieces{k}"), F.coalesce(F.sum(own), F.lit(0)).alias(f"tokens{k}"), F.coalesce(F.min(own), F.lit(0)).alias(f"least{k}"), F.coalesce(F.max(own), F.lit(0)).alias(f"most{k}")]
+    return out
+
+
+def _new_containers(spark: SparkSession, first: list[int], many: list[int]) -> DataFrame:
+    """(kind, container_id) of the containers that each kind opens, as a distributed range."""
+    kind, number, upto = F.lit(None).cast("int"), F.lit(None).cast("bigint"), sum(many)
+    for k in reversed(range(len(many))):
+        upto -= many[k]
+        here = (F.col("id") >= upto) & (F.col("id") < upto + many[k])
+        kind, number = F.when(here, F.lit(k)).otherwise(kind), F.when(here, F.col("id") - upto + first[k]).otherwise(number)
+    return spark.range(sum(many)).select(kind.alias("kind"), number.alias("container_id"))
 
 
 def pack(sizes: DataFrame, specs: DataFrame, doc_id: str = "doc_id", n_tokens: str = "n_tokens") -> DataFrame:
     """container_name, container_id, doc_id, piece_no, token_from, n_tokens, position of every piece in every kind of container.
 
     ``sizes`` (stored; doc_id unique, n_tokens) is packed once for each row of ``specs``
-    (container_name, capacity_tokens; a short table). A document above the capacity is cut into
-    full pieces and a rest, all others stay whole; token_from is where the piece starts in its
-    document, position where it starts in its container. Documents of null, zero or negative size
-    need no place and give no row, and neither do specs of null or no capacity. Ties in size are
-    ordered by doc_id; an empty table gives an empty result; other columns are not read.
+    (container_name, capacity_tokens; a short table, whose last row wins for a repeated name). A
+    document above the capacity is cut into full pieces and a rest, all others stay whole;
+    token_from is where the piece starts in its document, position where it starts in its container.
+    container_id is unique within its kind. Documents of null, zero or negative size need no place
+    and give no row, and neither do specs of null or no capacity. Ties in size are ordered by doc_id
+    and piece_no; an empty table gives an empty result; other columns are not read.
     """
-    kinds = [(r[0], r[1]) for r in specs.select("container_name", F.col("capacity_tokens").cast("bigint")).distinct().collect() if r[0] is not None and (r[1] or 0) > 0]
-    spec = F.explode(F.array(*(F.struct(F.lit(n).alias("container_name"), F.lit(c).cast("bigint").alias("capacity")) for n, c in kinds))) if kinds else None
+    spark = sizes.sparkSession
+    kinds = sorted({r[0]: r[1] for r in specs.select("container_name", F.col("capacity_tokens").cast("bigint")).collect() if r[0] is not None and (r[1] or 0) > 0}.items())
     docs = sizes.select(F.col(doc_id).alias("doc_id"), F.col(n_tokens).cast("bigint").alias("tokens")).filter("tokens > 0")
-    if spec is None:
+    if not kinds:
         return docs.filter("false").selectExpr("'' container_name", "0L container_id", "doc_id", "0L piece_no", "0L token_from", "0L n_tokens", "0L position")
-    whole = docs.withColumn("spec", spec).select("doc_id", "tokens", "spec.*")
+    capacities = [c for _, c in kinds]
+    every = F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), F.lit(c).cast("bigint").alias("capacity")) for k, c in enumerate(capacities))))
+    whole = docs.withColumn("spec", every).select("doc_id", "tokens", "spec.*")
     last = F.ceil(F.col("tokens") / F.col("capacity")).cast("bigint") - 1
-    cut = whole.withColumn("piece_no", F.explode(F.sequence(F.lit(0).cast("bigint"), last))).withColumn("token_from", F.col("piece_no") * F.col("capacity"))
-    pieces = cut.withColumn("size", F.least(F.col("capacity"), F.col("tokens") - F.col("token_from"))).drop("tokens")
-    order = ["container_name", "size", "doc_id", "piece_no"]
-    at = F.monotonically_increasing_id()  # partition and position in the sorted partition
-    ordered = stored(pieces.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("at", at), "pieces").withColumn("part", F.shiftright("at", 33))
-
-    kind = ["container_name", "size"]
-    runs = ordered.groupBy("container_name", "capacity", "size", "part").agg(F.count(F.lit(1)).alias("pieces"), F.min("at").alias("run_start"))
-    earlier = Window.partitionBy(*kind).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    runs = runs.withColumn("rank_before", F.coalesce(F.sum("pieces").over(earlier), F.lit(0)))
-    classes = runs.groupBy("container_name", "capacity", "size").agg(F.sum("pieces").alias("pieces"))
-    plan = stored(classes.groupBy("container_name").applyInPandas(_sweep_group, _PLAN), "plan")
-
-    ranked = (
-        ordered.join(broadcast_if_small(runs.select(*kind, "part", "run_start", "rank_before")), [*kind, "part"])
-        .withColumn("rank", F.col("at") - F.col("run_start") + F.col("rank_before"))
-        .withColumn("stretch", F.shiftright("rank", RANK_BITS))
-    )
-    ranges = plan.withColumn("stretch", F.explode(F.sequence(F.shiftright("rank_from", RANK_BITS), F.shiftright(F.col("rank_to") - 1, RANK_BITS))))
-    turn = F.col("rank") - F.col("rank_from")
-    return (
-        ranked.join(broadcast_if_small(ranges), [*kind, "stretch"])
-        .filter("rank >= rank_from and rank < rank_to")
-        .select(
-            "container_name",
-            (F.col("first_container") + F.floor(turn / F.col("per_container"))).cast("bigint").alias("container_id"),
-            "doc_id",
-            "piece_no",
-            "token_from",
-            F.col("size").alias("n_tokens"),
-            (F.col("used_before") + turn % F.col("per_container") * F.col("size")).alias("position"),
+    cut = whole.withColumn("piece_no", F.explode(F.sequence(F.lit(0).cast("bigint"), last)))
+    cut = cut.withColumn("size", F.least("capacity", F.col("tokens") - F.col("piece_no") * F.col("capacity"))).withColumn("band", _band(F.col("size"), F.col("capacity")))
+    pieces = stored(cut.select(*_PIECE, "band").repartitionByRange("kind", "band").sortWithinPartitions("kind", "band"), "pieces")
+
+    bands: list[list[tuple[int, _Band]]] = [[] for _ in kinds]
+    found = pieces.groupBy("kind", "band").agg(F.count(F.lit(1)), F.sum("size"), F.min("size"), F.max("size")).collect()  # two rows per halving of a capacity
+    for kind, band, *known in sorted(map(tuple, found), reverse=True):
+        bands[kind].append((band, _Band(*known)))  # the first band is last
+    smallest = [min((b.least for _, b in own), default=0) for own in bands]
+
+    where = f"{shared_dir(spark)}/lodestrand/packed-{uuid.uuid4().hex}"
+    gaps = stored(spark.range(0).select(F.lit(0).alias("kind"), F.col("id").alias("container_id"), F.col("id").alias("gap")), "gaps")
+    widest, opened = [0] * len(kinds), [0] * len(kinds)
+    now: list[_Band | None] = [None] * len(kinds)
+    tried = [False] * len(kinds)
+    left: DataFrame | None = None
+    step = 0
+    while any(bands) or any(now):
+        fresh = []
+        for k, own in enumerate(bands):
+            if now[k] is None and own:
+                band, now[k] = own.pop()
+                tried[k] = False
+                fresh.append((k, band))
+        sources = [] if left is None else [left]
+        if fresh:
+            chosen = reduce(lambda a, b: a | b, ((F.col("kind") == k) & (F.col("band") == b) for k, b in fresh))
+            sources.append(pieces.filter(chosen).select(*_PIECE))
+        waiting = reduce(DataFrame.unionByName, sources)
+        many = [b.openings(c, w, t) if b else 0 for b, c, w, t in zip(now, capacities, widest, tried, strict=True)]
+        most, least = [b.most if b else 1 for b in now], [b.least if b else c + 1 for b, c in zip(now, capacities, strict=True)]
+        new = _new_containers(spark, opened, many).withColumn("gap", _per_kind(capacities))
+        usable = gaps.filter(F.col("gap") >= _per_kind(least)).select("kind", "container_id", "gap").unionByName(new)
+        places = F.greatest(F.lit(1), F.floor(F.col("gap") / _per_kind(most))).cast("bigint")
+        kind_of_id = pieces.schema["doc_id"].dataType
+        slots = usable.withColumn("places", places).withColumn("width", F.floor(F.col("gap") / F.col("places")).cast("bigint")).withColumn("place", F.explode(F.sequence(F.lit(1).cast("bigint"), "places")))
+        events = slots.select("kind", "width", F.lit(False).alias("is_piece"), F.lit(None).cast("bigint").alias("size"), F.lit(None).cast(kind_of_id).alias("doc_id"), F.lit(None).cast("bigint").alias("piece_no"), "container_id").unionByName(
+            waiting.select("kind", F.col("size").alias("width"), F.lit(True).alias("is_piece"), "size", "doc_id", "piece_no", F.lit(-1).cast("bigint").alias("container_id"))
         )
+        matched, swept = match(events)
+        seen = Observation()
+        here = f"{where}/step={step}"
+        matched.observe(seen, *_left_over(len(kinds))).write.option("compression", "zstd").parquet(here)
+        discard(swept)
+        result = spark.read.schema(matched.schema).parquet(here)
+
+        changes = gaps.select("kind", "container_id", F.col("gap").alias("change"), F.lit(True).alias("known"))
+        changes = changes.unionByName(result.filter("container_id is not null").select("kind", "container_id", (-F.col("size")).alias("change"), F.lit(False).alias("known")))
+        gap = F.sum("change") + F.when(F.bool_or("known"), 0).otherwise(F.first(_per_kind(capacities)))
+        width = Observation()
+        after = changes.groupBy("kind", "container_id").agg(gap.alias("gap")).filter(F.col("gap") >= _per_kind(smallest))
+        before, gaps = gaps, stored(after.observe(width, *(F.coalesce(F.max(F.when(F.col("kind") == k, F.col("gap"))), F.lit(0)).alias(f"w{k}") for k in range(len(kinds)))), "gaps")
+        discard(before)
+        rest, wide = seen.get, width.get
+        for k in range(len(kinds)):
+            opened[k] += many[k]
+            widest[k], tried[k] = wide[f"w{k}"], True
+            now[k] = _Band(*(rest[f"{c}{k}"] for c in ("pieces", "tokens", "least", "most"))) if rest[f"pieces{k}"] else None
+        left = result.filter("container_id is null").select(*_PIECE) if any(now) else None
+        step += 1
+    discard(gaps)
+    if not step:
+        return pack(sizes.filter("false"), specs.filter("false"), doc_id, n_tokens)
+    return _positions(spark, where, pieces, kinds)
+
+
+def _positions(spark: SparkSession, where: str, pieces: DataFrame, kinds: list[tuple[str, int]]) -> DataFrame:
+    """The placed pieces of all supersteps, with where each starts in its container: those of earlier supersteps come first."""
+    placed = spark.read.schema("kind int, size bigint, " + f"doc_id {pieces.schema['doc_id'].dataType.simpleString()}" + ", piece_no bigint, container_id bigint, step int").parquet(where).filter("container_id is not null")
+    inside = Window.partitionBy("kind", "container_id").orderBy("step", "doc_id", "piece_no").rowsBetween(Window.unboundedPreceding, -1)  # at most a capacity's tokens
+    name = F.element_at(F.array(*(F.lit(n) for n, _ in kinds)), F.col("kind") + 1)
+    capacity = F.element_at(F.array(*(F.lit(c).cast("bigint") for _, c in kinds)), F.col("kind") + 1)
+    return placed.select(
+        name.alias("container_name"), "container_id", "doc_id", "piece_no", (F.col("piece_no") * capacity).alias("token_from"), F.col("size").alias("n_tokens"), F.coalesce(F.sum("size").over(inside), F.lit(0)).cast("bigint").alias("position")
     )
 
 
@@ -138,3 +233,22 @@ def fill(packed: DataFrame, specs: DataFrame) -> DataFrame:
     kinds = specs.select("container_name", "capacity_tokens").distinct()
     per_kind = packed.groupBy("container_name").agg(F.count_distinct("container_id").alias("n_containers"), F.sum("n_tokens").alias("n_tokens"))
     return per_kind.join(kinds, "container_name").withColumn("fill", F.round(F.col("n_tokens") / (F.col("n_containers") * F.col("capacity_tokens")), 6))
+
+
+def audit(packed: DataFrame, specs: DataFrame) -> DataFrame:
+    """Per kind of container: documents held whole, and how many documents, containers and positions break the rules.
+
+    A document is whole when its pieces follow each other from its first token; a document is split
+    although it fits when it has several pieces and no more tokens than the capacity; a container is
+    overfull beyond its capacity; its pieces must start where those before them end.
+    """
+    kinds = specs.select("container_name", F.col("capacity_tokens").cast("bigint").alias("capacity")).distinct()
+    limit = F.first("capacity")
+    rows = packed.join(F.broadcast(kinds), "container_name")  # a short table
+    of_doc = rows.groupBy("container_name", "doc_id").agg(F.sum("n_tokens").alias("n"), F.max(F.col("token_from") + F.col("n_tokens")).alias("end"), F.min("token_from").alias("start"), F.count_distinct("token_from").alias("parts"), F.count(F.lit(1)).alias("pieces"), limit.alias("capacity"))
+    whole = (F.col("start") == 0) & (F.col("end") == F.col("n")) & (F.col("parts") == F.col("pieces"))
+    docs = of_doc.groupBy("container_name").agg(F.count_if(whole).alias("n_whole"), F.count_if(~whole).alias("n_broken"), F.count_if((F.col("pieces") > 1) & (F.col("n") <= F.col("capacity"))).alias("n_split"))
+    of_container = rows.groupBy("container_name", "container_id").agg(F.sum("n_tokens").alias("n"), F.max(F.col("position") + F.col("n_tokens")).alias("end"), F.min("position").alias("start"), F.count_distinct("position").alias("places"), F.count(F.lit(1)).alias("pieces"), limit.alias("capacity"))
+    dense = (F.col("start") == 0) & (F.col("end") == F.col("n")) & (F.col("places") == F.col("pieces"))
+    containers = of_container.groupBy("container_name").agg(F.count_if(F.col("n") > F.col("capacity")).alias("n_overfull"), F.count_if(~dense).alias("n_gappy"))
+    return docs.join(containers, "container_name")

@@ -34,6 +34,12 @@ def p7_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.fill(_packed(spark, sf_dir), table(spark, sf_dir, "container_specs"))
 
 
+def p7_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that each kind of container holds whole, and every breach of the rules of packing."""
+    specs = table(spark, sf_dir, "container_specs")
+    return packing.audit(stored(_packed(spark, sf_dir), "packed"), specs)
+
+
 def _scored(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list[str], float]:
     return subjects.subject_posteriors(table(spark, sf_dir, "documents"), table(spark, sf_dir, "subject_labels"), table(spark, sf_dir, "subjects"))
 
@@ -54,7 +60,13 @@ def p8_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p6_ids, p7_containers, p7_fill, p8_found, p8_composition)}
+def p8_reliability(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Posteriors of the labelled documents, by weights without their own words, beside the share that has the label."""
+    features, model, _ = subjects.fit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "subject_labels"), table(spark, sf_dir, "subjects"))
+    return subjects.reliability(features, model).select("bin", "n_pairs", F.round("mean_posterior", 4).alias("mean_posterior"), F.round("share_labelled", 4).alias("share_labelled"))
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p6_ids, p7_containers, p7_fill, p7_audit, p8_found, p8_composition, p8_reliability)}
 _LINKS = """
     SELECT edge_rows u, edge_cols v FROM kinship_edges
     WHERE edge_rows <> edge_cols AND edge_values IS NOT NULL AND NOT isnan(edge_values) AND NOT isinf(edge_values) AND edge_values <> 0
@@ -65,4 +77,7 @@ ORACLE = {
         WITH RECURSIVE links AS (SELECT u, v FROM ({_LINKS}) UNION SELECT v, u FROM ({_LINKS})),
         reach(a, b) AS (SELECT u, u FROM links UNION SELECT r.a, l.v FROM reach r JOIN links l ON l.u = r.b)
         SELECT a AS sample_index, min(b) AS group_index FROM reach GROUP BY a""",
+    "p7_audit": """
+        SELECT container_name, (SELECT count(*) FROM documents WHERE text <> '') AS n_whole, 0::BIGINT AS n_broken, 0::BIGINT AS n_split, 0::BIGINT AS n_overfull, 0::BIGINT AS n_gappy
+        FROM (SELECT DISTINCT container_name FROM container_specs)""",
 }

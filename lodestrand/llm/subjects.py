@@ -7,8 +7,13 @@ its posteriors and estimates the weights anew, over the whole corpus each time.
 subjects are independent of each other: each subject has its own logistic calibration, drawn
 towards a common one where its labels are few.
 
+Calibration and deciding posterior are fitted out of fold: a labelled document is scored by weights
+from which its own counts are taken away again, exactly, since the counts are sums over documents.
+
 What a document deals with shows in the share of its telling words, so that a passing remark or a
-licence header in a longer file stays below a subject's threshold.
+licence header in a longer file stays below a subject's threshold. A word tells of a subject by its
+posterior among the subjects and a word that tells of none; how sharp that posterior is and how much
+a word must weigh is chosen on the labelled documents, by the loss of the calibrated posteriors.
 """
 
 from __future__ import annotations
@@ -31,9 +36,10 @@ ITERATIONS = 4
 #: Labelled documents that the calibration is fitted on at most (all other estimates use all rows).
 CALIBRATION_DOCS = 20_000
 SMOOTHING = 0.1
-#: A word tells of a subject when its weight passes this by the given steepness.
-TELLING, STEEPNESS = 1.0, 2.0
+#: Documents that a word must occur in for its weight to be estimated.
 MIN_DOCS = 3
+#: Candidates for how sharply a word's weight tells of a subject, and for the weight of a word that tells of none.
+SHAPES = tuple((steepness, level) for steepness in (1.0, 2.0, 3.0) for level in (0.5, 1.0, 1.5))
 RIDGE_COMMON, RIDGE_OWN = 1e-2, 1.0
 #: Posteriors that may decide; the one with the best F1 on the labelled documents does.
 THRESHOLDS = tuple(i / 20 for i in range(4, 17))
@@ -77,39 +83,59 @@ def label_masks(labels: DataFrame, subjects: list[str]) -> DataFrame:
 
 
 class Model:
-    """Word weights per subject and the calibration of the evidence they give."""
+    """Word counts outside each subject, the weights they give, and the calibration of the evidence."""
 
     def __init__(self, n_subjects: int):
         self.subjects = n_subjects
-        self.weights = np.zeros((n_subjects, CELLS), np.float32)
-        self.telling = np.zeros((n_subjects, CELLS), np.float32)
+        self.rest = np.zeros((n_subjects, CELLS), np.float32)
+        self.size = np.ones(n_subjects)
+        self.docs = np.zeros(CELLS, np.float32)
+        self.shape: tuple[float, float] | None = None
         self.centre = self.scale = self.factors = None
         self.threshold = 0.5
+        self._tables: tuple[np.ndarray, np.ndarray] | None = None
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"_tables": None}
 
     def weigh(self, cells: np.ndarray, sums: np.ndarray, doc_counts: np.ndarray, totals: np.ndarray) -> None:
-        """Complement weights from word counts per subject, over all, and the number of documents of each cell."""
-        often = doc_counts >= MIN_DOCS
-        cells, sums, totals = cells[often], sums[:, often], totals[often]
-        rest = np.maximum(totals[None] - sums, 0) + SMOOTHING
-        weights = -np.log(rest / rest.sum(axis=1, keepdims=True))
-        weights -= weights.mean(axis=0)
-        lift = np.exp(STEEPNESS * (weights - TELLING))
-        self.weights[:], self.telling[:] = 0, 0
-        self.weights[:, cells] = weights
-        self.telling[:, cells] = lift / (1 + lift.sum(axis=0))
+        """Take over word counts per subject, over all, and the number of documents of each cell."""
+        self.rest[:], self.docs[:], self._tables = 0, 0, None
+        self.docs[cells] = doc_counts
+        self.rest[:, cells] = np.maximum(totals[None] - sums, 0) * (doc_counts >= MIN_DOCS)
+        self.size = self.rest.sum(axis=1, dtype=float) + SMOOTHING * (doc_counts >= MIN_DOCS).sum()
+
+    def _weights(self, rest: np.ndarray, size: np.ndarray, known: np.ndarray) -> np.ndarray:
+        """Complement weights: how rare a word is outside each subject, against the mean over the subjects."""
+        weights = np.log(size) - np.log(rest + SMOOTHING)
+        return ((weights - weights.mean(axis=0)) * known).astype(np.float32)
+
+    @staticmethod
+    def _telling(weights: np.ndarray, known: np.ndarray, shape: tuple[float, float]) -> np.ndarray:
+        """A word's posterior of each subject, against a word of the level weight that tells of none."""
+        lift = np.exp(shape[0] * (weights - shape[1]))
+        return lift / (1 + lift.sum(axis=0)) * known
 
     def evidence(self, cells: np.ndarray, counts: np.ndarray, borders: np.ndarray) -> np.ndarray:
-        """Per document and subject: share of telling words, the same up to 0.3, their amount, mean weight, and telling words per word."""
-        amount = _row_sums(self.telling[:, cells] * counts, borders)
-        size = np.maximum(_row_sums(counts[None].astype(np.float32), borders), 1)
-        mean = _row_sums(self.weights[:, cells] * counts, borders) / size
-        telling = amount.sum(axis=0)
-        share = amount / np.maximum(telling, 1e-9)
-        density = np.broadcast_to(telling / size[0], amount.shape)
-        return np.stack([share, np.minimum(share, 0.3), np.log1p(amount), mean, density], axis=2).transpose(1, 0, 2)
-
-    def calibrate(self, evidence: np.ndarray, truth: np.ndarray) -> None:
-        """Logistic factors per subject from labelled documents: evidence (docs, subjects, features), truth (docs, subjects)."""
+        """Per document and subject: log odds and share of its telling words, their amount, mean weight, and telling words per word."""
+        if self._tables is None:
+            known = self.docs >= MIN_DOCS
+            weights = self._weights(self.rest, self.size[:, None], known)
+            self._tables = weights, self._telling(weights, known, self.shape).astype(np.float32)
+        weights, telling = self._tables
+        return _evidence(weights[:, cells], telling[:, cells], counts, borders)
+
+    def evidence_out_of_fold(self, cells: np.ndarray, counts: np.ndarray, borders: np.ndarray, truth: np.ndarray, shapes: list[tuple[float, float]]) -> list[np.ndarray]:
+        """``evidence`` of labelled documents under each shape, by weights without the document's own counts."""
+        row = np.repeat(np.arange(len(borders) - 1), np.diff(borders))
+        known = self.docs[cells] > MIN_DOCS
+        own = (1 - truth)[row].T * np.log1p(counts) * known
+        size = self.size[:, None] - _row_sums(own, borders)
+        weights = self._weights(np.maximum(self.rest[:, cells] - own, 0), np.maximum(size, SMOOTHING)[:, row], known)
+        return [_evidence(weights, self._telling(weights, known, shape), counts, borders) for shape in shapes]
+
+    def calibrate(self, evidence: np.ndarray, truth: np.ndarray) -> float:
+        """Logistic factors per subject from labelled documents: evidence (docs, subjects, features), truth (docs, subjects); returns the mean log loss."""
         flat = evidence.reshape(-1, evidence.shape[2])
         self.centre, self.scale = flat.mean(axis=0), flat.std(axis=0) + 1e-9
         x = (evidence - self.centre) / self.scale
@@ -118,6 +144,7 @@ class Model:
         p, real = self.posteriors(evidence), truth > 0
         f1 = [2 * (real & (p > t)).sum() / max(1, real.sum() + (p > t).sum()) for t in THRESHOLDS]
         self.threshold = max(zip(f1, THRESHOLDS, strict=True), key=lambda x: (round(float(x[0]), 4), -abs(x[1] - 0.5)))[1]
+        return float(-np.log(np.clip(np.where(real, p, 1 - p), 1e-12, 1)).mean())
 
     def posteriors(self, evidence: np.ndarray) -> np.ndarray:
         x = (evidence - self.centre) / self.scale
@@ -125,6 +152,16 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(score, -30, 30)))
 
 
+def _evidence(weights: np.ndarray, telling: np.ndarray, counts: np.ndarray, borders: np.ndarray) -> np.ndarray:
+    amount = _row_sums(telling * counts, borders)
+    size = np.maximum(_row_sums(counts[None].astype(np.float32), borders), 1)
+    mean = _row_sums(weights * counts, borders) / size
+    total = amount.sum(axis=0)
+    odds = np.log((amount + 0.5) / (total - amount + 0.5))
+    density = np.broadcast_to(total / size[0], amount.shape)
+    return np.stack([odds, amount / np.maximum(total, 1e-9), np.log1p(amount), mean, density], axis=2).transpose(1, 0, 2)
+
+
 def _row_sums(values: np.ndarray, borders: np.ndarray) -> np.ndarray:
     """Sums of the columns between borders, exactly 0 for empty rows."""
     filled = borders[:-1] < borders[1:]
@@ -196,14 +233,15 @@ def _count_words(features: DataFrame, model: Model, labelled_only: bool) -> tupl
 
 
 def _calibrate(features: DataFrame, model: Model) -> None:
-    """Fit the calibration on at most CALIBRATION_DOCS labelled documents."""
+    """Fit the calibration out of fold on at most CALIBRATION_DOCS labelled documents; the first time also choose the shape."""
     n = model.subjects
+    shapes = list(SHAPES) if model.shape is None else [model.shape]
     shared = features.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            evidence = shared.value.evidence(*_arrays(batch))
-            rows = evidence.reshape(len(evidence), -1).astype(np.float32)
+            each = shared.value.evidence_out_of_fold(*_arrays(batch), _masks(batch, n), shapes)
+            rows = np.stack(each, axis=1).reshape(batch.num_rows, -1).astype(np.float32)
             borders = pa.array(np.arange(len(rows) + 1, dtype=np.int32) * rows.shape[1])
             yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("mask")), pa.ListArray.from_arrays(borders, pa.array(rows.ravel()))], names=["mask", "evidence"])
 
@@ -213,7 +251,11 @@ def _calibrate(features: DataFrame, model: Model) -> None:
     if got.empty:
         raise ValueError("no document has a label")
     truth = ((got["mask"].to_numpy()[:, None] >> np.arange(n)) & 1).astype(float)
-    model.calibrate(np.stack(got["evidence"].to_list()).astype(float).reshape(len(got), n, -1), truth)
+    evidence = np.stack(got["evidence"].to_list()).astype(float).reshape(len(got), len(shapes), n, -1)
+    losses = [model.calibrate(evidence[:, i], truth) for i in range(len(shapes))]
+    best = int(np.argmin(losses))
+    model.shape = shapes[best]
+    model.calibrate(evidence[:, best], truth)
 
 
 def train(features: DataFrame, n_subjects: int, iterations: int = ITERATIONS) -> Model:
@@ -227,14 +269,17 @@ def train(features: DataFrame, n_subjects: int, iterations: int = ITERATIONS) ->
     return model
 
 
-def posteriors(features: DataFrame, model: Model) -> DataFrame:
-    """(doc_id, mask, posteriors) of every document, null for texts without words."""
+def posteriors(features: DataFrame, model: Model, out_of_fold: bool = False) -> DataFrame:
+    """(doc_id, mask, posteriors) of every document, null for texts without words; ``out_of_fold`` is for labelled documents."""
+    n = model.subjects
     shared = features.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             cells, counts, borders = _arrays(batch)
-            p = shared.value.posteriors(shared.value.evidence(cells, counts, borders))
+            known = shared.value
+            evidence = known.evidence_out_of_fold(cells, counts, borders, _masks(batch, n), [known.shape])[0] if out_of_fold else known.evidence(cells, counts, borders)
+            p = known.posteriors(evidence).astype(float)
             offsets = pa.array(np.arange(len(p) + 1, dtype=np.int32) * p.shape[1])
             lists = pa.ListArray.from_arrays(offsets, pa.array(p.ravel()), mask=pa.array(borders[:-1] == borders[1:]))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(batch.schema.get_field_index("mask")), lists], names=["doc_id", "mask", "posteriors"])
@@ -242,20 +287,37 @@ def posteriors(features: DataFrame, model: Model) -> DataFrame:
     return features.mapInArrow(run, f"doc_id {features.schema['doc_id'].dataType.simpleString()}, mask bigint, posteriors array<double>")
 
 
-def subject_posteriors(docs: DataFrame, labels: DataFrame, subjects: DataFrame, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, list[str], float]:
-    """(doc_id, mask, posteriors) of every document, the subjects in the order of bits and posteriors, and the deciding threshold.
+def fit(docs: DataFrame, labels: DataFrame, subjects: DataFrame, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, Model, list[str]]:
+    """The stored features of every document, the fitted model, and the subjects in the order of bits and posteriors.
 
     ``subjects`` (subject) is a short list of up to 60 names, ``labels`` has doc_id and subject.
-    Texts without words (empty, blank, null) have null posteriors. Labels of unknown documents or
-    subjects count for nothing; without any labelled document a ValueError is raised. doc_id is unique.
+    Labels of unknown documents or subjects count for nothing; without any labelled document a
+    ValueError is raised. doc_id is unique.
     """
     names = sorted(r[0] for r in subjects.select("subject").distinct().collect() if r[0] is not None)
     cells = word_cells(docs, doc_id, text)
     features = stored(cells.join(broadcast_if_small(label_masks(labels, names)), "doc_id", "left"), "features")
-    model = train(features, len(names))
+    return features, train(features, len(names)), names
+
+
+def subject_posteriors(docs: DataFrame, labels: DataFrame, subjects: DataFrame, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, list[str], float]:
+    """(doc_id, mask, posteriors) of every document, the subjects in the order of bits and posteriors, and the deciding threshold.
+
+    Inputs as for ``fit``. Texts without words (empty, blank, null) have null posteriors.
+    """
+    features, model, names = fit(docs, labels, subjects, doc_id, text)
     return posteriors(features, model), names, model.threshold
 
 
+def reliability(features: DataFrame, model: Model, bins: int = 10) -> DataFrame:
+    """bin, n_pairs, mean_posterior, share_labelled: out-of-fold posteriors of the labelled documents beside their labels."""
+    scored = posteriors(features.filter("mask is not null"), model, out_of_fold=True).filter("posteriors is not null")
+    pairs = scored.select("mask", F.posexplode("posteriors").alias("at", "p"))
+    labelled = F.expr("shiftright(mask, at) & 1")
+    binned = pairs.select(F.least(F.floor(F.col("p") * bins), F.lit(bins - 1)).cast("int").alias("bin"), "p", labelled.cast("double").alias("label"))
+    return binned.groupBy("bin").agg(F.count(F.lit(1)).alias("n_pairs"), F.avg("p").alias("mean_posterior"), F.avg("label").alias("share_labelled"))
+
+
 def assign(scored: DataFrame, subjects: list[str], threshold: float) -> DataFrame:
     """(doc_id, subject, posterior) of every subject whose posterior passes ``threshold``."""
     pairs = F.arrays_zip(F.array(*map(F.lit, subjects)).alias("subject"), F.col("posteriors").alias("posterior"))

@@ -49,3 +49,35 @@ def test_no_labels_is_an_error(spark):
 
 def test_row_sums_of_empty_rows():
     assert subjects._row_sums(np.array([[1.0, 2.0, 3.0]]), np.array([0, 0, 2, 2, 3, 3])).tolist() == [[0, 3, 0, 3, 0]]
+
+
+def test_weights_out_of_fold_are_those_of_the_other_documents(monkeypatch):
+    """Taking a document's counts away gives the model that was never shown it."""
+    monkeypatch.setattr(subjects, "CELLS", 32)
+    rng = np.random.default_rng(2)
+    counts = rng.integers(0, 4, (30, 32)) * (rng.random((30, 32)) < 0.6)
+    truth = (rng.random((30, 3)) < 0.4).astype(float)
+
+    def model_of(rows, least):
+        value = np.log1p(counts[rows])
+        model = subjects.Model(3)
+        monkeypatch.setattr(subjects, "MIN_DOCS", least)
+        model.weigh(np.arange(32), truth[rows].T @ value, (counts[rows] > 0).sum(axis=0), value.sum(axis=0))
+        model.shape = (2.0, 1.0)
+        return model
+
+    cells = np.flatnonzero(counts[7])
+    own, borders = counts[7, cells].astype(np.float32), np.array([0, len(cells)])
+    monkeypatch.setattr(subjects, "MIN_DOCS", 1)
+    (got,) = model_of(np.arange(30), 1).evidence_out_of_fold(cells, own, borders, truth[[7]], [(2.0, 1.0)])
+    want = model_of(np.delete(np.arange(30), 7), 1).evidence(cells, own, borders)
+    assert np.allclose(got, want, rtol=1e-4, atol=1e-5)
+
+
+def test_reliability(spark):
+    docs, truth = make(200)
+    labels = spark.createDataFrame([(i, s) for i in range(100) for s in truth[i]], "doc_id bigint, subject string")
+    features, model, names = subjects.fit(spark.createDataFrame([d[:2] for d in docs], "doc_id bigint, text string"), labels, spark.createDataFrame([(s,) for s in TOPICS], "subject string"))
+    rows = subjects.reliability(features, model, bins=2).collect()
+    assert names == sorted(TOPICS) and sum(r["n_pairs"] for r in rows) == 300
+    assert all(abs(r["mean_posterior"] - r["share_labelled"]) < 0.1 for r in rows)
