@@ -8,12 +8,10 @@ through sums over the trait's samples. No genotype matrix is ever built.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from ..functions.numerics import log_ndtr
+from ..functions.tails import log_erfc
 from ..session import broadcast_if_small, stored
 from .genotypes import LACKS_CALLED, LACKS_REFERENCE, by_state, frequencies, is_missing, trait_maf
 from .null_models import NullModel
@@ -88,11 +86,6 @@ def scores(calls: DataFrame, null: NullModel, imputation: str = "mean") -> DataF
     return stored(rows.withColumn("variance", squares - quadratic(F.col("cross"), F.col("cov"), p)), "scores")
 
 
-@F.pandas_udf(T.DoubleType())
-def negative_log_p(z: pd.Series) -> pd.Series:
-    return pd.Series(-np.log(2.0) - log_ndtr(-np.abs(z.to_numpy(float))))
-
-
 def single_variant(calls: DataFrame, null: NullModel, variants: DataFrame, mac_cutoff: float = 20, chunk: int = 5000, imputation: str = "mean") -> DataFrame:
     """Single-variant results of every trait, with the keys that order them.
 
@@ -104,7 +97,8 @@ def single_variant(calls: DataFrame, null: NullModel, variants: DataFrame, mac_c
     rows = kept.join(variants.select("variant_idx", "chrom", "pos", "ref", "alt"), "variant_idx")
     positive = F.col("variance") > 0
     rows = rows.withColumn("score_se", F.when(F.col("variance") >= 0, F.sqrt("variance")))
-    rows = rows.withColumn("log_p", F.when(positive, negative_log_p(F.col("score") / F.sqrt(F.when(positive, F.col("variance"))))).when(F.col("variance").isNotNull(), 0.0))
+    rows = rows.withColumn("_deviate", F.abs("score") / F.sqrt(2 * F.when(positive, F.col("variance"))))
+    rows = rows.withColumn("log_p", F.when(positive, -log_erfc(F.col("_deviate"))).when(F.col("variance").isNotNull(), 0.0))
     common = (F.col("test_maf") >= 0.01) | (F.col("missing_rate") >= 0.01)
     return _with_ordinals(rows).select(
         "trait", "variant_idx", "chrom", "pos", "ref", "alt", "alt_af", F.col("test_maf").alias("maf"), "n",

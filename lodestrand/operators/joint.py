@@ -15,9 +15,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions import numerics
+from ..functions.tails import log_chi2_sf
 from ..session import broadcast_if_small, stored
 from .annotations import association_weights
 from .association import covariance_pairs, oriented_cells, scores
@@ -60,25 +60,6 @@ def fit_joint(design: DataFrame, traits: Sequence[str], p: int) -> JointModel:
     return JointModel(NullModel(samples, stored(models, "joint_models"), p), traits, s)
 
 
-def chi2_log_sf(statistic: float, df: int) -> float:
-    """Log of the chi-square tail for whole df, by the finite gamma recurrence in log space where it underflows."""
-    p = numerics.chi2_sf(statistic, df)
-    if p > 0:
-        return math.log(p)
-    x = statistic / 2
-    if df % 2 == 0:
-        terms = [j * math.log(x) - math.lgamma(j + 1) - x for j in range(df // 2)]
-    else:
-        terms = [float(numerics.log_ndtr(-math.sqrt(statistic))) + math.log(2)] + [(j + 0.5) * math.log(x) - x - math.lgamma(j + 1.5) for j in range(df // 2)]
-    top = max(terms)
-    return top + math.log(sum(math.exp(t - top) for t in terms))
-
-
-@F.pandas_udf(T.DoubleType())
-def _negative_log_p(statistic: pd.Series, df: pd.Series) -> pd.Series:
-    return pd.Series([None if math.isnan(q) else -chi2_log_sf(max(q, 0.0), int(k)) for q, k in zip(statistic.fillna(math.nan), df, strict=True)], dtype="float64")
-
-
 def _statistic(u: list[Column], variance: Column, s: np.ndarray) -> Column:
     """u' (S^-1 variance)^-1 u."""
     total = sum((u[a] * u[b] * float(s[a, b]) for a in range(len(u)) for b in range(len(u))), F.lit(0.0))
@@ -91,7 +72,8 @@ def joint_single(calls: DataFrame, joint: JointModel, mac_cutoff: float = 20, im
     each = [F.sum(F.when(F.col("trait") == t, F.col("score"))).alias(f"score{i + 1}") for i, t in enumerate(joint.traits)]
     rows = scored.groupBy("variant_idx").agg(*each, F.max("variance").alias("variance"))
     names = [f"score{i + 1}" for i in range(len(joint.traits))]
-    rows = rows.withColumn("log_p", F.coalesce(_negative_log_p(_statistic([F.col(c) for c in names], F.col("variance"), joint.covariance), F.lit(len(names))), F.lit(0.0)))
+    rows = rows.withColumn("_half", F.greatest(_statistic([F.col(c) for c in names], F.col("variance"), joint.covariance), F.lit(0.0)) / 2)
+    rows = rows.withColumn("log_p", F.when(F.col("variance") > 0, -log_chi2_sf(F.col("_half"), len(names))).otherwise(0.0))
     return rows.select("variant_idx", *names, F.exp(-F.col("log_p")).alias("pvalue"), (F.col("log_p") / math.log(10)).alias("pvalue_log10"))
 
 

@@ -14,21 +14,20 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions import numerics
 from ..functions.combine import cauchy, cauchy_spa
-from ..session import small, stored
+from ..functions.tails import erfc
+from ..session import stored
 from .annotations import association_weights
 from .association import covariance_pairs, oriented_cells, quadratic, scores, weighted_cells
 from .genotypes import cumulative_mac
 from .null_models import NullModel
+from .saddlepoint import saddlepoint_p
 
 BETAS = ("1,25", "1,1")
 TESTS = {"S": "SKAT", "B": "Burden", "A": "ACAT-V"}
 VERY_RARE_MAC = 10
-#: Distinct (mu, design) patterns of a binary trait's samples that a worker holds at most.
-MAX_PATTERNS = 1_000_000
 
 _LONG = "trait string, gene_name string, mask string, n_variants int, cmac double, test string, beta string, annotation string, p double"
 
@@ -167,9 +166,12 @@ def burden_statistics(calls: DataFrame, null: NullModel, members: DataFrame, imp
     )
     cells = oriented_cells(calls, null, scored.join(rare.select("trait", "variant_idx").distinct(), ["trait", "variant_idx"], "left_semi"))
     place = ["trait", "gene_name", "mask", "sample_idx"]
-    per_sample = cells.join(rare, ["trait", "variant_idx"]).groupBy(*place).agg(F.sum("e").alias("e"))
-    weighed = weighted_cells(cells, null).join(rare, ["trait", "variant_idx"]).groupBy(*place).agg(F.sum("we").alias("we"))
-    squares = per_sample.join(weighed, place).groupBy("trait", "gene_name", "mask").agg(F.sum(F.col("we") * F.col("e")).alias("ee"))
+    burdens = cells.join(rare, ["trait", "variant_idx"]).groupBy(*place).agg(F.sum("e").alias("e"), F.first("w").alias("w"))
+    if null.pairs is None:
+        burdens = burdens.withColumn("we", F.col("w") * F.col("e"))
+    else:
+        burdens = burdens.join(weighted_cells(cells, null).join(rare, ["trait", "variant_idx"]).groupBy(*place).agg(F.sum("we").alias("we")), place)
+    squares = burdens.groupBy("trait", "gene_name", "mask").agg(F.sum(F.col("we") * F.col("e")).alias("ee"))
     whole = F.col("base") * F.col("base") * F.col("w0") + 2 * F.col("base") * F.col("e_w1") + F.coalesce("ee", F.lit(0.0))
     return per_mask.join(squares, ["trait", "gene_name", "mask"], "left").select(
         "trait", "gene_name", "mask", "n_variants", "score", (whole - quadratic(F.col("cross"), F.col("cov"), null.p)).alias("variance"), "skat_q", "cmac"
@@ -241,51 +243,13 @@ def wide_with_disruptive(long: DataFrame, names: Sequence[str], chrom: str | Non
     return table.join(extra, ["trait", "Gene name", "Category"], "left").select(*kept, *(place[c].alias(c) for c in disruptive_columns()))
 
 
-class _Patterns:
-    """The different (mu, design) rows of each binary trait with their numbers, and each sample's pattern."""
-
-    def __init__(self, null: NullModel):
-        x = [f"x{i}" for i in range(null.p)]
-        counted = null.samples.filter("mu is not null").groupBy("trait", "mu", *x).agg(F.count(F.lit(1)).alias("many"))
-        if not small(counted, MAX_PATTERNS):
-            raise ValueError(f"binary traits have more than {MAX_PATTERNS} different covariate rows; round the covariates")
-        rows = counted.toPandas()
-        models = {r["trait"]: np.array(r["cov"]).reshape(null.p, null.p) for r in null.models.filter("family = 'binomial'").collect()}
-        self.of = {t: (g["mu"].to_numpy(), g[x].to_numpy(), g["many"].to_numpy(float), models[t]) for t, g in rows.groupby("trait") if t in models}
-
-
-def _spa_with_patterns(score: float, own: pd.DataFrame, x: list[str], base: float, patterns: tuple, tol: float, rounds: int) -> float:
-    """Saddlepoint p of a burden given on its carriers (e, mu, x*), ``base`` elsewhere; others enter by pattern and number.
-
-    ``cross`` is the burden's product with the precision matrix and the design.
-    """
-    mu, design, many, cov = patterns
-    e, own_mu, own_x = own["e"].to_numpy(), own["mu"].to_numpy(), own[x].to_numpy()
-    factor = cov @ np.array(own["cross"].iloc[0])
-    g = np.concatenate([base - design @ factor, base - own_x @ factor, base + e - own_x @ factor])
-    weight = np.concatenate([many, -np.ones(len(e)), np.ones(len(e))])
-    p, failed = weighted_spa(score, g, np.concatenate([mu, own_mu, own_mu]), weight, tol, rounds)
-    return 1.0 if failed else p
-
-
-def weighted_spa(score: float, g: np.ndarray, mu: np.ndarray, weight: np.ndarray, tol: float, rounds: int) -> tuple[float, bool]:
-    """``numerics.binary_spa`` where entries count ``weight`` times (negative ones take entries back)."""
-    order = np.lexsort((mu, g))
-    g, mu, weight = g[order], mu[order], weight[order]
-    new = np.concatenate([[True], (np.diff(g) != 0) | (np.diff(mu) != 0)])
-    at = np.flatnonzero(new)
-    weight = np.add.reduceat(weight, at)
-    return numerics.binary_spa(score, g[at], mu[at], tol, rounds, weight)
-
-
-def binary_burdens(calls: DataFrame, null: NullModel, variants: DataFrame, members: DataFrame, phred: Column, names: Sequence[str], cutoff: float = 0.01, at_least: int = 2, p_filter: float = 0.05, imputation: str = "mean", tol: float = 2.0**-13, rounds: int = 1000) -> DataFrame:
+def binary_burdens(calls: DataFrame, null: NullModel, variants: DataFrame, members: DataFrame, phred: Column, names: Sequence[str], cutoff: float = 0.01, at_least: int = 2, p_filter: float = 0.05, imputation: str = "mean", tol: float = 2.0**-13) -> DataFrame:
     """Burden p-values of binary traits: normal ones, and by saddlepoint where these are below ``p_filter``.
 
     trait, gene_name, mask, n_variants, cmac, beta, annotation, score, variance, p_normal, p. No
     variant covariance is built: each weighted burden is summed per sample by Spark. Under a mixed
     model variances and projections are those of its precision matrix, the saddlepoint takes its means.
     """
-    x = [f"x{i}" for i in range(null.p)]
     scored = scores(calls, null, imputation)
     rare = stored(rare_members(members, scored, cutoff, at_least), "members")
     labels = _labels(names)
@@ -312,25 +276,18 @@ def binary_burdens(calls: DataFrame, null: NullModel, variants: DataFrame, membe
     squares = products.groupBy(*mask).agg(F.array(*(F.sum(F.col("wes")[i] * F.col("es")[i]) for i in range(len(labels)))).alias("ees"))
     whole = F.col("base") * F.col("base") * F.col("w0") + 2 * F.col("base") * F.col("e_w1") + F.coalesce(F.get("ees", F.col("at")), F.lit(0.0))
     nominal = per_mask.join(squares, mask, "left").withColumn("variance", whole - quadratic(F.col("cross"), F.col("cov"), null.p))
-    nominal = stored(nominal.withColumn("p_normal", chi2_p(F.col("score") * F.col("score") / F.when(F.col("variance") > 0, F.col("variance")))).drop("w0", "cov", "ees", "e_w1"), "nominal")
+    nominal = stored(with_normal_p(nominal, "p_normal").drop("w0", "cov", "ees", "e_w1"), "nominal")
     chosen = nominal.filter(F.col("p_normal") < p_filter).select(*mask, "at", "score", "base", "cross")
-    carriers = per_sample.join(chosen, mask).join(null.samples.select("trait", "sample_idx", "mu", *x), ["trait", "sample_idx"]).withColumn("e", F.get("es", F.col("at"))).select(*mask, "at", "score", "base", "cross", "e", "mu", *x)
-    patterns = null.samples.sparkSession.sparkContext.broadcast(_Patterns(null).of)
-
-    def correct(k: tuple, own: pd.DataFrame) -> pd.DataFrame:
-        p = _spa_with_patterns(float(own["score"].iloc[0]), own, x, float(own["base"].iloc[0]), patterns.value[k[0]], tol, rounds)
-        return pd.DataFrame([(*k, p)], columns=[*mask, "at", "p_spa"])
-
-    corrected = carriers.groupBy(*mask, "at").applyInPandas(correct, "trait string, gene_name string, mask string, at int, p_spa double")
+    carriers = per_sample.join(chosen.select(*mask, "at"), mask).withColumn("e", F.get("es", F.col("at"))).select(*mask, "at", "sample_idx", "e")
+    corrected = saddlepoint_p(chosen, carriers, null, [*mask, "at"], tol)
     named = F.get(label, F.col("at"))
     return nominal.join(corrected, [*mask, "at"], "left").select(*mask, named["beta"].alias("beta"), named["annotation"].alias("annotation"), "n_variants", "cmac", "score", "variance", "p_normal", F.coalesce("p_spa", "p_normal").alias("p"))
 
 
-@F.pandas_udf(T.DoubleType())
-def chi2_p(statistic: pd.Series) -> pd.Series:
-    """Upper tail of chi-square with one degree of freedom; null stays null."""
-    out = pd.Series(numerics.chi2_1_sf(statistic.fillna(0.0).to_numpy()))
-    return out.where(statistic.notna().to_numpy())
+def with_normal_p(rows: DataFrame, name: str) -> DataFrame:
+    """Adds the chi-square p-value of score and variance; null without variance."""
+    deviate = F.abs("score") / F.sqrt(2 * F.when(F.col("variance") > 0, F.col("variance")))
+    return rows.withColumn("_deviate", deviate).withColumn(name, erfc(F.col("_deviate"))).drop("_deviate")
 
 
 def binary_summaries(burdens: DataFrame) -> DataFrame:
@@ -363,23 +320,16 @@ def binary_names(burdens: DataFrame) -> DataFrame:
     return plain.join(extra, ["trait", "gene_name", "mask", "name"], "left_anti").select(extra.columns).unionByName(extra)
 
 
-def binary_single(calls: DataFrame, null: NullModel, mac_cutoff: float = 20, p_filter: float = 0.05, imputation: str = "mean", tol: float = 2.0**-13, rounds: int = 1000) -> DataFrame:
+def binary_single(calls: DataFrame, null: NullModel, mac_cutoff: float = 20, p_filter: float = 0.05, imputation: str = "mean", tol: float = 2.0**-13) -> DataFrame:
     """trait, variant_idx, score, variance, p_normal, p of binary traits; p by saddlepoint where p_normal < ``p_filter``.
 
     A p of exactly 0 is kept and marked by ``unverified``.
     """
-    x = [f"x{i}" for i in range(null.p)]
+    key = ["trait", "variant_idx"]
     scored = scores(calls, null, imputation).filter(F.col("initial_mac") >= mac_cutoff).filter("maf > 0 and maf < 1 and variance > 0 and family = 'binomial'")
-    nominal = scored.withColumn("p_normal", chi2_p(F.col("score") * F.col("score") / F.col("variance"))).select("trait", "variant_idx", "score", "variance", "p_normal", "base", "cross")
-    chosen = nominal.filter(F.col("p_normal") < p_filter)
-    cells = oriented_cells(calls, null, scored).join(chosen.select("trait", "variant_idx", "score", "base", "cross"), ["trait", "variant_idx"])
-    carriers = cells.join(null.samples.select("trait", "sample_idx", "mu", *x), ["trait", "sample_idx"])
-    patterns = null.samples.sparkSession.sparkContext.broadcast(_Patterns(null).of)
-
-    def correct(k: tuple, own: pd.DataFrame) -> pd.DataFrame:
-        p = _spa_with_patterns(float(own["score"].iloc[0]), own, x, float(own["base"].iloc[0]), patterns.value[k[0]], tol, rounds)
-        return pd.DataFrame([(*k, p)], columns=["trait", "variant_idx", "p_spa"])
-
-    corrected = carriers.groupBy("trait", "variant_idx").applyInPandas(correct, "trait string, variant_idx bigint, p_spa double")
-    joined = nominal.join(corrected, ["trait", "variant_idx"], "left").withColumn("p", F.coalesce("p_spa", "p_normal"))
-    return joined.select("trait", "variant_idx", "score", "variance", "p_normal", "p", (F.col("p") == 0).alias("unverified"))
+    nominal = with_normal_p(scored, "p_normal").select(*key, "score", "variance", "p_normal", "base", "sign", "fill", "cross")
+    chosen = stored(nominal.filter(F.col("p_normal") < p_filter), "chosen")
+    carriers = oriented_cells(calls, null, chosen).select(*key, "sample_idx", "e")
+    corrected = saddlepoint_p(chosen, carriers, null, key, tol)
+    joined = nominal.join(corrected, key, "left").withColumn("p", F.coalesce("p_spa", "p_normal"))
+    return joined.select(*key, "score", "variance", "p_normal", "p", (F.col("p") == 0).alias("unverified"))
