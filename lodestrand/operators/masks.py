@@ -90,7 +90,7 @@ def coding_masks(variants: DataFrame, genes: DataFrame, variant_type: str = "SNV
 
 
 def gene_tokens(variants: DataFrame, promoter_intervals: DataFrame, variant_type: str = "SNV", include_ncrna: bool = True) -> DataFrame:
-    """(gene_name, mask, variant_idx) of passing variants for every gene their annotations name, known or not."""
+    """(gene_name, chrom, mask, variant_idx) of passing variants for every gene their annotations name, known or not."""
     base = variants.filter(passing(variant_type))
     category, cage, dhs = _text("category"), _text("cage") != "", _text("dhs") != ""
     enhanced = _text("genehancer") != ""
@@ -107,16 +107,17 @@ def gene_tokens(variants: DataFrame, promoter_intervals: DataFrame, variant_type
 
     def exploded(rows: DataFrame, masks: dict[str, tuple[Column, Column]]) -> DataFrame:
         each = F.array(*(F.when(c, F.struct(F.lit(m).alias("mask"), g.alias("genes"))) for m, (c, g) in masks.items()))
-        kept = rows.select("variant_idx", F.explode(F.filter(each, lambda x: x.isNotNull())).alias("x"))
-        return kept.select(F.explode("x.genes").alias("gene_name"), "x.mask", "variant_idx")
+        kept = rows.select("variant_idx", "chrom", F.explode(F.filter(each, lambda x: x.isNotNull())).alias("x"))
+        return kept.select(F.explode("x.genes").alias("gene_name"), "chrom", "x.mask", "variant_idx")
 
     in_promoters = range_join(base, promoter_intervals.select("chrom", "start_pos", "end_pos"), how="left_semi")
     return exploded(base, plain).unionByName(exploded(in_promoters, promoting))
 
 
 def noncoding_masks(variants: DataFrame, promoter_intervals: DataFrame, genes: DataFrame, variant_type: str = "SNV", include_ncrna: bool = True) -> DataFrame:
-    """``gene_tokens`` of the genes of the catalogue (gene_name) only."""
-    return skew_join(gene_tokens(variants, promoter_intervals, variant_type, include_ncrna), genes.select("gene_name").distinct(), ["gene_name"], "left_semi")
+    """(gene_name, mask, variant_idx): ``gene_tokens`` of the genes that the catalogue (gene_name, chrom) has on the variant's chromosome."""
+    tokens = gene_tokens(variants, promoter_intervals, variant_type, include_ncrna)
+    return skew_join(tokens, genes.select("gene_name", "chrom").distinct(), ["gene_name", "chrom"], "left_semi").select("gene_name", "mask", "variant_idx")
 
 
 def rare(members: DataFrame, stats: DataFrame, cutoff: float = 0.01, at_least: int = 2, at_most: int | None = None) -> DataFrame:

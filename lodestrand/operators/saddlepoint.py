@@ -14,11 +14,11 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions.tails import erfc
-from ..session import discard, stored
+from ..session import stored
 from .null_models import NullModel
 from .skew import skew_join
 
@@ -69,9 +69,9 @@ def _cumulants(g: Column, mu: Column, t: Column) -> tuple[Column, Column, Column
     return F.log1p(mu * F.expm1(gt)) - gt * mu, g * (share - mu), g * g * share * (1 - share)
 
 
-def _sums(points: DataFrame, blocks: DataFrame, carriers: DataFrame, p: int) -> DataFrame:
-    """k0, k1, k2: the cumulant and its first two derivatives at every point (test_id, side, t, trait, base, factor)."""
-    batch = F.pmod(F.xxhash64("test_id", "side", "t"), F.lit(max(1, math.ceil(points._stored_rows / BATCH_TESTS)))).alias("batch")
+def _sums(points: DataFrame, n_points: int, blocks: DataFrame, carriers: DataFrame, p: int) -> DataFrame:
+    """k0, k1, k2: the cumulant and its first two derivatives at every one of ``n_points`` points (test_id, side, t, trait, base, factor)."""
+    batch = F.pmod(F.xxhash64("test_id", "side", "t"), F.lit(max(1, math.ceil(n_points / BATCH_TESTS)))).alias("batch")
     batches = points.groupBy("trait", batch).agg(F.collect_list(F.struct("test_id", "side", "t", "base", "factor")).alias("tests"))
     others = batches.join(blocks, "trait").repartition("trait", "batch", "block").select("rows", "tests").mapInPandas(_block_sums(p), _SUMS)
     own = skew_join(carriers, points.select("test_id", "side", "t"), ["test_id"])
@@ -116,13 +116,13 @@ def saddlepoint_p(tests: DataFrame, carriers: DataFrame, null: NullModel, keys:
         "spa_state",
     )
     finished: list[DataFrame] = []
-    step = 0
-    while True:
+    step, n_points = 0, state._stored_rows
+    while n_points:
         # What is open: Newton's point, the last point of a settled search, or the points within a bracket.
         inner = F.transform(F.sequence(F.lit(1), F.lit(BISECTION_POINTS)), lambda i: F.col("low") + (F.col("high") - F.col("low")) * i / (BISECTION_POINTS + 1))
         tried = F.when(F.col("stage") == "bracket", inner).otherwise(F.array("t"))
-        points = stored(state.select("test_id", "side", "trait", "base", "factor", F.explode(tried).alias("t")), "spa_points")
-        at = _sums(points, blocks, own, p).withColumnRenamed("t", "at")
+        points = state.select("test_id", "side", "trait", "base", "factor", F.explode(tried).alias("t"))
+        at = _sums(points, n_points, blocks, own, p).withColumnRenamed("t", "at")
         per_test = at.groupBy("test_id", "side").agg(F.sort_array(F.collect_list(F.struct("at", "k0", "k1", "k2"))).alias("points"))  # at most BISECTION_POINTS
         seen = state.join(per_test, ["test_id", "side"])
         one = F.col("points")[0]
@@ -141,16 +141,13 @@ def saddlepoint_p(tests: DataFrame, carriers: DataFrame, null: NullModel, keys:
             .otherwise("done")
         )
         t = F.when(newton & ~F.col("lost"), F.col("t") + F.col("move")).when(bracket, (F.col("new_low") + F.col("new_high")) / 2).otherwise(F.col("t"))
-        fresh = stored(
-            seen.select("test_id", "trait", "base", "factor", "side", "q", t.alias("t"), stage.alias("stage"), F.when(bracket, F.col("new_low")).otherwise(F.col("low")).alias("low"), F.when(bracket, F.col("new_high")).otherwise(F.col("high")).alias("high"), "tail"),
-            "spa_state",
-        )
-        discard(points)
+        fresh = seen.select("test_id", "trait", "base", "factor", "side", "q", t.alias("t"), stage.alias("stage"), F.when(bracket, F.col("new_low")).otherwise(F.col("low")).alias("low"), F.when(bracket, F.col("new_high")).otherwise(F.col("high")).alias("high"), "tail")
+        counted = Observation()
+        open_points = F.sum(F.when(F.col("stage") == "done", 0).when(F.col("stage") == "bracket", BISECTION_POINTS).otherwise(1))
+        fresh = stored(fresh.observe(counted, open_points.alias("open")), "spa_state")
         finished.append(fresh.filter("stage = 'done'").select("test_id", "tail"))
-        state = fresh.filter("stage <> 'done'")
+        state, n_points = fresh.filter("stage <> 'done'"), counted.get["open"] or 0
         step += 1
-        if state.isEmpty():
-            break
     tails = finished[0]
     for more in finished[1:]:
         tails = tails.unionByName(more)

@@ -6,11 +6,13 @@ import io
 import json
 import tarfile
 from collections.abc import Iterator, Sequence
+from functools import reduce
 from typing import BinaryIO
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..operators import masks, rejects
 from ..operators.identity import LEGACY_ID
@@ -164,13 +166,20 @@ def read_traits(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
 
 
 def read_legacy(spark: SparkSession, path: str, names: Sequence[str]) -> tuple[DataFrame, DataFrame]:
-    """(eid bigint and the named doubles; eid, problem) of a CSV keyed by positive whole ids, each to occur once."""
+    """(eid bigint and the named doubles; eid, problem) of a CSV keyed by positive whole ids, each to occur once.
+
+    Rows with a bad or repeated id (identifier, repeated) or a value that is neither missing nor a
+    number (value) are set apart.
+    """
     rows = spark.read.csv(path, header=True, inferSchema=False, nullValue="").select("eid", *names)
-    good = F.col("eid").rlike(LEGACY_ID)
-    values = [rejects.number(rejects.trimmed(F.col(n))).alias(n) for n in names]
-    bad = rows.filter(~F.coalesce(good, F.lit(False))).select("eid", F.lit("identifier").alias("problem"))
-    repeated = rows.groupBy("eid").count().filter("count > 1").select("eid", F.lit("repeated").alias("problem"))
-    return rows.filter(good).select(F.col("eid").cast("bigint").alias("eid"), *values), bad.unionByName(repeated)
+    texts = [rejects.trimmed(F.coalesce(F.col(f"`{n}`"), F.lit(""))) for n in names]
+    bad_value = reduce(lambda a, b: a | b, (rejects.number(t).isNull() & ~rejects.is_missing(t) for t in texts), F.lit(False))
+    many = rows.groupBy(F.col("eid").alias("_eid")).agg(F.count(F.lit(1)).alias("_many"))
+    judged = rows.join(many, F.col("eid").eqNullSafe(F.col("_eid")))
+    problem = F.when(~F.coalesce(F.col("eid").rlike(LEGACY_ID), F.lit(False)), "identifier").when(F.col("_many") > 1, "repeated").when(bad_value, "value")
+    judged = judged.withColumn("problem", problem)
+    values = [rejects.number(t).alias(n) for n, t in zip(names, texts, strict=True)]
+    return judged.filter("problem is null").select(F.col("eid").cast("bigint").alias("eid"), *values), judged.filter("problem is not null").select("eid", "problem").distinct()
 
 
 def read_profiles(spark: SparkSession, path: str) -> DataFrame:
@@ -179,22 +188,29 @@ def read_profiles(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("phenotype", F.col("model_family").alias("family"), "profile", F.filter(F.split("covariate_columns", ";"), lambda c: c != "").alias("covariates"))
 
 
+@F.pandas_udf(T.StringType())
+def _number_text(values: pd.Series) -> pd.Series:
+    """Seventeen significant digits without trailing zeros, which read back as the same number."""
+    return values.map(lambda v: f"{v:.17g}", na_action="ignore").astype(object)
+
+
 def as_text(df: DataFrame) -> DataFrame:
     """Cells as result files hold them: NaN, Inf and -Inf for special numbers, TRUE and FALSE, empty for null."""
     out = []
     for name, kind in df.dtypes:
         c = F.col(f"`{name}`")
         if kind in ("double", "float"):
-            c = F.when(F.isnan(c), "NaN").when(c == float("inf"), "Inf").when(c == float("-inf"), "-Inf").otherwise(c.cast("string"))
+            finite = F.when(~F.isnan(c) & (F.abs(c) < float("inf")), c.cast("double"))
+            c = F.when(F.isnan(c), "NaN").when(c == float("inf"), "Inf").when(c == float("-inf"), "-Inf").otherwise(_number_text(finite))
         elif kind == "boolean":
             c = F.upper(c.cast("string"))
         out.append(c.cast("string").alias(name))
     return df.select(*out)
 
 
-def write_results(df: DataFrame, path: str, order: Sequence[str], rows_per_file: int = 1_000_000, single_file: bool = False) -> None:
-    """Sorted CSV with header; an empty result keeps its header. ``single_file`` is for results of a bounded size."""
-    ordered = df.orderBy(*order)
+def write_results(df: DataFrame, path: str, order: Sequence[str | Column], rows_per_file: int = 1_000_000, single_file: bool = False) -> None:
+    """Sorted CSV with header; an empty result keeps its header. Columns that start with _ only order the rows. ``single_file`` is for results of a bounded size."""
+    ordered = df.orderBy(*order).drop(*(c for c in df.columns if c.startswith("_")))
     text = as_text(ordered)
     if single_file or text.isEmpty():
         text = text.coalesce(1)

@@ -4,83 +4,114 @@ import tarfile
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from lodestrand.operators import masks
+from lodestrand.operators import identity, masks
 from lodestrand.plans import workflow
 from lodestrand.sources import files, plink
 
-CODES = [[0, 1, 2, 3, 0, 3], [0, 1, 2, 3, 2, 0], [3, 2, 1, 0, 3, 3], [1, 3, 0, 2, 3, 3]]
-STATES = [[2, 3, 1, 0, 2, 0], [2, 3, 1, 0, 1, 2], [0, 1, 3, 2, 0, 0], [3, 0, 2, 1, 0, 0]]
-MANIFEST = {"column_mapping": {"chrom": "CHROM", "pos": "POS", "a1": "REF", "a2": "ALT", "CADD": "WEIGHT", "qc": "QC", "category": "CAT", "exonic": "EX", "info": "INFO", "metasvm": "SVM", "genehancer": "GH", "cage": "CAGE", "dhs": "DHS"}, "annotation_catalog": {"CADD": "annotation/cadd"}, "annotation_names": ["CADD"], "qc_path": "annotation/qc"}
+PEOPLE = [("0", "p-1"), ("0", "p-2"), ("fam7", "p-1"), ("fam7", "kid"), ("0", "Ö3"), ("x.y", "9"), ("x.y", "10"), ("0", "last"), ("fam7", "aunt")]
+N = len(PEOPLE)
+BASES = "ACGT"
+MAPPING = {"chrom": "chr", "pos": "bp", "a1": "first", "a2": "second", "CADD": "score", "qc": "filter", "category": "region", "exonic": "effect", "info": "names", "metasvm": "call", "genehancer": "enh", "cage": "c", "dhs": "d"}
+MANIFEST = {"column_mapping": MAPPING, "annotation_catalog": {"CADD": "a/b"}, "annotation_names": ["CADD"], "qc_path": "a/qc"}
 
 
 def pack(codes):
     out = bytearray(plink.HEADER)
     for row in codes:
         padded = [*row, *[0] * (-len(row) % 4)]
-        out += bytes(sum(c << 2 * k for k, c in enumerate(padded[i : i + 4])) for i in range(0, len(padded), 4))
+        out += bytes(sum(int(c) << 2 * k for k, c in enumerate(padded[i : i + 4])) for i in range(0, len(padded), 4))
     return bytes(out)
 
 
-@pytest.fixture
-def study(tmp_path):
-    (tmp_path / "c.fam").write_text("".join(f"{f} {i} 0 0 1 -9\n" for f, i in [("0", "001_001"), ("A", "same"), ("B", "same"), ("0", "four"), ("0", "five"), ("0", "six")]))
-    (tmp_path / "c.bim").write_text("21 first 0 10 C A\n21 second 0 20 G T\n21 third 0 20 A T\n21 fourth 0 30 T C\n")
-    (tmp_path / "c.bed").write_bytes(pack(CODES))
-    head = "CHROM,POS,REF,ALT,WEIGHT,QC,CAT,EX,INFO,SVM,GH,CAGE,DHS\n"
-    rows = ["21,1,A,C,0,PASS", "21,10,A,C,12.25,PASS", "21,20,G,T,20,PASS", "21,20,T,A,30,FAIL", "21,30,C,T,,PASS", "21,50,A,T,55,PASS"]
-    (tmp_path / "a.csv").write_text(head + "".join(f"{r},UTR3,synonymous SNV,GENE_B,,,,\n" for r in rows))
-    (tmp_path / "m.json").write_text(json.dumps(MANIFEST))
-    (tmp_path / "genes.csv").write_text("hgnc_symbol,chromosome_name,start_position,end_position\nGENE_B,21,20,30\nGENE_A,21,1.0,10.0\nOTHER,22,1,2\n")
-    (tmp_path / "rna.csv").write_text("chr,ncRNA\n21,RNA_B\n22,OTHER_RNA\n21,RNA_A\n")
-    (tmp_path / "promoters.tsv").write_text("chromosome\tstart\tend\tstrand\tgene_id\n21\t1\t3\t+\tGENE_A\n22\t1\t5\t+\tOTHER\n")
-    return tmp_path
-
-
-def states_of(df, n_variants, n_samples):
+def chromosome(where, chrom, n_variants, seed):
+    """Writes one chromosome's files; returns its codes and the lines of its variants."""
+    rng = np.random.default_rng(seed)
+    codes = rng.choice([0, 1, 2, 3], (n_variants, N), p=[0.1, 0.05, 0.25, 0.6])
+    place = [1_000 * seed + 37 * (j // 2 * 2) for j in range(n_variants)]
+    lines = [(place[j], BASES[j % 4], BASES[(j + 1 + j // 4) % 4] if (j + 1 + j // 4) % 4 != j % 4 else BASES[(j + 2) % 4]) for j in range(n_variants)]
+    (where / f"c{chrom}.fam").write_text("".join(f"{f}\t{i} 0 0 2 -9\n" for f, i in PEOPLE), encoding="utf-8")
+    (where / f"c{chrom}.bim").write_text("".join(f"{chrom} v{j} 0 {pos} {alt} {ref}\n" for j, (pos, ref, alt) in enumerate(lines)))
+    (where / f"c{chrom}.bed").write_bytes(pack(codes))
+    text = ",".join(MAPPING.values()) + "\n"
+    for j, (pos, ref, alt) in enumerate(lines):
+        a, b = (alt, ref) if j % 3 == 0 else (ref, alt)
+        text += f"chr{chrom},{pos},{a},{b},{'' if j % 5 == 2 else j / 4},{'FAIL' if j % 7 == 6 else 'PASS'},{'upstream' if j % 2 else 'exonic'},{'nonsynonymous SNV' if j % 3 else 'synonymous SNV'},{'SAME' if j < n_variants // 2 else 'TAIL'},{'D' if j % 4 == 1 else 'T'},,,\n"
+    (where / f"a{chrom}.csv").write_text(text + f"chr{chrom},1,A,T,7,PASS,exonic,,NONE,,,,\n")
+    return codes, lines
+
+
+@pytest.fixture(scope="module")
+def study(tmp_path_factory):
+    where = tmp_path_factory.mktemp("study")
+    made = {chrom: chromosome(where, chrom, n, seed) for chrom, n, seed in (("5", 12, 1), ("11", 10, 2))}
+    (where / "m.json").write_text(json.dumps(MANIFEST))
+    span = {c: (lines[0][0], lines[len(lines) // 2][0], lines[-1][0]) for c, (_, lines) in made.items()}
+    genes = [f"TAIL,{c},{middle}.0,{high}\nSAME,chr{c},{low},{middle}" for c, (low, middle, high) in span.items()]
+    (where / "genes.csv").write_text("hgnc_symbol,chromosome_name,start_position,end_position\n" + "\n".join(genes) + "\n")
+    (where / "rna.csv").write_text("chr,ncRNA\n5,LINC\nchr11,MIR\n5,ANTI\n")
+    (where / "promoters.tsv").write_text("# made up\nchromosome\tstart\tend\n5\t3\t9\nchr11\t20\t40\n")
+    rng = np.random.default_rng(11)
+    (where / "y.csv").write_text("FID,IID,grip,case\n" + "".join(f"{f},{i},{rng.normal():.6f},{k % 2}\n" for k, (f, i) in enumerate(PEOPLE)), encoding="utf-8")
+    (where / "x.csv").write_text("FID,IID,age,one\n" + "".join(f"{f},{i},{rng.normal():.6f},1\n" for f, i in PEOPLE), encoding="utf-8")
+    return where, made
+
+
+def states(codes, reference_is_a1=False):
+    return [[plink.STATES[reference_is_a1][c] for c in row] for row in codes]
+
+
+def states_of(df, n_variants, n_samples, first=0):
     out = np.zeros((n_variants, n_samples), int)
     for r in df.collect():
-        out[r["variant_idx"], r["sample_idx"]] = r["state"]
+        out[r["variant_idx"] - first, r["sample_idx"]] = r["state"]
     return out.tolist()
 
 
-def test_bed_states_and_errors(spark, study, monkeypatch):
-    path = str(study / "c.bed")
-    assert states_of(plink.read_bed(spark, path, 6, 4), 4, 6) == STATES
-    monkeypatch.setattr(plink, "PART_BYTES", 2)
-    calls = plink.read_bed(spark, path, 6, 4, reference_is_a1=True)
-    assert states_of(calls, 4, 6) == [[plink.STATES[1][c] for c in row] for row in CODES]
-    picked = plink.select_calls(plink.read_bed(spark, path, 6, 4), spark.createDataFrame([(5, 0), (1, 1), (2, 2)], "sample_idx bigint, new_idx bigint"), spark.createDataFrame([(0, 0), (2, 1), (3, 2)], "variant_idx bigint, new_idx bigint"))
-    assert states_of(picked, 3, 3) == [[STATES[v][s] for s in (5, 1, 2)] for v in (0, 2, 3)]
-    for content, match in ((b"xxx" + pack(CODES)[3:], "BED"), (pack(CODES)[:-1], "size"), (pack(CODES)[:-1] + b"\xf0", "bits")):
-        (study / "bad.bed").write_bytes(content)
+def test_bed_states_and_errors(spark, study, tmp_path, monkeypatch):
+    where, made = study
+    path, codes = str(where / "c5.bed"), made["5"][0]
+    # Codes 0 and 3 are the two homozygous calls, 1 is missing, 2 heterozygous.
+    by_hand = np.select([codes == 0, codes == 1, codes == 2], [2, 3, 1], 0).tolist()
+    assert states_of(plink.read_bed(spark, path, N, 12), 12, N) == states(codes) == by_hand
+    monkeypatch.setattr(plink, "PART_BYTES", 4)
+    assert states_of(plink.read_bed(spark, path, N, 12, reference_is_a1=True), 12, N) == states(codes, True)
+    picked = plink.select_calls(plink.read_bed(spark, path, N, 12), spark.createDataFrame([(8, 0), (0, 1)], "sample_idx bigint, new_idx bigint"), spark.createDataFrame([(11, 0), (3, 1), (4, 2)], "variant_idx bigint, new_idx bigint"))
+    assert states_of(picked, 3, 2) == [[by_hand[v][s] for s in (8, 0)] for v in (11, 3, 4)]
+    good = pack(codes)
+    for content, match in ((b"abc" + good[3:], "BED"), (good[:-1], "size"), (good[:-1] + b"\xf0", "bits")):
+        (tmp_path / "bad.bed").write_bytes(content)
         with pytest.raises(Exception, match=match):
-            plink.read_bed(spark, str(study / "bad.bed"), 6, 4).collect()
-
-
-def test_bim_and_fam_problems(spark, study):
-    lines = ["21 a 0 10 C A", "22 a 0 11 C A", "21 a 0 0 C A", "21 a 0 12 C C", "21 a 0 11 C A", "21 21:15:A:C 0 15 C A", "21 21:15:C:A 0 15 C A", "21 a 0 12", "21 a 0 x C A"]
-    (study / "b.bim").write_text("\n".join(lines) + "\n")
-    got = {r["variant_idx"]: r["problem"] for r in plink.read_bim(spark, str(study / "b.bim"), "21").collect()}
-    assert got == {0: None, 1: "chromosome", 2: "position", 3: "alleles", 4: "order", 5: None, 6: "identity", 7: "column_count", 8: "position"}
-    (study / "b.fam").write_text("0 1 0 0 1 2\n0 1 0 0 1\n​ 1 0 0 1 2\n")
-    assert [r["problem"] for r in plink.read_fam(spark, str(study / "b.fam")).orderBy("sample_idx").collect()] == [None, "column_count", "identifier"]
-
-
-def test_annotation_formats(spark, study):
-    mapping = {"pos": "POS", "score": "WEIGHT"}
-    want = [(r["pos"], r["score"]) for r in files.read_annotations(spark, str(study / "a.csv"), mapping).collect()]
-    assert len(want) == 6 and ("30", None) in want
-    with tarfile.open(study / "a.tar.gz", "w:gz") as archive:
-        for name, text in (("x/a.csv", (study / "a.csv").read_text()), ("x/other.csv", "POS,WEIGHT\n1,1\n")):
+            plink.read_bed(spark, str(tmp_path / "bad.bed"), N, 12).collect()
+
+
+def test_bim_and_fam_problems(spark, tmp_path):
+    lines = ["7 r 0 500 G T", "8 r 0 501 G T", "7 r 0 -3 G T", "7 r 0 502 G G", "7 r 0 499 G T", "7 7:777:T:G 0 777 G T", "7 chr7:777:G:T 0 777 G T", "7 r 0", "7 r 0 5e2 G T", "7 r 0 800 G *"]
+    (tmp_path / "b.bim").write_text("\n".join(lines) + "\n")
+    got = {r["variant_idx"]: r["problem"] for r in plink.read_bim(spark, str(tmp_path / "b.bim"), "7").collect()}
+    assert got == {0: None, 1: "chromosome", 2: "position", 3: "alleles", 4: "order", 5: None, 6: "identity", 7: "column_count", 8: "position", 9: "alleles"}
+    (tmp_path / "b.fam").write_text("f i 0 0 1 2\nf i 0 0 1\nf⁠ i 0 0 1 2\n")
+    assert [r["problem"] for r in plink.read_fam(spark, str(tmp_path / "b.fam")).orderBy("sample_idx").collect()] == [None, "column_count", "identifier"]
+
+
+def test_annotation_formats(spark, study, tmp_path):
+    mapping = {"pos": "bp", "score": "score"}
+    text = (study[0] / "a5.csv").read_text()
+    head, *rest = [line.split(",") for line in text.splitlines()]
+    want = [(r[head.index("bp")], r[head.index("score")] or None) for r in rest]
+    (tmp_path / "a.csv").write_text(text)
+    assert [tuple(r) for r in files.read_annotations(spark, str(tmp_path / "a.csv"), mapping).collect()] == want
+    with tarfile.open(tmp_path / "a.tar.gz", "w:gz") as archive:
+        for name, content in (("in/a.csv", text), ("in/b.csv", "bp,score\n1,1\n")):
             info = tarfile.TarInfo(name)
-            info.size = len(text)
-            archive.addfile(info, io.BytesIO(text.encode()))
-    assert [tuple(r) for r in files.read_annotations(spark, str(study / "a.tar.gz"), mapping, "x/a.csv").collect()] == want
-    (study / "a.tsv").write_text((study / "a.csv").read_text().replace(",", "\t"))
-    assert [tuple(r) for r in files.read_annotations(spark, str(study / "a.tsv"), mapping).collect()] == want
-    spark.read.csv(str(study / "a.csv"), header=True).write.parquet(str(study / "a.parquet"))
-    assert sorted(map(str, files.read_annotations(spark, str(study / "a.parquet"), mapping).collect())) == sorted(map(str, files.read_annotations(spark, str(study / "a.csv"), mapping).collect()))
+            info.size = len(content)
+            archive.addfile(info, io.BytesIO(content.encode()))
+    assert [tuple(r) for r in files.read_annotations(spark, str(tmp_path / "a.tar.gz"), mapping, "in/a.csv").collect()] == want
+    (tmp_path / "a.tsv").write_text(text.replace(",", "\t"))
+    assert [tuple(r) for r in files.read_annotations(spark, str(tmp_path / "a.tsv"), mapping).collect()] == want
+    spark.read.csv(str(tmp_path / "a.csv"), header=True).coalesce(1).write.parquet(str(tmp_path / "a.parquet"))
+    assert [tuple(r) for r in files.read_annotations(spark, str(tmp_path / "a.parquet"), mapping).collect()] == want
 
 
 def test_archive_is_streamed_not_loaded(spark, tmp_path):
@@ -99,76 +130,126 @@ def test_archive_is_streamed_not_loaded(spark, tmp_path):
     assert got == [(str(i), str(i * i)) for i in range(2000)]
 
 
-def test_references_and_manifest(spark, study):
-    genes = files.read_genes(spark, str(study / "genes.csv"), "21").orderBy("ordinal").collect()
-    assert [(g["gene_name"], g["start_pos"], g["end_pos"], g["problem"]) for g in genes] == [("GENE_B", 20, 30, None), ("GENE_A", 1, 10, None)]
-    assert [r["gene_name"] for r in files.read_ncrnas(spark, str(study / "rna.csv"), "21").orderBy("ordinal").collect()] == ["RNA_B", "RNA_A"]
-    assert sorted(map(tuple, files.read_promoters(spark, str(study / "promoters.tsv")).collect())) == [("21", 1, 3), ("22", 1, 5)]
-    (study / "p.json").write_text('[["chr21", 1, 3], ["22", 1, 5]]')
-    assert sorted(map(tuple, files.read_promoters(spark, str(study / "p.json")).collect())) == [("21", 1, 3), ("22", 1, 5)]
-    (study / "m2.json").write_text(json.dumps(MANIFEST | {"chromosomes": {"22": {"default_qc": "X"}}}))
-    assert "default_qc" not in files.read_manifest(str(study / "m2.json"), "21") and files.read_manifest(str(study / "m2.json"), "22")["default_qc"] == "X"
-    (study / "m3.json").write_text(json.dumps(MANIFEST | {"annotation_names": ["none"]}))
+def test_references_and_manifest(spark, study, tmp_path):
+    where, made = study
+    low, middle, high = (made["5"][1][j][0] for j in (0, 6, 11))
+    genes = files.read_genes(spark, str(where / "genes.csv"), "5").orderBy("ordinal").collect()
+    assert [(g["gene_name"], g["start_pos"], g["end_pos"], g["problem"]) for g in genes] == [("TAIL", middle, high, None), ("SAME", low, middle, None)]
+    (tmp_path / "g.csv").write_text("hgnc_symbol,chromosome_name,start_position,end_position\n,5,1,2\nA,5,3,2\nB,5,1.5,2\nC,5,0,2\n")
+    assert [g["problem"] for g in files.read_genes(spark, str(tmp_path / "g.csv"), "5").orderBy("ordinal").collect()] == ["name", "position", "position", "position"]
+    assert [r["gene_name"] for r in files.read_ncrnas(spark, str(where / "rna.csv"), "5").orderBy("ordinal").collect()] == ["LINC", "ANTI"]
+    assert sorted(map(tuple, files.read_promoters(spark, str(where / "promoters.tsv")).collect())) == [("11", 20, 40), ("5", 3, 9)]
+    (tmp_path / "p.json").write_text('[["Chr5", 3, 9], ["11", 20, 40]]')
+    assert sorted(map(tuple, files.read_promoters(spark, str(tmp_path / "p.json")).collect())) == [("11", 20, 40), ("5", 3, 9)]
+    (tmp_path / "m2.json").write_text(json.dumps(MANIFEST | {"chromosomes": {"11": {"default_qc": "X"}}}))
+    assert "default_qc" not in files.read_manifest(str(tmp_path / "m2.json"), "5") and files.read_manifest(str(tmp_path / "m2.json"), "11")["default_qc"] == "X"
+    (tmp_path / "m3.json").write_text(json.dumps(MANIFEST | {"annotation_names": ["none"]}))
     with pytest.raises(ValueError, match="unknown"):
-        files.read_manifest(str(study / "m3.json"), "21")
+        files.read_manifest(str(tmp_path / "m3.json"), "5")
 
 
-def test_trait_files(spark, study):
-    (study / "t.csv").write_text("﻿IID,FID,trait_a,trait_b\n001,f,7,NA\n001,0,3,9\n\n003,0,x,8\n004,0,,4\n005,0,11\n006,0,inf,1\n", encoding="utf-8")
-    loaded, rejected = files.read_traits(spark, str(study / "t.csv"))
-    assert sorted(map(tuple, loaded.collect()), key=str) == sorted([("f", "001", 7.0, None), ("0", "001", 3.0, 9.0), ("0", "004", None, 4.0)], key=str)
+def test_trait_files(spark, tmp_path):
+    (tmp_path / "t.csv").write_text("﻿IID,FID,grip,crp\nb1,u,2.5,none\nb1,v,-3,1e2\n\nb2,u,?,8\nb3,u,,.5\nb4,u,11\nb5,u,inf,1\n", encoding="utf-8")
+    loaded, rejected = files.read_traits(spark, str(tmp_path / "t.csv"))
+    assert sorted(map(tuple, loaded.collect()), key=str) == sorted([("u", "b1", 2.5, None), ("v", "b1", -3.0, 100.0), ("u", "b3", None, 0.5)], key=str)
     assert sorted((r["line_no"], r["reason"]) for r in rejected.collect()) == [(5, "value"), (7, "column_count"), (8, "value")]
-    (study / "l.csv").write_text("eid,continuous\n1000001,0.10000000000000002\n1000002,\n01,3\n1000001,5\n")
-    good, bad = files.read_legacy(spark, str(study / "l.csv"), ["continuous"])
-    assert {(r["eid"], r["problem"]) for r in bad.collect()} == {("01", "identifier"), ("1000001", "repeated")} and (1000001, 0.10000000000000002) in [tuple(r) for r in good.collect()]
-    (study / "pr.csv").write_text("phenotype,model_family,profile,covariate_columns\nbinary,binomial,extra,age;extra\n")
-    assert files.read_profiles(spark, str(study / "pr.csv")).first()["covariates"] == ["age", "extra"]
-
-
-def test_masks_of_the_annotation_fixture(spark):
-    rows = [(0, 10, "PASS", "21", "upstream", "A,B", "", "", ""), (1, 20, "PASS", "21", "downstream", "B,A", "", "yes", ""), (2, 30, "PASS", "21", "UTR3", "A(detail)", "a=b=c=A;detail", "yes", "yes"), (3, 30, "PASS", "21", "ncRNA_exonic", "A,B,C,D(detail);rest", "", "", "yes"), (4, 50, "PASS", "21", "intergenic", "A-rest", "a=b=c=B;detail", "yes", ""), (6, 70, "PASS", "21", "ncRNA_splicing", "B(detail);rest", "", "", "yes"), (7, 80, "PASS", "22", "UTR5", "A(detail)", "", "yes", "yes"), (8, 90, "FAIL", "21", "UTR3", "A(detail)", "", "yes", "yes")]
-    variants = spark.createDataFrame([(*r, "A", "G") for r in rows], "variant_idx bigint, pos bigint, qc string, chrom string, category string, info string, genehancer string, cage string, dhs string, ref string, alt string").filter("chrom = '21'")
-    promoters = spark.createDataFrame([("21", 15, 45), ("21", 40, 75)], "chrom string, start_pos bigint, end_pos bigint")
+    (tmp_path / "l.csv").write_text("eid,bmi\n52,21.700000000000003\n53,\n054,3\n55,5\n55,6\n56,thin\n")
+    good, bad = files.read_legacy(spark, str(tmp_path / "l.csv"), ["bmi"])
+    assert {(r["eid"], r["problem"]) for r in bad.collect()} == {("054", "identifier"), ("55", "repeated"), ("56", "value")}
+    assert sorted(map(tuple, good.collect())) == [(52, 21.700000000000003), (53, None)]
+    (tmp_path / "pr.csv").write_text("phenotype,model_family,profile,covariate_columns\nasthma,binomial,full,age;sex;\n")
+    assert files.read_profiles(spark, str(tmp_path / "pr.csv")).first()["covariates"] == ["age", "sex"]
+
+
+def test_mask_tokens(spark):
+    rows = [
+        (0, 5, "PASS", "upstream", "K1,K2", "", "", ""),
+        (1, 15, "PASS", "downstream", "K2", "", "", ""),
+        (2, 25, "PASS", "UTR5", "K1(NM_1:c.5)", "p=q=r=K3;rest", "x", ""),
+        (3, 35, "PASS", "ncRNA_exonic;splicing", "K1,K2,K3,K4(d);K5", "", "", "x"),
+        (4, 45, "PASS", "intergenic", "K2-dist=7", "p=q=r=K1", "", "x"),
+        (5, 55, "LOW", "UTR3", "K1", "p=q=r=K1", "x", "x"),
+    ]
+    schema = "variant_idx bigint, pos bigint, qc string, category string, info string, genehancer string, cage string, dhs string, ref string, alt string, chrom string"
+    variants = spark.createDataFrame([(*r, "A", "G", "3") for r in rows], schema)
+    intervals = spark.createDataFrame([("3", 20, 30), ("3", 28, 50), ("4", 1, 60)], "chrom string, start_pos bigint, end_pos bigint")
     got = {}
-    for r in masks.gene_tokens(variants, promoters).collect():
+    for r in masks.gene_tokens(variants, intervals).collect():
         got.setdefault((r["gene_name"], r["mask"]), set()).add(r["variant_idx"])
-    assert got["A", "UTR"] == {2} and got["A", "upstream"] == {0} and got["B", "downstream"] == {1} and got["A", "ncRNA"] == {3} and got["B", "ncRNA"] == {3, 6} and ("D", "ncRNA") not in got
-    assert got["A", "promoter_CAGE"] == {2, 4} and got["B", "promoter_CAGE"] == {1} and got["A", "promoter_DHS"] == {2, 3} and got["A", "enhancer_CAGE"] == {2} and got["B", "enhancer_CAGE"] == {4}
+    want = {("K1", "upstream"): {0}, ("K2", "upstream"): {0}, ("K2", "downstream"): {1}, ("K1", "UTR"): {2}, ("K3", "enhancer_CAGE"): {2}, ("K1", "enhancer_DHS"): {4}, ("K1", "promoter_CAGE"): {2}, ("K1", "promoter_DHS"): {3}, ("K2", "promoter_DHS"): {4}}
+    assert got == want | {(k, "ncRNA"): {3} for k in ("K1", "K2", "K3")}
+    elsewhere = spark.createDataFrame([("K1", "4"), ("K2", "3")], "gene_name string, chrom string")
+    assert {r["gene_name"] for r in masks.noncoding_masks(variants, intervals, elsewhere).collect()} == {"K2"}
 
 
 def test_promoters_from_transcripts(spark):
-    tx = spark.createDataFrame([(1, "chr1", "+", 8000, 8300), (2, "chr1", "+", 7500, 8600), (3, "chr1", "-", 9000, 9900), (4, "chr21", "+", 1, 2), (5, "chr22", "+", 1, 2), (6, "chrM", "+", 100, 300)], "tx_id int, chrom string, strand string, tx_start bigint, tx_end bigint")
-    genes = spark.createDataFrame([("b", 1), ("b", 2), ("a", 3), ("multi", 4), ("multi", 5), ("m", 6)], "gene_id string, tx_id int")
-    got = {r["gene_id"]: (r["start_pos"], r["end_pos"]) for r in masks.promoters_from_transcripts(tx, genes).collect()}
-    assert got == {"b": (4500, 10499), "a": (6901, 12900), "m": (-2900, 3099)}
+    tx = spark.createDataFrame([(1, "chr2", "+", 20_000, 20_400), (2, "chr2", "+", 19_500, 20_100), (3, "chr2", "-", 7_000, 7_700), (4, "chr2", "+", 1, 2), (5, "chr9", "+", 1, 2), (6, "chrX", "+", 40, 90), (7, "chrX", "-", 40, 90), (8, "chrX", "+", 10, 20)], "tx_id int, chrom string, strand string, tx_start bigint, tx_end bigint")
+    genes = spark.createDataFrame([("fwd", 1), ("fwd", 2), ("rev", 3), ("two_places", 4), ("two_places", 5), ("two_strands", 6), ("two_strands", 7), ("edge", 8)], "gene_id string, tx_id int")
+    got = {r["gene_id"]: (r["start_pos"], r["end_pos"]) for r in masks.promoters_from_transcripts(tx, genes, 1_000, 500).collect()}
+    assert got == {"fwd": (18_500, 19_999), "rev": (7_201, 8_700), "edge": (-990, 509)}
 
 
 def test_sinks(spark, tmp_path):
-    df = spark.createDataFrame([("b", 1e-300, True), ("a", float("nan"), False), ("c", float("-inf"), None), (None, -0.0, True)], "k string, p double, f boolean")
-    files.write_results(df, str(tmp_path / "r"), ["k"], single_file=True)
+    df = spark.createDataFrame([("b", 1e-300, True, 2), ("a", float("nan"), False, 1), ("c", float("-inf"), None, 0), (None, -0.0, True, 4), ("d", 0.1, None, 3)], "k string, p double, f boolean, _at int")
+    files.write_results(df, str(tmp_path / "r"), [F.col("_at")], single_file=True)
     text = "".join(p.read_text() for p in (tmp_path / "r").glob("*.csv"))
-    assert text == "k,p,f\n,-0.0,TRUE\na,NaN,FALSE\nb,1.0E-300,TRUE\nc,-Inf,\n"
+    assert text == f"k,p,f\nc,-Inf,\na,NaN,FALSE\nb,{1e-300:.17g},TRUE\nd,{0.1:.17g},\n,-0,TRUE\n"
     files.write_results(df.filter("false"), str(tmp_path / "e"), ["k"])
     assert "".join(p.read_text() for p in (tmp_path / "e").glob("*.csv")) == "k,p,f\n"
     files.write_shards(df, str(tmp_path / "s"), ["f"], rows_per_file=1)
-    assert spark.read.csv(str(tmp_path / "s"), header=True).count() == 4
-
-
-def test_prepare_and_run(spark, study):
-    out = str(study / "prepared")
-    args = ({"21": str(study / "c")}, str(study / "m.json"), {"21": str(study / "a.csv")}, str(study / "genes.csv"), str(study / "rna.csv"), str(study / "promoters.tsv"))
-    workflow.prepare(spark, *args, out)
-    data = workflow.Dataset(spark, out, ["21"])
-    rows = data.variants.orderBy("variant_idx").collect()
-    assert [r["pos"] for r in rows] == [10, 20, 20, 30] and [r["CADD"] for r in rows] == [12.25, 20.0, 30.0, None] and [r["qc"] for r in rows] == ["PASS", "PASS", "FAIL", "PASS"]
-    assert states_of(data.calls, 4, 6) == STATES
-    (study / "y.csv").write_text("FID,IID,t,b\n" + "".join(f"{f},{i},{y},{b}\n" for f, i, y, b in [("0", "001_001", 1, 0), ("A", "same", 2.5, 1), ("B", "same", 3, 0), ("0", "four", 5, 1), ("0", "five", 4, 0), ("0", "six", 2, 1)]))
-    (study / "x.csv").write_text("FID,IID,age\n" + "".join(f"{f},{i},{x}\n" for f, i, x in [("0", "001_001", 3), ("A", "same", 1), ("B", "same", 2), ("0", "four", 4), ("0", "five", 9), ("0", "six", 5)]))
-    report = workflow.run_all(spark, str(study / "y.csv"), str(study / "x.csv"), out, str(study / "results"), annotation_names=["CADD"], mac_cutoff=1, rare_maf_cutoff=0.6)
-    assert report["traits"] == {"t": "gaussian", "b": "binomial"} and report["rows"]["single"] == 8
-    table = spark.read.csv(str(study / "results/coding"), header=True)
-    assert {r["Category"] for r in table.collect()} == {"synonymous"} and "SKAT(1,25)-CADD" in table.columns
-    assert workflow.run_all(spark, "", "", out, str(study / "results")) == report
-    (study / "a.csv").write_text((study / "a.csv").read_text().replace("21,10,A,C", "21,11,A,C"))
-    with pytest.raises(ValueError, match="missing"):
-        workflow.prepare(spark, *args, str(study / "again"))
+    assert spark.read.csv(str(tmp_path / "s"), header=True).count() == 5
+
+
+def test_union_in_order(spark):
+    first = spark.createDataFrame([("b", 0), ("a", 1), ("b", 2)], "k string, at int")
+    second = spark.createDataFrame([("c", 0), ("a", 1)], "k string, at int")
+    assert [r["k"] for r in identity.union_in_order(first, second, "k", "at").orderBy("ordinal").collect()] == ["b", "a", "c"]
+
+
+def prepare(spark, where, chroms, output, genes="genes.csv"):
+    workflow.prepare(spark, {c: str(where / f"c{c}") for c in chroms}, str(where / "m.json"), {c: str(where / f"a{c}.csv") for c in chroms}, str(where / genes), str(where / "rna.csv"), str(where / "promoters.tsv"), str(output))
+
+
+def test_two_chromosomes_equal_separate_runs(spark, study, tmp_path):
+    where, made = study
+    rows = {}
+    for name, chroms in (("both", ("5", "11")), ("only5", ("5",)), ("only11", ("11",))):
+        prepare(spark, where, chroms, tmp_path / name)
+        out = str(tmp_path / f"{name}-results")
+        args = dict(analyses=("single", "coding"), traits={"grip": ["age", "one"], "case": ["age"]}, annotation_names=["CADD"], mac_cutoff=1, rare_maf_cutoff=0.6)
+        report = workflow.run_all(spark, str(where / "y.csv"), str(where / "x.csv"), str(tmp_path / name), out, **args)
+        assert report["traits"] == {"grip": "gaussian", "case": "binomial"}
+        rows[name] = {kind: spark.read.csv(f"{out}/{kind}", header=True).drop("variant_idx").collect() for kind in report["rows"]}
+        if name == "both":
+            data = workflow.Dataset(spark, str(tmp_path / name))
+            numbers = {c: sorted(r["variant_idx"] for r in data.variants.filter(F.col("chrom") == c).collect()) for c in chroms}
+            assert numbers == {"11": list(range(10)), "5": list(range(10, 22))}
+            assert states_of(data.calls.filter("chrom = '5'"), 12, N, 10) == states(made["5"][0])
+            assert workflow.run_all(spark, str(where / "y.csv"), str(where / "x.csv"), str(tmp_path / name), out, **args) == report
+            with pytest.raises(ValueError, match="other inputs"):
+                workflow.run_all(spark, str(where / "y.csv"), str(where / "x.csv"), str(tmp_path / name), out, **(args | {"mac_cutoff": 2}))
+    close = lambda r: tuple(f"{float(v):.9g}" if v and v.replace(".", "").replace("e-", "").replace("-", "").isdigit() else v for v in r)
+    assert {"single", "coding", "coding_binary", "coding_binary_summaries"} <= set(rows["both"])
+    for kind, both in rows["both"].items():
+        apart = rows["only5"][kind] + rows["only11"][kind]
+        assert sorted(map(str, map(close, both))) == sorted(map(str, map(close, apart))), kind
+    coding = rows["both"]["coding"]
+    assert {(r["Chr"], r["Gene name"]) for r in coding} == {("5", "TAIL"), ("5", "SAME"), ("11", "TAIL"), ("11", "SAME")}
+    order = [(r["Chr"], r["Gene name"]) for r in coding]
+    assert order == sorted(order, key=lambda x: (int(x[0]), x[1] != "TAIL"))
+
+
+def test_refused_studies(spark, study, tmp_path):
+    where, _ = study
+    (where / "bad_genes.csv").write_text("hgnc_symbol,chromosome_name,start_position,end_position\nA,5,9,2\n")
+    with pytest.raises(ValueError, match="bad_genes"):
+        prepare(spark, where, ("5",), tmp_path / "p", "bad_genes.csv")
+    with pytest.raises(ValueError, match="no complete dataset"):
+        workflow.Dataset(spark, str(tmp_path / "p"))
+    text = (where / "a11.csv").read_text().splitlines()
+    (where / "a11.csv").write_text("\n".join(text[:1] + text[2:]) + "\n")
+    try:
+        with pytest.raises(ValueError, match="missing"):
+            prepare(spark, where, ("11",), tmp_path / "q")
+    finally:
+        (where / "a11.csv").write_text("\n".join(text) + "\n")
