@@ -232,40 +232,43 @@ def _count_words(features: DataFrame, model: Model, labelled_only: bool) -> tupl
     return got["cell"].to_numpy(), table[:n], table[n], table[n + 1]
 
 
-def _calibrate(features: DataFrame, model: Model) -> None:
-    """Fit the calibration out of fold on at most CALIBRATION_DOCS labelled documents; the first time also choose the shape."""
+def _evidence_of(labelled: DataFrame, model: Model, shape: tuple[float, float]) -> tuple[np.ndarray, np.ndarray]:
+    """Out-of-fold evidence and labels of the documents of ``labelled``, at most CALIBRATION_DOCS."""
     n = model.subjects
-    shapes = list(SHAPES) if model.shape is None else [model.shape]
-    shared = features.sparkSession.sparkContext.broadcast(model)
+    shared = labelled.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            each = shared.value.evidence_out_of_fold(*_arrays(batch), _masks(batch, n), shapes)
-            rows = np.stack(each, axis=1).reshape(batch.num_rows, -1).astype(np.float32)
+            (evidence,) = shared.value.evidence_out_of_fold(*_arrays(batch), _masks(batch, n), [shape])
+            rows = evidence.reshape(batch.num_rows, -1).astype(np.float32)
             borders = pa.array(np.arange(len(rows) + 1, dtype=np.int32) * rows.shape[1])
             yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("mask")), pa.ListArray.from_arrays(borders, pa.array(rows.ravel()))], names=["mask", "evidence"])
 
-    sample = features.filter("mask is not null").orderBy(F.xxhash64("doc_id")).limit(CALIBRATION_DOCS)
-    got = sample.mapInArrow(run, "mask bigint, evidence array<float>").toPandas()
+    got = labelled.mapInArrow(run, "mask bigint, evidence array<float>").toPandas()
     shared.destroy()
     if got.empty:
         raise ValueError("no document has a label")
     truth = ((got["mask"].to_numpy()[:, None] >> np.arange(n)) & 1).astype(float)
-    evidence = np.stack(got["evidence"].to_list()).astype(float).reshape(len(got), len(shapes), n, -1)
-    losses = [model.calibrate(evidence[:, i], truth) for i in range(len(shapes))]
-    best = int(np.argmin(losses))
-    model.shape = shapes[best]
-    model.calibrate(evidence[:, best], truth)
+    return np.stack(got["evidence"].to_list()).astype(float).reshape(len(got), n, -1), truth
+
+
+def _calibrate(labelled: DataFrame, model: Model) -> None:
+    """Fit the calibration out of fold; the first time also choose the shape by the loss."""
+    if model.shape is None:
+        losses = [model.calibrate(*_evidence_of(labelled, model, shape)) for shape in SHAPES]
+        model.shape = SHAPES[int(np.argmin(losses))]
+    model.calibrate(*_evidence_of(labelled, model, model.shape))
 
 
 def train(features: DataFrame, n_subjects: int, iterations: int = ITERATIONS) -> Model:
     """Fit on stored ``features`` (doc_id, cells, counts, mask; null masks are unlabelled documents)."""
     model = Model(n_subjects)
+    labelled = stored(features.filter("mask is not null").orderBy(F.xxhash64("doc_id")).limit(CALIBRATION_DOCS), "labelled")
     model.weigh(*_count_words(features, model, labelled_only=True))
-    _calibrate(features, model)
+    _calibrate(labelled, model)
     for _ in range(iterations):
         model.weigh(*_count_words(features, model, labelled_only=False))
-        _calibrate(features, model)
+        _calibrate(labelled, model)
     return model
 
 
