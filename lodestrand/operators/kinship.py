@@ -2,7 +2,7 @@
 
 A relationship matrix is a diagonal and sparse off-diagonal entries; related samples fall into
 connected blocks, and everything a mixed model needs is a sum over blocks. Each block is held by one
-task (a block is as large as its family, never the cohort). The linear model rotates its blocks by
+task, densely; a matrix with a block above MAX_BLOCK samples is refused. The linear model rotates its blocks by
 their eigenvectors once; after that each fitting round is a plain aggregation over all samples and
 traits. The logistic model's weights change, so each round takes its block sums anew.
 """
@@ -23,6 +23,12 @@ from .null_models import NullModel, fit_logistic
 
 #: Samples whose blocks one task works through, about.
 BUCKET_SAMPLES = 20_000
+#: Samples of the largest block that is fitted; its matrix of doubles then takes half a gigabyte.
+MAX_BLOCK = 8_000
+#: Fixed bounds of the search that recovers a logistic model, and how many points each of its passes tries.
+SEARCH, SEARCH_POINTS = (1e-5, 1e5), 33
+#: Halvings of a step before a fit is given up.
+MAX_HALVINGS = 2_048
 
 
 def subset(diagonal: DataFrame, edges: DataFrame, samples: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -45,9 +51,13 @@ def block_rows(design: DataFrame, diagonal: DataFrame, edges: DataFrame, p: int)
     rows = design.join(groups, "sample_idx", "left").join(relatives, "sample_idx", "left").join(diagonal.withColumnRenamed("value", "own"), "sample_idx", "left")
     block = F.coalesce("block", "sample_idx")
     buckets = max(1, math.ceil(design.select("sample_idx").distinct().count() / BUCKET_SAMPLES))
-    return stored(
+    whole = stored(
         rows.select("trait", "sample_idx", "y", *(f"x{i}" for i in range(p)), block.alias("block"), F.pmod(F.xxhash64(block), F.lit(buckets)).alias("bucket"), F.coalesce("own", F.lit(1.0)).alias("own"), "relatives"), "block_rows"
     )
+    largest = whole.groupBy("trait", "block").count().agg(F.max("count")).first()[0] or 0  # one row
+    if largest > MAX_BLOCK:
+        raise ValueError(f"a block of the relationship matrix links {largest} samples, above {MAX_BLOCK}; drop distant relations first")
+    return whole
 
 
 def _blocks(rows: pd.DataFrame) -> Iterator[tuple[pd.DataFrame, np.ndarray]]:
@@ -150,12 +160,14 @@ def fit_mixed_linear(design: DataFrame, diagonal: DataFrame, edges: DataFrame, p
                 if free.any():
                     step = np.zeros(2)
                     step[free] = np.linalg.solve(information[np.ix_(free, free)], score[free])
-                    while True:
+                    for _halving in range(MAX_HALVINGS):
                         new = old + step
                         new[(new < tolerance) & (old < tolerance)] = 0
                         if (new >= 0).all():
                             break
                         step /= 2
+                    else:
+                        raise ArithmeticError(f"the variance components of {t} leave their range")
                     new[new < tolerance] = 0
                     tau[t] = new
                 before = beta_before.get(t, np.zeros(p))
@@ -216,7 +228,10 @@ def fit_mixed_logistic(design: DataFrame, diagonal: DataFrame, edges: DataFrame,
     """Logistic mixed model with random effects of covariance tau K, by penalised quasi-likelihood.
 
     Each round weighs the working response by the current means and takes one average-information
-    step for tau (halved while negative); two passes over the blocks. Missing convergence is an error.
+    step for tau (halved while negative); two passes over the blocks. Traits that do not settle so
+    start anew, and each of their rounds searches the restricted likelihood of its working response
+    for the best tau within SEARCH (on a logarithmic grid, narrowed until it is as fine as the
+    tolerance); a tau at its lower end is refitted as 0. Missing convergence is then an error.
     """
     x = [f"x{i}" for i in range(p)]
     rows = block_rows(design, diagonal, edges, p)
@@ -249,7 +264,24 @@ def fit_mixed_logistic(design: DataFrame, diagonal: DataFrame, edges: DataFrame,
         q = (p + 1) ** 2
         return {r["trait"]: tuple(np.array(r["sums"][i * q : (i + 1) * q]).reshape(shape) for i in range(3)) + (r["sums"][-1],) for r in got}
 
+    def moved(state: DataFrame, taus: dict[str, float], betas: dict[str, np.ndarray]) -> DataFrame:
+        """The linear predictors that follow from tau and beta."""
+
+        def update(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+            out = []
+            for own, k in _blocks(part):
+                z, w, _ = working(own)
+                residual = np.linalg.solve(np.diag(1 / w) + taus[key[0]] * k, z - own[x].to_numpy(float) @ betas[key[0]])
+                out.append(pd.DataFrame({"trait": key[0], "sample_idx": own["sample_idx"].to_numpy(), "eta": z - residual / w}))
+            return pd.concat(out)
+
+        return stored(state.groupBy("trait", "bucket").applyInPandas(update, "trait string, sample_idx bigint, eta double"), "eta")
+
+    def change_of(beta: np.ndarray, before: np.ndarray, new: float, old: float) -> float:
+        return 2 * max(np.max(np.abs(beta - before) / (np.abs(beta) + np.abs(before) + tolerance)), abs(new - old) / (new + old + tolerance))
+
     spread: dict[str, float] | None = None
+    first_eta, first_fits = eta, dict(fits)
     for _ in range(rounds):
         state = rows.join(eta, ["trait", "sample_idx"])
         if spread is None:
@@ -258,6 +290,7 @@ def fit_mixed_logistic(design: DataFrame, diagonal: DataFrame, edges: DataFrame,
             spread = {r["trait"]: r["v"] / (2 * r["k"]) for r in state.groupBy("trait").agg(F.var_samp(z).alias("v"), F.mean("own").alias("k")).collect()}
             fits = {t: (b, spread[t]) for t, (b, _) in fits.items()}
         taus = {t: f[1] for t, f in fits.items()}
+        lost = set()
         for t, (m0, m1, m2, trace) in sums_at(state.filter(F.col("trait").isin([t for t in fits if t not in settled])), taus).items():
             cov = np.linalg.inv(m0[:p, :p])
             beta = cov @ m0[:p, p]
@@ -266,30 +299,27 @@ def fit_mixed_logistic(design: DataFrame, diagonal: DataFrame, edges: DataFrame,
             cross = (m1 @ c)[:p]
             step = score / (c @ m2 @ c - cross @ cov @ cross)
             old = taus[t]
+            if not np.isfinite(step) or not np.isfinite(beta).all():
+                lost.add(t)
+                continue
             while old + step < 0 and old >= tolerance:
                 step /= 2
             new = max(old + step, 0.0)
             new = 0.0 if new < tolerance else new
-            before = fits[t][0]
-            change = 2 * max(np.max(np.abs(beta - before) / (np.abs(beta) + np.abs(before) + tolerance)), abs(new - old) / (new + old + tolerance))
+            change = change_of(beta, fits[t][0], new, old)
             fits[t] = (beta, new)
             if change < tolerance:
                 settled[t] = (beta, cov, old, new)
-        betas = {t: f[0] for t, f in fits.items()}
-
-        def update(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-            out = []
-            for own, k in _blocks(part):
-                z, w, _ = working(own)
-                residual = np.linalg.solve(np.diag(1 / w) + taus[key[0]] * k, z - own[x].to_numpy(float) @ betas[key[0]])
-                out.append(pd.DataFrame({"trait": key[0], "sample_idx": own["sample_idx"].to_numpy(), "eta": z - residual / w}))
-            return pd.concat(out)
-
+        fits = {t: f for t, f in fits.items() if t not in lost}
         if len(settled) == len(fits):
             break
-        eta = stored(state.groupBy("trait", "bucket").applyInPandas(update, "trait string, sample_idx bigint, eta double"), "eta")
-    else:
-        raise ArithmeticError(f"no convergence for {sorted(set(fits) - set(settled))}")
+        eta = moved(state.filter(F.col("trait").isin(list(fits))), taus, {t: f[0] for t, f in fits.items()})
+    missing = sorted(set(first_fits) - set(settled))
+    if missing:
+        again = F.col("trait").isin(missing)
+        found, recovered = _search_logistic(rows.filter(again), first_eta.filter(again), {t: first_fits[t][0] for t in missing}, p, working, sums_at, moved, change_of, tolerance, rounds)
+        settled |= found
+        eta = eta.filter(~again).unionByName(recovered)
 
     def precision(key: tuple, own: pd.DataFrame, matrix: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         _, w, mu = working(own)
@@ -297,3 +327,63 @@ def fit_mixed_logistic(design: DataFrame, diagonal: DataFrame, edges: DataFrame,
         return inverse, inverse @ own[x].to_numpy(float), own["y"].to_numpy(float) - mu, mu
 
     return _finish(rows.join(eta, ["trait", "sample_idx"]), p, precision, {t: (f[0], f[1], (1.0, f[3])) for t, f in settled.items()}, "binomial")
+
+
+def _search_logistic(rows: DataFrame, eta: DataFrame, betas: dict[str, np.ndarray], p: int, working: Callable, sums_at: Callable, moved: Callable, change_of: Callable, tolerance: float, rounds: int) -> tuple[dict[str, tuple], DataFrame]:
+    """Settled fits (beta, cov, tau, tau) by searching each round's restricted likelihood, and the linear predictors they end with."""
+    x = [f"x{i}" for i in range(p)]
+
+    def likelihoods(state: DataFrame, grids: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+        """Restricted log-likelihood (up to a constant) of every trait at every tau of its grid; one pass over the blocks."""
+
+        def run(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+            grid = grids[key[0]]
+            logs, sums = np.zeros(len(grid)), np.zeros((len(grid), p + 1, p + 1))
+            for own, k in _blocks(part):
+                z, w, _ = working(own)
+                both = np.column_stack([own[x].to_numpy(float), z])
+                for i, tau in enumerate(grid):
+                    v = np.diag(1 / w) + tau * k
+                    logs[i] += np.linalg.slogdet(v)[1]
+                    sums[i] += both.T @ np.linalg.solve(v, both)
+            return pd.DataFrame({"trait": [key[0]], "sums": [np.concatenate([logs, sums.ravel()]).tolist()]})
+
+        size = SEARCH_POINTS * ((p + 1) ** 2 + 1)
+        per_bucket = state.groupBy("trait", "bucket").applyInPandas(run, "trait string, sums array<double>")
+        out = {}
+        for r in per_bucket.groupBy("trait").agg(F.array(*(F.sum(F.col("sums")[i]) for i in range(size))).alias("sums")).collect():  # one row per trait
+            logs, m = np.array(r["sums"][:SEARCH_POINTS]), np.array(r["sums"][SEARCH_POINTS:]).reshape(-1, p + 1, p + 1)
+            rest = m[:, p, p] - np.einsum("ti,ti->t", m[:, :p, p], np.linalg.solve(m[:, :p, :p], m[:, :p, p, None])[:, :, 0])
+            out[r["trait"]] = -0.5 * (logs + np.linalg.slogdet(m[:, :p, :p])[1] + rest)
+        return out
+
+    settled: dict[str, tuple] = {}
+    taus = {t: 1.0 for t in betas}
+    at_zero: set[str] = set()
+    for _ in range(2 * rounds):
+        todo = [t for t in betas if t not in settled]
+        state = rows.join(eta, ["trait", "sample_idx"])
+        active = state.filter(F.col("trait").isin(todo))
+        best = {t: 0.0 for t in todo}
+        ends = {t: np.log(SEARCH) for t in todo if t not in at_zero}
+        while ends:
+            grids = {t: np.exp(np.linspace(*e, SEARCH_POINTS)) for t, e in ends.items()}
+            for t, values in likelihoods(active.filter(F.col("trait").isin(list(ends))), grids).items():
+                i = int(np.argmax(values))
+                best[t] = float(grids[t][i])
+                ends[t] = np.log([grids[t][max(i - 1, 0)], grids[t][min(i + 1, SEARCH_POINTS - 1)]])
+            ends = {t: e for t, e in ends.items() if e[1] - e[0] > tolerance}
+        for t, (m0, *_) in sums_at(active, taus | best).items():
+            cov = np.linalg.inv(m0[:p, :p])
+            beta = cov @ m0[:p, p]
+            change = change_of(beta, betas[t], best[t], taus[t])
+            betas[t], taus[t] = beta, best[t]
+            if change < 10 * tolerance:  # as fine as the search
+                if best[t] < 1.01 * SEARCH[0] and t not in at_zero:
+                    at_zero.add(t)
+                else:
+                    settled[t] = (beta, cov, best[t], best[t])
+        if len(settled) == len(betas):
+            return settled, eta
+        eta = moved(state, taus, betas)
+    raise ArithmeticError(f"no convergence for {sorted(set(betas) - set(settled))}")

@@ -28,6 +28,8 @@ from .saddlepoint import saddlepoint_p
 BETAS = ("1,25", "1,1")
 TESTS = {"S": "SKAT", "B": "Burden", "A": "ACAT-V"}
 VERY_RARE_MAC = 10
+#: Rare variants of the largest gene whose covariance is built; the matrix of doubles then takes half a gigabyte.
+MAX_GENE = 8_000
 
 _LONG = "trait string, gene_name string, mask string, n_variants int, cmac double, test string, beta string, annotation string, p double"
 
@@ -111,12 +113,17 @@ def set_tests(calls: DataFrame, null: NullModel, variants: DataFrame, members: D
     """Elementary p-values of every trait and mask: trait, gene_name, mask, n_variants, cmac, test (S, B, A), beta, annotation, p.
 
     ``members`` has gene_name, mask, variant_idx; ``phred`` is an array expression over ``variants``
-    whose entries ``names`` name. Masks with fewer than ``at_least`` rare variants give no rows.
+    whose entries ``names`` name. Masks with fewer than ``at_least`` rare variants give no rows. A gene
+    whose masks hold more than MAX_GENE rare variants together is an error that names it: give
+    ``maximum`` to leave such masks out; ``burden_statistics`` and ``binary_burdens`` have no such limit.
     ``student_acat`` calibrates ACAT-V's single variants by Student's t (least-squares traits only).
     """
     p_design = null.p
     scored = scores(calls, null, imputation)
     rare = stored(rare_members(members, scored, cutoff, at_least, maximum), "members")
+    largest = rare.groupBy("trait", "gene_name").agg(F.count_distinct("variant_idx").alias("n")).orderBy(F.desc("n")).first()
+    if largest is not None and largest["n"] > MAX_GENE:
+        raise ValueError(f"gene {largest['gene_name']} has {largest['n']} rare variants, above {MAX_GENE}")
     per_variant = rare.groupBy("trait", "gene_name", "variant_idx").agg(F.collect_set("mask").alias("masks"))
     weights = association_weights(F.col("test_maf"), F.col("phred"))
     rows = (
@@ -125,8 +132,9 @@ def set_tests(calls: DataFrame, null: NullModel, variants: DataFrame, members: D
         .select("trait", "gene_name", "variant_idx", "masks", "score", "cross", "base", "e_w1", "w0", "cov", "n", "extraction_group", F.rint(F.col("test_maf") * 2 * F.col("n")).alias("mac"), cumulative_mac("test_maf", imputation).alias("cmac"), *(w.alias(f"w{k}") for k, w in weights.items()))
     )
     used = per_variant.select("trait", "gene_name", "variant_idx")
-    cells = oriented_cells(calls, null, scored.join(used.select("trait", "variant_idx").distinct(), ["trait", "variant_idx"], "left_semi"))
+    cells = stored(oriented_cells(calls, null, scored.join(used.select("trait", "variant_idx").distinct(), ["trait", "variant_idx"], "left_semi")), "cells")
     pairs = covariance_pairs(cells, used.select("gene_name", "variant_idx"), null)
+    pairs = pairs.select(*(F.col(c).alias(c) for c in pairs.columns))  # names of its own beside those of rows
     labels = _labels(names)
 
     def test(key: tuple, gene: pd.DataFrame, products: pd.DataFrame) -> pd.DataFrame:

@@ -210,6 +210,23 @@ def binary_single(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.join(spa, ["trait", "variant_idx"], "left").orderBy(*association.SINGLE_ORDER).select(*association.SINGLE_ORDER, "pvalue", "p_spa", "unverified")
 
 
+def binary_single_nominal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score and normal-theory p-values of building's single-variant tests."""
+    calls, null = stored(star.calls(spark, sf_dir), "calls"), _logistic(spark, sf_dir)
+    rows = association.single_variant(calls, null, star.variants(spark, sf_dir))
+    z = F.round(F.col("score") / F.col("score_se"), 5) + F.lit(0.0)
+    return rows.select("variant_idx", z.alias("z"), _r("pvalue", 6), _r("pvalue_log10", 4))
+
+
+def single_two_chromosomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Single-variant tests of balance where every second variant lies on a second chromosome, at positions of its own; numbered within chromosomes."""
+    second = F.col("variant_idx") % 2 == 1
+    variants = star.variants(spark, sf_dir).withColumn("chrom", F.when(second, "22").otherwise("21")).withColumn("pos", F.when(second, F.lit(100_000_000) - F.col("pos")).otherwise(F.col("pos")))
+    rows = association.single_variant(stored(star.calls(spark, sf_dir), "calls"), _linear(spark, sf_dir), variants, chunk=500)
+    z = F.round(F.col("score") / F.col("score_se"), 6) + F.lit(0.0)
+    return rows.select("variant_idx", "chrom", "pos", z.alias("z"), "ordinal", "chunk")
+
+
 def burden_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Unweighted burden score and variance, SKAT statistic and cMAC of every mask of balance."""
     rows = set_tests.burden_statistics(stored(star.calls(spark, sf_dir), "calls"), _linear(spark, sf_dir), _members(spark, sf_dir))
@@ -246,6 +263,12 @@ def burden_and_acat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return long.select("gene_name", "mask", "test", "beta", "annotation", "p").unionByName(whole).withColumn("p", F.round("p", 7) + F.lit(0.0))
 
 
+def skat_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SKAT p-values of balance's masks of two variants, away from the middle where another formula holds."""
+    long = _set_tests(spark, sf_dir)[0].filter("test = 'S' and n_variants = 2 and (p < 0.29 or p > 0.41)")
+    return long.select("gene_name", "mask", "beta", "annotation", _r("p", 5))
+
+
 def gene_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All mask tests of balance with their combined p-values, one row per mask."""
     long, names = _set_tests(spark, sf_dir)
@@ -299,7 +322,8 @@ def single_variant_mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
 def joint_single(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Variants tested for balance and number of orders together."""
     model = joint.fit_joint(star.joint_design(spark, sf_dir), ["balance", "n_orders"], 2)
-    return joint.joint_single(stored(star.calls(spark, sf_dir), "calls"), model)
+    rows = joint.joint_single(stored(star.calls(spark, sf_dir), "calls"), model)
+    return rows.select("variant_idx", _r("score1", 6), _r("score2", 4), _r("pvalue", 7), _r("pvalue_log10", 4))
 
 
 def joint_set_tests(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -330,8 +354,8 @@ QUERIES = {
     for f in (
         variant_stats, variant_stats_subset, mac_prescreen, minor_dosages, sample_keys, sample_alignment, alignment_counts, presence_flags, quality_summary,
         annotation_join, annotation_coverage, annotation_problems, annotation_weights, gene_span_join, promoter_overlap, coding_masks, ptv_masks_all_variants,
-        noncoding_masks, mask_sizes, rare_masks, distinct_masks, rint_values, null_linear, null_logistic, residual_rint, single_variant, single_variant_p, binary_single,
-        burden_statistics, covariance_pairs, cauchy_combination, burden_and_acat, gene_table, disruptive_missense, binary_burdens, kinship_subset, mixed_linear, mixed_logistic, single_variant_mixed,
+        noncoding_masks, mask_sizes, rare_masks, distinct_masks, rint_values, null_linear, null_logistic, residual_rint, single_variant, single_variant_p, single_two_chromosomes, binary_single, binary_single_nominal,
+        burden_statistics, covariance_pairs, cauchy_combination, burden_and_acat, skat_pairs, gene_table, disruptive_missense, binary_burdens, kinship_subset, mixed_linear, mixed_logistic, single_variant_mixed,
         joint_single, joint_set_tests, streamed_allele_counts, result_sink,
     )
 }
@@ -458,7 +482,75 @@ def _newton_sql(rounds: int) -> str:
     return ", ".join(ctes)
 
 
+#: Cohort, frequencies and tests of building under the logistic model of _newton_sql(9).
+_BINARY = f"""
+    fitted AS (SELECT sample_idx, x1, x2, y - m raw, m * (1 - m) w FROM (SELECT *, 1 / (1 + exp(-(b0 + b1 * x1 + b2 * x2))) m FROM units, beta9)),
+    ws AS (SELECT sum(w) n, sum(w * x1) a, sum(w * x2) b, sum(w * x1 * x1) c, sum(w * x1 * x2) d, sum(w * x2 * x2) e FROM fitted),
+    winv AS (
+      SELECT (c * e - d * d) / det i00, (b * d - a * e) / det i01, (a * d - b * c) / det i02, (n * e - b * b) / det i11, (a * b - n * d) / det i12, (n * c - a * a) / det i22
+      FROM (SELECT *, n * (c * e - d * d) - a * (a * e - b * d) + b * (a * d - b * c) det FROM ws)),
+    {_frequency_sql('units', 'bf')},
+    wdense AS (
+      SELECT f.variant_idx, c.raw, c.w, c.x1, c.x2, CASE WHEN coalesce(state, 0) >= 3 THEN 2 * maf WHEN counts_alt THEN coalesce(state, 0) ELSE 2 - coalesce(state, 0) END g
+      FROM bf f CROSS JOIN fitted c LEFT JOIN calls k ON k.variant_idx = f.variant_idx AND k.sample_idx = c.sample_idx),
+    wtests AS (
+      SELECT variant_idx, u, gg - {_QUAD.format('g')} v
+      FROM (SELECT variant_idx, sum(g * raw) u, sum(w * g * g) gg, sum(w * g) g0, sum(w * g * x1) g1, sum(w * g * x2) g2 FROM wdense GROUP BY variant_idx), winv)"""
+
+#: Least squares of balance and number of orders on nation, and the joint test of both.
+_JOINT = f"""
+    both AS (SELECT sample_idx, balance y1, n_orders y2, nation x1 FROM traits JOIN covariates_of USING (sample_idx) WHERE balance IS NOT NULL AND n_orders IS NOT NULL),
+    jfit AS (
+      SELECT b / det i00, -a / det i01, n / det i11, (b * p1 - a * q1) / det c10, (n * q1 - a * p1) / det c11, (b * p2 - a * q2) / det c20, (n * q2 - a * p2) / det c21
+      FROM (SELECT *, n * b - a * a det FROM (SELECT count(*)::DOUBLE n, sum(x1) a, sum(x1 * x1) b, sum(y1) p1, sum(x1 * y1) q1, sum(y2) p2, sum(x1 * y2) q2 FROM both))),
+    jresid AS (SELECT sample_idx, x1, y1 - c10 - c11 * x1 r1, y2 - c20 - c21 * x1 r2 FROM both, jfit),
+    jcov AS (SELECT s11, s12, s22, s11 * s22 - s12 * s12 det FROM (SELECT sum(r1 * r1) / (count(*) - 2) s11, sum(r1 * r2) / (count(*) - 2) s12, sum(r2 * r2) / (count(*) - 2) s22 FROM jresid)),
+    {_frequency_sql('both', 'jf')},
+    jdense AS (
+      SELECT f.variant_idx, f.initial_mac, f.maf, c.r1, c.r2, c.x1, CASE WHEN coalesce(state, 0) >= 3 THEN 2 * maf WHEN counts_alt THEN coalesce(state, 0) ELSE 2 - coalesce(state, 0) END g
+      FROM jf f CROSS JOIN jresid c LEFT JOIN calls k ON k.variant_idx = f.variant_idx AND k.sample_idx = c.sample_idx),
+    jtests AS (
+      SELECT variant_idx, (s22 * a1 - s12 * a2) / det score1, (s11 * a2 - s12 * a1) / det score2, a1, a2, gg - (i00 * g0 * g0 + 2 * i01 * g0 * g1 + i11 * g1 * g1) v
+      FROM (SELECT variant_idx, sum(g * r1) a1, sum(g * r2) a2, sum(g * g) gg, sum(g) g0, sum(g * x1) g1 FROM jdense WHERE initial_mac >= 20 AND maf > 0 AND maf < 1 GROUP BY variant_idx), jfit, jcov)"""
+
+#: Masks of two variants: the eigenvalues of a 2 x 2 matrix, and the saddlepoint as root of a quadratic.
+_PAIRS = f"""
+    twos AS (SELECT gene_name, mask, min(variant_idx) v1, max(variant_idx) v2 FROM rare GROUP BY ALL HAVING count(*) = 2),
+    crossed AS (SELECT v1, v2, sum(a.g * b.g) gg FROM (SELECT DISTINCT v1, v2 FROM twos) JOIN dense a ON a.variant_idx = v1 JOIN dense b ON b.variant_idx = v2 AND b.sample_idx = a.sample_idx GROUP BY ALL),
+    covered AS (
+      SELECT c.v1, c.v2, s.variance v11, t.variance v22, s.score u1, t.score u2,
+        (c.gg - (i00 * s.g0 * t.g0 + i11 * s.g1 * t.g1 + i22 * s.g2 * t.g2 + i01 * (s.g0 * t.g1 + s.g1 * t.g0) + i02 * (s.g0 * t.g2 + s.g2 * t.g0) + i12 * (s.g1 * t.g2 + s.g2 * t.g1))) / sigma2 v12
+      FROM crossed c JOIN tests s ON s.variant_idx = c.v1 JOIN tests t ON t.variant_idx = c.v2, inv, sigma),
+    weighed AS (
+      SELECT gene_name, mask, m.beta, m.annotation, m.rnk * m.w * m.w * v11 a, k.rnk * k.w * k.w * v22 d, sqrt(m.rnk * k.rnk) * m.w * k.w * v12 b, m.rnk * m.w * m.w * u1 * u1 + k.rnk * k.w * k.w * u2 * u2 q
+      FROM twos JOIN covered c ON c.v1 = twos.v1 AND c.v2 = twos.v2 JOIN marks m ON m.variant_idx = twos.v1 JOIN marks k ON k.variant_idx = twos.v2 AND k.beta = m.beta AND k.annotation = m.annotation),
+    spectra AS (SELECT *, (a + d + sqrt((a - d) ** 2 + 4 * b * b)) / 2 top, (a + d - sqrt((a - d) ** 2 + 4 * b * b)) / 2 low FROM weighed),
+    scaled AS (SELECT gene_name, mask, beta, annotation, q / top x, CASE WHEN low < 1e-8 THEN 0 ELSE low / top END r FROM spectra WHERE top >= 1e-8),
+    roots AS (SELECT *, 2 * (x - 1 - r) / (bb + sqrt(greatest(bb * bb - 16 * r * x * (x - 1 - r), 0))) t FROM (SELECT *, 2 * x * (1 + r) - 4 * r bb FROM scaled)),
+    signed AS (SELECT *, sign(t) * sqrt(2 * (t * x + 0.5 * (ln(1 - 2 * t) + ln(1 - 2 * r * t)))) w, t * sqrt(2 / (1 - 2 * t) ** 2 + 2 * r * r / (1 - 2 * r * t) ** 2) k FROM roots WHERE abs(t) > 1e-4),
+    skats AS (SELECT *, (w + ln(k / w) / w) / sqrt(2) z FROM signed),
+    skat_p AS (SELECT gene_name, mask, beta, annotation, CASE WHEN z >= 0 THEN {_erfc('z')} / 2 ELSE 1 - {_erfc('abs(z)')} / 2 END p FROM skats)"""
+
+
 ORACLE = {
+    "binary_single_nominal": _with(
+        f"""SELECT variant_idx, round(u / sqrt(v), 5) + 0.0 z, round(p, 6) + 0.0 pvalue, round(-log10(p), 4) + 0.0 pvalue_log10
+            FROM (SELECT t.*, {_erfc('(abs(u) / sqrt(2 * v))')} p FROM wtests t JOIN bf ON bf.variant_idx = t.variant_idx WHERE initial_mac >= 20 AND maf > 0 AND maf < 1)""",
+        _newton_sql(9), _BINARY,
+    ),
+    "single_two_chromosomes": _with(
+        """SELECT variant_idx, chrom, pos, round(score / sqrt(variance), 6) + 0.0 z, row_number() OVER w - 1 ordinal, (row_number() OVER w - 1) // 500 chunk
+           FROM (SELECT t.*, CASE WHEN v.variant_idx % 2 = 1 THEN '22' ELSE '21' END chrom, CASE WHEN v.variant_idx % 2 = 1 THEN 100000000 - v.pos ELSE v.pos END pos
+                 FROM cf JOIN tests t ON t.variant_idx = cf.variant_idx JOIN variants v ON v.variant_idx = cf.variant_idx WHERE initial_mac >= 20 AND maf > 0 AND maf < 1)
+           WINDOW w AS (PARTITION BY chrom ORDER BY pos, variant_idx)""",
+        _DENSE,
+    ),
+    "joint_single": _with(
+        """SELECT variant_idx, round(score1, 6) + 0.0 score1, round(score2, 4) + 0.0 score2, round(exp(-q / 2), 7) + 0.0 pvalue, round(q / 2 / ln(10), 4) + 0.0 pvalue_log10
+           FROM (SELECT *, (score1 * a1 + score2 * a2) / v q FROM jtests)""",
+        _JOINT,
+    ),
+    "skat_pairs": _with("SELECT gene_name, mask, beta, annotation, round(p, 5) + 0.0 p FROM skat_p WHERE p < 0.29 OR p > 0.41", _MEMBERS, _DENSE, _RARE_BALANCE, _WEIGHTED, _PAIRS),
     "null_logistic": _with("SELECT 'building' trait, (SELECT count(*) FROM units) n, round(b0, 6) b0, round(b1, 6) b1, round(b2, 6) b2, true at_optimum FROM beta9", _newton_sql(9)),
     "single_variant_p": _with(
         f"SELECT variant_idx, round(p, 8) + 0.0 pvalue, round(-log10(p), 4) + 0.0 pvalue_log10 FROM (SELECT cf.variant_idx, {_erfc('(abs(score) / sqrt(2 * variance))')} p FROM cf JOIN tests t ON t.variant_idx = cf.variant_idx WHERE initial_mac >= 20 AND maf > 0 AND maf < 1)", _DENSE

@@ -85,6 +85,25 @@ def test_logistic_mixed_model_solves_its_equations(families):
     assert np.allclose(random_effect, tau * families["k"] @ rows["resid"].to_numpy(), atol=5e-3)
 
 
+def test_search_recovers_a_logistic_model(spark, families, monkeypatch):
+    """The search reaches the fit of the average-information steps when these are not allowed to settle."""
+    args = (families["binary"], families["diagonal"], families["edges"], 2)
+    want = kinship.fit_mixed_logistic(*args).models.first()
+    from_search = {}
+    original = kinship._search_logistic
+    monkeypatch.setattr(kinship, "_search_logistic", lambda *a: from_search.setdefault("fit", original(*a[:-1], 60)))
+    got = kinship.fit_mixed_logistic(*args, rounds=1).models.first()
+    assert from_search
+    assert got["tau"][1] == pytest.approx(want["tau"][1], rel=2e-2, abs=1e-3)
+    assert list(got["beta"]) == pytest.approx(list(want["beta"]), rel=2e-2, abs=2e-3)
+
+
+def test_large_blocks_are_refused(spark, families, monkeypatch):
+    monkeypatch.setattr(kinship, "MAX_BLOCK", 2)
+    with pytest.raises(ValueError, match="links"):
+        kinship.fit_mixed_linear(families["design"], families["diagonal"], families["edges"], 2)
+
+
 def test_subset(families, spark):
     keep = spark.createDataFrame([(0,), (1,), (4,), (0,)], "sample_idx bigint")
     diagonal, edges = kinship.subset(families["diagonal"], families["edges"], keep)
@@ -111,6 +130,7 @@ def test_study_writes_every_binary_analysis(spark, families, tmp_path):
     }
     for name, df in tables.items():
         df.write.parquet(str(tmp_path / "d" / name))
+    spark.createDataFrame([(name, workflow.VERSION, *workflow._print_of(df)) for name, df in tables.items()], "table_name string, version int, n_rows bigint, print string").write.parquet(str(tmp_path / "d" / "dataset"))
     (tmp_path / "x.csv").write_text("FID,IID,age\n" + "".join(f"f,{i},{float(families['x'][i, 1])!r}\n" for i in range(N)))
     (tmp_path / "y.csv").write_text("FID,IID,y,b\n" + "".join(f"f,{i},{float(families['y'][i])!r},{int(families['b'][i])}\n" for i in range(N)))
     (tmp_path / "b.csv").write_text("FID,IID,b\n" + "".join(f"f,{i},{int(families['b'][i])}\n" for i in range(N)))
