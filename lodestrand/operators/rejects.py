@@ -1,9 +1,10 @@
 """Loading of raw text records with their failing lines set apart by reason.
 
-Records are first read by Spark's permissive CSV reader under an explicit schema that keeps the
-raw text of corrupt rows. What it accepts without doubt is loaded; everything else (corrupt rows,
-and rows where the reader is more lenient than the file rules: quotes, letters, odd characters) is
-reclassified exactly by quoting, field count, identifier and cast checks.
+Records are read by Spark's permissive CSV reader under an explicit schema that keeps the raw text
+of corrupt rows. Corrupt rows, and those where the reader is more lenient than the file rules
+(quotes, line ends), are reclassified from their raw text by quoting and field count; all others
+keep the reader's fields. Identifier and cast checks follow on the fields. Every record is read and
+judged in one pass; repeats are removed afterwards, by a hash of the text.
 """
 
 from __future__ import annotations
@@ -23,12 +24,16 @@ BLANKS = r"\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u30
 BAD_IN_ID = r"[\p{Z}\p{C}]"
 _QUOTED = r'"[^"]*+(?:""[^"]*+)*+"'
 _PLAIN_ID = r'[^\p{Z}\p{C}",]++'
-#: Header widths that get their own explicit schema; records of other widths are classified exactly at once.
-MAX_SCHEMAS = 64
+#: Characters by which the permissive reader's fields can differ from those of the file rules.
+_LENIENT = r'["\\\r\n\x00]'
+
+
+#: The same characters one by one.
+_BLANK_CHARACTERS = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
 
 
 def trimmed(text: Column) -> Column:
-    return F.regexp_replace(text, rf"\A[{BLANKS}]++|[{BLANKS}]++\z", "")
+    return F.btrim(text, F.lit(_BLANK_CHARACTERS))
 
 
 def is_missing(trimmed_text: Column) -> Column:
@@ -37,7 +42,9 @@ def is_missing(trimmed_text: Column) -> Column:
 
 def number(trimmed_text: Column) -> Column:
     """The finite double that a decimal number stands for, else null."""
-    value = F.when(trimmed_text.rlike(rf"\A{NUMBER}\z"), trimmed_text.try_cast("double"))
+    # Of these characters the cast accepts decimal numbers only.
+    plain = (F.length(trimmed_text) > 0) & (F.length(F.translate(trimmed_text, "0123456789+-.eE", "")) == 0)
+    value = F.when(plain, trimmed_text.try_cast("double"))
     return F.when(F.abs(value) < float("inf"), value)
 
 
@@ -57,13 +64,20 @@ def _fields(line: Column) -> Column:
     return F.transform(raw, lambda f: F.when(f.startswith('"'), quoted(f)).otherwise(f))
 
 
-def _permissive(line: Column, width: int) -> Column:
-    """(corrupt, fid, iid, values) as the permissive reader sees the record under ``width`` columns."""
-    values = [f"v{i}" for i in range(max(0, width - 2))]
-    schema = ", ".join(["fid string", "iid string", *(f"{v} double" for v in values), "corrupt string"])
-    row = F.from_csv(line, schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "corrupt"})
-    numbers = F.array(*(row[v] for v in values)) if values else F.array().cast("array<double>")
-    return F.struct(row["corrupt"].alias("corrupt"), row["fid"].alias("fid"), row["iid"].alias("iid"), numbers.alias("values"))
+def _read(lines: DataFrame, most: int) -> DataFrame:
+    """``lines`` (line, width) with n, the fields that the permissive reader finds, or null where the row is corrupt.
+
+    The explicit schema has as many text columns as the widest header. Records are filled up to it
+    with empty fields, so that exactly those of their own file's width are not corrupt.
+    """
+    schema = ", ".join([*(f"f{i} string" for i in range(most)), "corrupt string"])
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "corrupt", "escape": '"', "maxColumns": str(max(20_480, 2 * most))}
+    commas = F.length("line") - F.length(F.translate("line", ",", ""))
+    # The reader gives up on records wider than any schema; they are corrupt by their count alone.
+    readable = F.when(commas < max(20_480, 2 * most) - most, F.concat("line", F.repeat(F.lit(","), F.lit(most) - F.col("width"))))
+    fields = F.slice(F.array(*(F.coalesce(F.col(f"read.f{i}"), F.lit("")) for i in range(most))), 1, F.greatest("width", F.lit(1)))
+    read = lines.withColumn("read", F.from_csv(readable, schema, options))
+    return read.withColumn("read_fields", F.when(F.col("read").isNotNull() & F.col("read.corrupt").isNull(), fields)).drop("read")
 
 
 def classify_csv(lines: DataFrame) -> DataFrame:
@@ -71,47 +85,33 @@ def classify_csv(lines: DataFrame) -> DataFrame:
 
     reason is null for valid records, whose identifiers and values (null for missing tokens) are
     set. A null record counts as a blank one. The width comes from the file's first line; in a file
-    without one the count is not judged.
+    without one the count is not judged. Repeats of a record are kept.
     """
-    csv = lines.filter("kind = 'csv'").select("file_name", "line_no", "line").distinct()
+    csv = lines.filter("kind = 'csv'").select("file_name", "line_no", "line")
     header = F.regexp_replace("line", "\\A\ufeff", "")
     widths = csv.filter("line_no = 1").groupBy("file_name").agg(F.max(F.size(F.split(_quotes_removed(header), ",", -1))).alias("width"))
-    known = [r["width"] for r in widths.select("width").distinct().orderBy("width").limit(MAX_SCHEMAS).collect()]
-    records = skew_join(csv.filter("line_no > 1 and line is not null"), widths, ["file_name"], "left")
-
-    plain = rf"\A{_PLAIN_ID},{_PLAIN_ID}(?:,(?:{NUMBER})?+)*+\z"
-    read = F.coalesce(*(F.when(F.col("width") == w, _permissive(F.col("line"), w)) for w in known)) if known else None
-    if read is None:
-        read = F.lit(None).cast("struct<corrupt:string,fid:string,iid:string,values:array<double>>")
-    records = records.withColumn("read", read)
-    clean = F.col("read").isNotNull() & F.col("read.corrupt").isNull() & F.col("line").rlike(plain) & ~F.exists("read.values", lambda v: F.coalesce(F.abs(v) == float("inf"), F.lit(False)))
-    records = records.withColumn("clean", F.coalesce(clean, F.lit(False)))
-    accepted = records.filter("clean").select("file_name", "line_no", "line", "read.fid", "read.iid", "read.values", F.lit(None).cast("string").alias("reason"))
-
-    doubtful = (
-        records.filter("not clean")
-        .withColumn("quoting", _quotes_removed(F.col("line")).contains('"'))
-        .withColumn("fields", F.when(~F.col("quoting"), _fields(F.col("line"))))
-        .filter("quoting or exists(fields, f -> " + f"f rlike '[^{BLANKS}]'".replace("\\", "\\\\") + ")")
-        .withColumn("texts", F.transform(F.slice("fields", 3, F.greatest(F.size("fields"), F.lit(2))), trimmed))
-        .withColumn("values", F.transform("texts", number))
-    )
-    bad_value = F.exists("texts", lambda t: ~is_missing(t) & number(t).isNull())
-    reason = (
-        F.when(F.col("quoting"), "quoting")
-        .when(F.size("fields") != F.col("width"), "column_count")
-        .when(bad_identifier(F.get("fields", F.lit(0))) | bad_identifier(F.get("fields", F.lit(1))), "identifier")
-        .when(bad_value, "value")
-    )
-    judged = doubtful.withColumn("reason", reason).select(
-        "file_name", "line_no", "line", F.when(F.col("reason").isNull(), F.get("fields", F.lit(0))).alias("fid"), F.when(F.col("reason").isNull(), F.get("fields", F.lit(1))).alias("iid"), F.when(F.col("reason").isNull(), F.col("values")).alias("values"), "reason"
-    )
-    return accepted.unionByName(judged)
+    most = max(2, widths.agg(F.max("width")).first()[0] or 0)  # one row
+    records = _read(skew_join(csv.filter("line_no > 1 and line is not null"), widths, ["file_name"], "left"), most)
+
+    certain = F.col("read_fields").isNotNull() & ~F.col("line").rlike(_LENIENT)
+    quoting = ~F.coalesce(certain, F.lit(False)) & _quotes_removed(F.col("line")).contains('"')
+    records = records.withColumn("quoting", quoting).withColumn("fields", F.when(certain, F.col("read_fields")).when(~F.col("quoting"), _fields(F.col("line")))).drop("read_fields")
+    blank = F.col("line").rlike(rf"\A[{BLANKS},\"]*+\z") & ~F.col("quoting") & ~F.exists("fields", lambda f: trimmed(f) != "")
+    fid, iid = F.get("fields", F.lit(0)), F.get("fields", F.lit(1))
+    judged = records.withColumn("texts", F.transform(F.slice("fields", 3, F.greatest(F.size("fields"), F.lit(2))), trimmed))
+    judged = judged.withColumn("values", F.transform("texts", number))
+    bad_value = F.exists(F.arrays_zip(F.col("texts").alias("t"), F.col("values").alias("v")), lambda x: x["v"].isNull() & ~is_missing(x["t"]))
+    reason = F.when(blank, "blank").when(F.col("quoting"), "quoting").when(F.size("fields") != F.col("width"), "column_count").when(bad_identifier(fid) | bad_identifier(iid), "identifier").when(bad_value, "value")
+    judged = judged.withColumn("reason", reason)
+    valid = lambda c: F.when(F.col("reason").isNull(), c)
+    # As a generated row, the verdict is not taken apart and repeated by filters that follow.
+    verdict = F.struct(valid(fid).alias("fid"), valid(iid).alias("iid"), valid(F.col("values")).alias("values"), F.col("reason"))
+    return judged.select("file_name", "line_no", "line", F.inline(F.array(verdict))).filter("reason is null or reason <> 'blank'")
 
 
 def classify_fam(lines: DataFrame) -> DataFrame:
-    """file_name, line_no, line, fid, iid, values (empty), reason of each fam record; a null record has no fields."""
-    fam = lines.filter("kind = 'fam'").select("file_name", "line_no", "line").distinct()
+    """file_name, line_no, line, fid, iid, values (empty), reason of each fam record, repeats kept; a null record has no fields."""
+    fam = lines.filter("kind = 'fam'").select("file_name", "line_no", "line")
     stripped = F.regexp_replace(F.coalesce("line", F.lit("")), r"\A[ \t]++|[ \t]++\z", "")
     fields = F.when(stripped == "", F.array().cast("array<string>")).otherwise(F.split(stripped, "[ \t]++", -1))
     first, second = F.get("fields", F.lit(0)), F.get("fields", F.lit(1))
@@ -124,12 +124,19 @@ def classify_fam(lines: DataFrame) -> DataFrame:
 
 
 def classify_lines(lines: DataFrame) -> DataFrame:
-    """All judged records of both kinds. Exact repeats count once; records of other kinds are left out."""
+    """All judged records of both kinds, repeats kept; records of other kinds are left out."""
     return classify_csv(lines).unionByName(classify_fam(lines))
 
 
+def _once(judged: DataFrame, columns: list[str]) -> DataFrame:
+    """Each different record once, told apart by place and a hash of its text."""
+    key = [F.col("file_name"), F.col("line_no"), F.xxhash64("line").alias("_text")]
+    rest = [c for c in columns if c not in ("file_name", "line_no")]
+    return judged.groupBy(*key).agg(*(F.first(c).alias(c) for c in rest)).select(*columns)
+
+
 def split_lines(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(loaded, rejected): the valid records with their values, the others with reason and raw text."""
+    """(loaded, rejected): the valid records with their values, the others with reason and raw text. Exact repeats count once."""
     judged = classify_lines(lines)
-    loaded = judged.filter("reason is null").select("file_name", "line_no", "fid", "iid", "values")
-    return loaded, judged.filter("reason is not null").select("file_name", "line_no", "reason", "line")
+    loaded = _once(judged.filter("reason is null"), ["file_name", "line_no", "fid", "iid", "values"])
+    return loaded, _once(judged.filter("reason is not null"), ["file_name", "line_no", "reason", "line"])

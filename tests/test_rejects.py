@@ -72,6 +72,7 @@ def test_csv_against_automaton(spark):
     rows = [("f.csv", "csv", 1, '﻿"FID",IID,"a, b",c')] + [("f.csv", "csv", n, line) for n, line in enumerate(lines, 2)]
     df = spark.createDataFrame([*rows, rows[5], ("f.csv", "csv", 9_000_000, None)], "file_name string, kind string, line_no int, line string")
     judged = {r["line_no"]: r for r in rejects.classify_lines(df).collect()}
+    assert rejects.split_lines(df)[1].filter("line_no = 6").count() <= 1
     for n, line in enumerate(lines, 2):
         want = csv_reason(line, 4)
         got = judged[n]["reason"] if n in judged else "skip"
