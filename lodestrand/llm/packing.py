@@ -68,22 +68,19 @@ def match(events: DataFrame) -> tuple[DataFrame, DataFrame]:
     ``events`` has kind, width, is_piece and the columns of the result; of a piece container_id is
     -1, of a gap the other columns are null. A piece fits gaps of its width or more.
     """
-    columns = ["kind", "width", "is_piece", "size", "doc_id", "piece_no", "container_id"]
     # Gaps come before pieces of their width, and containers opened first are met last, so they fill first.
-    order = [F.col("kind"), F.col("width").desc(), F.col("is_piece"), F.col("container_id").desc(), F.col("doc_id"), F.col("piece_no")]
-    placed = events.select(*columns).repartitionByRange(*order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id())
+    order = [F.expr(e) for e in ("kind", "-width", "is_piece", "-container_id", "doc_id", "piece_no")]
+    placed = events.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id())
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in placed.schema) + ", matched boolean, rank bigint"
     swept = stored(placed.mapInArrow(_sweep, schema), "swept")
     free = swept.filter("not matched")
-    counts = free.groupBy("kind", "part").agg(F.count_if("is_piece").alias("pieces"), F.count_if(~F.col("is_piece")).alias("gaps"))
-    earlier = Window.partitionBy("kind").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row per partition
-    counts = counts.withColumn("depth", F.coalesce(F.sum(F.col("gaps") - F.col("pieces")).over(earlier), F.lit(0))).drop("gaps")
-    level = F.when(F.col("is_piece"), F.col("depth") - F.col("rank")).otherwise(F.col("depth") - F.col("pieces") + F.col("rank") + 1)
-    on_level = Window.partitionBy("kind", "level").orderBy("part", F.col("is_piece").desc())  # at most two rows per partition
-    gap_before = F.lag(F.when(~F.col("is_piece"), F.col("container_id"))).over(on_level)
-    across = free.join(F.broadcast(counts), ["kind", "part"]).withColumn("level", level).withColumn("container_id", F.when(F.col("is_piece"), gap_before).otherwise(F.col("container_id")))
-    result = [*_PIECE, "container_id"]
-    return swept.filter("matched").select(*result).unionByName(across.filter("is_piece").select(*result)), swept
+    # The counts have a row per partition and kind, so their window is small; a level has at most two rows per partition.
+    counts = free.groupBy("kind", "part").agg(F.expr("count_if(is_piece) pieces"), F.expr("count_if(not is_piece) gaps"))
+    counts = counts.selectExpr("kind", "part", "pieces", "coalesce(sum(gaps - pieces) over (partition by kind order by part rows between unbounded preceding and 1 preceding), 0) depth")
+    across = free.join(F.broadcast(counts), ["kind", "part"]).selectExpr(*free.columns, "if(is_piece, depth - rank, depth - pieces + rank + 1) level")
+    gap_before = "lag(if(is_piece, null, container_id)) over (partition by kind, level order by part, is_piece desc)"
+    across = across.selectExpr(*_PIECE, "is_piece", f"{gap_before} container_id").filter("is_piece").drop("is_piece")
+    return swept.filter("matched").select(*_PIECE, "container_id").unionByName(across), swept
 
 
 def _band(size: Column, capacity: Column) -> Column:
@@ -107,28 +104,26 @@ class _Band:
         return self.pieces if 2 * self.least > capacity else max(1, self.tokens // capacity)
 
 
-def _per_kind(of: list[int]) -> Column:
-    """The value of each kind, by its number."""
-    return F.element_at(F.array(*(F.lit(v).cast("bigint") for v in of)), F.col("kind") + 1)
+def _per_kind(of: list[int]) -> str:
+    """The value of each kind, by its number, in SQL."""
+    return f"element_at(array({', '.join(f'{v}L' for v in of)}), kind + 1)"
 
 
 def _left_over(kinds: int) -> list[Column]:
     """Aggregates of the unplaced pieces of every kind, to be observed while they are written."""
     out = []
     for k in range(kinds):
-        own = F.when((F.col("kind") == k) & F.col("container_id").isNull(), F.col("size"))
-        out += [F.count(own).alias(f"pieces{k}"), F.coalesce(F.sum(own), F.lit(0)).alias(f"tokens{k}"), F.coalesce(F.min(own), F.lit(0)).alias(f"least{k}"), F.coalesce(F.max(own), F.lit(0)).alias(f"most{k}")]
-    return out
+        own = f"if(kind = {k} and container_id is null, size, null)"
+        out += [f"count({own}) pieces{k}", f"coalesce(sum({own}), 0) tokens{k}", f"coalesce(min({own}), 0) least{k}", f"coalesce(max({own}), 0) most{k}"]
+    return [F.expr(e) for e in out]
 
 
 def _new_containers(spark: SparkSession, first: list[int], many: list[int]) -> DataFrame:
     """(kind, container_id) of the containers that each kind opens, as a distributed range."""
-    kind, number, upto = F.lit(None).cast("int"), F.lit(None).cast("bigint"), sum(many)
-    for k in reversed(range(len(many))):
-        upto -= many[k]
-        here = (F.col("id") >= upto) & (F.col("id") < upto + many[k])
-        kind, number = F.when(here, F.lit(k)).otherwise(kind), F.when(here, F.col("id") - upto + first[k]).otherwise(number)
-    return spark.range(sum(many)).select(kind.alias("kind"), number.alias("container_id"))
+    ends = [sum(many[: k + 1]) for k in range(len(many))]
+    kind = "case " + " ".join(f"when id < {end}L then {k}" for k, end in enumerate(ends)) + " end"
+    number = "case " + " ".join(f"when id < {end}L then id + {first[k] - end + many[k]}L" for k, end in enumerate(ends)) + " end"
+    return spark.range(ends[-1]).selectExpr(f"{kind} kind", f"{number} container_id")
 
 
 def pack(sizes: DataFrame, specs: DataFrame, doc_id: str = "doc_id", n_tokens: str = "n_tokens") -> DataFrame:
@@ -177,18 +172,16 @@ def pack(sizes: DataFrame, specs: DataFrame, doc_id: str = "doc_id", n_tokens: s
                 fresh.append((k, band))
         sources = [] if left is None else [left]
         if fresh:
-            chosen = reduce(lambda a, b: a | b, ((F.col("kind") == k) & (F.col("band") == b) for k, b in fresh))
-            sources.append(pieces.filter(chosen).select(*_PIECE))
+            sources.append(pieces.filter(" or ".join(f"(kind = {k} and band = {b})" for k, b in fresh)).select(*_PIECE))
         waiting = reduce(DataFrame.unionByName, sources)
         many = [b.openings(c, w, t) if b else 0 for b, c, w, t in zip(now, capacities, widest, tried, strict=True)]
         most, least = [b.most if b else 1 for b in now], [b.least if b else c + 1 for b, c in zip(now, capacities, strict=True)]
-        new = _new_containers(spark, opened, many).withColumn("gap", _per_kind(capacities))
-        usable = gaps.filter(F.col("gap") >= _per_kind(least)).select("kind", "container_id", "gap").unionByName(new)
-        places = F.greatest(F.lit(1), F.floor(F.col("gap") / _per_kind(most))).cast("bigint")
-        kind_of_id = pieces.schema["doc_id"].dataType
-        slots = usable.withColumn("places", places).withColumn("width", F.floor(F.col("gap") / F.col("places")).cast("bigint")).withColumn("place", F.explode(F.sequence(F.lit(1).cast("bigint"), "places")))
-        events = slots.select("kind", "width", F.lit(False).alias("is_piece"), F.lit(None).cast("bigint").alias("size"), F.lit(None).cast(kind_of_id).alias("doc_id"), F.lit(None).cast("bigint").alias("piece_no"), "container_id").unionByName(
-            waiting.select("kind", F.col("size").alias("width"), F.lit(True).alias("is_piece"), "size", "doc_id", "piece_no", F.lit(-1).cast("bigint").alias("container_id"))
+        capacity = _per_kind(capacities)
+        new = _new_containers(spark, opened, many).selectExpr("kind", "container_id", f"{capacity} gap")
+        usable = gaps.filter(f"gap >= {_per_kind(least)}").unionByName(new)
+        slots = usable.selectExpr("kind", "container_id", "gap", f"greatest(1L, gap div {_per_kind(most)}) places").selectExpr("kind", "gap div places width", "container_id", "explode(sequence(1L, places)) place")
+        events = slots.selectExpr("kind", "width", "false is_piece", "null size", "null doc_id", "null piece_no", "container_id").union(
+            waiting.selectExpr("kind", "size width", "true is_piece", "size", "doc_id", "piece_no", "-1L container_id")
         )
         matched, swept = match(events)
         seen = Observation()
@@ -197,12 +190,11 @@ def pack(sizes: DataFrame, specs: DataFrame, doc_id: str = "doc_id", n_tokens: s
         discard(swept)
         result = spark.read.schema(matched.schema).parquet(here)
 
-        changes = gaps.select("kind", "container_id", F.col("gap").alias("change"), F.lit(True).alias("known"))
-        changes = changes.unionByName(result.filter("container_id is not null").select("kind", "container_id", (-F.col("size")).alias("change"), F.lit(False).alias("known")))
-        gap = F.sum("change") + F.when(F.bool_or("known"), 0).otherwise(F.first(_per_kind(capacities)))
+        changes = gaps.selectExpr("kind", "container_id", "gap change", "true known").union(result.filter("container_id is not null").selectExpr("kind", "container_id", "-size", "false"))
+        after = changes.groupBy("kind", "container_id").agg(F.expr("sum(change) change"), F.expr("bool_or(known) known"))
+        after = after.selectExpr("kind", "container_id", f"change + if(known, 0L, {capacity}) gap").filter(f"gap >= {_per_kind(smallest)}")
         width = Observation()
-        after = changes.groupBy("kind", "container_id").agg(gap.alias("gap")).filter(F.col("gap") >= _per_kind(smallest))
-        before, gaps = gaps, stored(after.observe(width, *(F.coalesce(F.max(F.when(F.col("kind") == k, F.col("gap"))), F.lit(0)).alias(f"w{k}") for k in range(len(kinds)))), "gaps")
+        before, gaps = gaps, stored(after.observe(width, *(F.expr(f"coalesce(max(if(kind = {k}, gap, null)), 0) w{k}") for k in range(len(kinds)))), "gaps")
         discard(before)
         rest, wide = seen.get, width.get
         for k in range(len(kinds)):
