@@ -266,7 +266,7 @@ def burden_and_acat(spark: SparkSession, sf_dir: str) -> DataFrame:
 def skat_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SKAT p-values of balance's masks of two variants, away from the middle where another formula holds."""
     long = _set_tests(spark, sf_dir)[0].filter("test = 'S' and n_variants = 2 and (p < 0.29 or p > 0.41)")
-    return long.select("gene_name", "mask", "beta", "annotation", _r("p", 5))
+    return long.select("gene_name", "mask", "beta", "annotation", _r("p", 4))
 
 
 def gene_table(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -499,13 +499,13 @@ _BINARY = f"""
 
 #: Least squares of balance and number of orders on nation, and the joint test of both.
 _JOINT = f"""
-    both AS (SELECT sample_idx, balance y1, n_orders y2, nation x1 FROM traits JOIN covariates_of USING (sample_idx) WHERE balance IS NOT NULL AND n_orders IS NOT NULL),
+    jointly AS (SELECT sample_idx, balance y1, n_orders y2, nation x1 FROM traits JOIN covariates_of USING (sample_idx) WHERE balance IS NOT NULL AND n_orders IS NOT NULL),
     jfit AS (
       SELECT b / det i00, -a / det i01, n / det i11, (b * p1 - a * q1) / det c10, (n * q1 - a * p1) / det c11, (b * p2 - a * q2) / det c20, (n * q2 - a * p2) / det c21
-      FROM (SELECT *, n * b - a * a det FROM (SELECT count(*)::DOUBLE n, sum(x1) a, sum(x1 * x1) b, sum(y1) p1, sum(x1 * y1) q1, sum(y2) p2, sum(x1 * y2) q2 FROM both))),
-    jresid AS (SELECT sample_idx, x1, y1 - c10 - c11 * x1 r1, y2 - c20 - c21 * x1 r2 FROM both, jfit),
+      FROM (SELECT *, n * b - a * a det FROM (SELECT count(*)::DOUBLE n, sum(x1) a, sum(x1 * x1) b, sum(y1) p1, sum(x1 * y1) q1, sum(y2) p2, sum(x1 * y2) q2 FROM jointly))),
+    jresid AS (SELECT sample_idx, x1, y1 - c10 - c11 * x1 r1, y2 - c20 - c21 * x1 r2 FROM jointly, jfit),
     jcov AS (SELECT s11, s12, s22, s11 * s22 - s12 * s12 det FROM (SELECT sum(r1 * r1) / (count(*) - 2) s11, sum(r1 * r2) / (count(*) - 2) s12, sum(r2 * r2) / (count(*) - 2) s22 FROM jresid)),
-    {_frequency_sql('both', 'jf')},
+    {_frequency_sql("jointly", "jf")},
     jdense AS (
       SELECT f.variant_idx, f.initial_mac, f.maf, c.r1, c.r2, c.x1, CASE WHEN coalesce(state, 0) >= 3 THEN 2 * maf WHEN counts_alt THEN coalesce(state, 0) ELSE 2 - coalesce(state, 0) END g
       FROM jf f CROSS JOIN jresid c LEFT JOIN calls k ON k.variant_idx = f.variant_idx AND k.sample_idx = c.sample_idx),
@@ -550,7 +550,7 @@ ORACLE = {
            FROM (SELECT *, (score1 * a1 + score2 * a2) / v q FROM jtests)""",
         _JOINT,
     ),
-    "skat_pairs": _with("SELECT gene_name, mask, beta, annotation, round(p, 5) + 0.0 p FROM skat_p WHERE p < 0.29 OR p > 0.41", _MEMBERS, _DENSE, _RARE_BALANCE, _WEIGHTED, _PAIRS),
+    "skat_pairs": _with("SELECT gene_name, mask, beta, annotation, round(p, 4) + 0.0 p FROM skat_p WHERE p < 0.29 OR p > 0.41", _MEMBERS, _DENSE, _RARE_BALANCE, _WEIGHTED, _PAIRS),
     "null_logistic": _with("SELECT 'building' trait, (SELECT count(*) FROM units) n, round(b0, 6) b0, round(b1, 6) b1, round(b2, 6) b2, true at_optimum FROM beta9", _newton_sql(9)),
     "single_variant_p": _with(
         f"SELECT variant_idx, round(p, 8) + 0.0 pvalue, round(-log10(p), 4) + 0.0 pvalue_log10 FROM (SELECT cf.variant_idx, {_erfc('(abs(score) / sqrt(2 * variance))')} p FROM cf JOIN tests t ON t.variant_idx = cf.variant_idx WHERE initial_mac >= 20 AND maf > 0 AND maf < 1)", _DENSE
