@@ -26,8 +26,8 @@ from .skew import skew_join
 BLOCK_ROWS = 8_192
 BATCH_TESTS = 128
 #: Points of a bracket that one round tries.
-BISECTION_POINTS = 15
-NEWTON_ROUNDS = 25
+BISECTION_POINTS = 63
+NEWTON_ROUNDS = 12
 
 # Fixed values of the method: the bracket of a bisection, the steps beyond which Newton's are given
 # up, and the smallest saddlepoint at which the tail formula holds.

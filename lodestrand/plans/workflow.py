@@ -8,10 +8,10 @@ from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import annotations, association, genotypes, identity, kinship, masks, null_models, set_tests
+from ..operators import annotations, association, genotypes, identity, joint, kinship, masks, null_models, set_tests
 from ..operators.ranking import inverse_normal
 from ..session import ship_package, stored
 from ..sources import files, plink
@@ -157,14 +157,15 @@ def _saved_report(spark: SparkSession, place: str) -> dict | None:
         return None
 
 
-def run_all(spark: SparkSession, phenotype_csv: str, covariate_csv: str, prepared: str, output: str, traits: dict[str, Sequence[str]] | None = None, families: dict[str, str] | None = None, chromosomes: Sequence[str] | None = None, analyses: Sequence[str] = ("single", "coding", "noncoding", "ncrna"), annotation_names: Sequence[str] = (), transform: str = "none", null_fit_mode: str = "ordinary", grm: tuple[DataFrame, DataFrame] | None = None, gene_variant_type: str = "SNV", mac_cutoff: float = 20, rare_maf_cutoff: float = 0.01, rv_num_cutoff: int = 2, imputation: str = "mean", long_mask_threshold: int = 5000, long_mask_rank: int = 512, maximum_mask_variants: int | None = None) -> dict:
+def run_all(spark: SparkSession, phenotype_csv: str, covariate_csv: str, prepared: str, output: str, traits: dict[str, Sequence[str]] | None = None, families: dict[str, str] | None = None, chromosomes: Sequence[str] | None = None, analyses: Sequence[str] = ("single", "coding", "noncoding", "ncrna"), annotation_names: Sequence[str] = (), transform: str = "none", null_fit_mode: str = "ordinary", grm: tuple[DataFrame, DataFrame] | None = None, gene_variant_type: str = "SNV", mac_cutoff: float = 20, rare_maf_cutoff: float = 0.01, rv_num_cutoff: int = 2, imputation: str = "mean", long_mask_threshold: int = 5000, long_mask_rank: int = 512, maximum_mask_variants: int | None = None, joint_groups: Sequence[Sequence[str]] = ()) -> dict:
     """Fit the null models of all traits and write every analysis under ``output``; returns (and writes) a report of row counts.
 
     ``traits`` maps phenotype to covariate columns (default: all of both; they may differ by trait),
     ``families`` overrides the family that 0/1 values imply, ``transform`` is none, rint or paper for
     continuous traits, ``null_fit_mode`` ordinary or mixed (with ``grm`` = diagonal, edges). Binary
-    traits have burdens only, with saddlepoint p-values in single-variant tests and burdens. Gene
-    tables are in the order of chromosomes and of the gene list. An output with the report of the
+    traits have burdens only, with saddlepoint p-values in single-variant tests and burdens. Each of
+    ``joint_groups`` names continuous traits with the same covariates that are also tested together
+    (by least squares, as one trait named after all of them). Gene tables are in the order of chromosomes and of the gene list. An output with the report of the
     same inputs and parameters is not written again; one of others is an error.
     """
     ship_package(spark)
@@ -179,7 +180,7 @@ def run_all(spark: SparkSession, phenotype_csv: str, covariate_csv: str, prepare
     settings = {
         "dataset": data.prints, "phenotypes": _print_of(phenotypes), "covariates": _print_of(covariates), "grm": [_print_of(g) for g in grm or ()], "traits": {t: list(c) for t, c in traits.items()}, "families": families, "chromosomes": chromosomes,
         "analyses": sorted(analyses), "annotation_names": list(annotation_names), "transform": transform, "null_fit_mode": null_fit_mode, "gene_variant_type": gene_variant_type, "mac_cutoff": mac_cutoff, "rare_maf_cutoff": rare_maf_cutoff, "rv_num_cutoff": rv_num_cutoff,
-        "imputation": imputation, "long_mask_threshold": long_mask_threshold, "long_mask_rank": long_mask_rank, "maximum_mask_variants": maximum_mask_variants,
+        "imputation": imputation, "long_mask_threshold": long_mask_threshold, "long_mask_rank": long_mask_rank, "maximum_mask_variants": maximum_mask_variants, "joint_groups": [list(g) for g in joint_groups],
     }
     mark = hashlib.sha256(json.dumps(settings, sort_keys=True, default=str).encode()).hexdigest()
     before = _saved_report(spark, f"{output}/report")
@@ -200,6 +201,7 @@ def run_all(spark: SparkSession, phenotype_csv: str, covariate_csv: str, prepare
     members = {kind: stored(_by_chromosome(rows(), variants), "members") for kind, rows in members.items() if kind in analyses}
     results: dict[str, list[DataFrame]] = {}
     found: dict[str, str] = {}
+    waiting = [tuple(g) for g in joint_groups]
     for design, p in designs_of(data, phenotypes, covariates, traits):
         family_of = {r["trait"]: r["family"] for r in identity.quality_summary(design).collect()}  # a row per trait
         family_of |= {t: f for t, f in (families or {}).items() if t in family_of}
@@ -208,6 +210,10 @@ def run_all(spark: SparkSession, phenotype_csv: str, covariate_csv: str, prepare
             rows = design.filter(F.col("trait").isin([t for t, f in family_of.items() if f == family]))
             if family == "gaussian" and transform != "none":
                 rows = null_models.residual_inverse_normal(rows, p) if transform == "paper" else _rint(rows)
+            for group in [g for g in waiting if family == "gaussian" and all(family_of.get(t) == family for t in g)]:
+                waiting.remove(group)
+                for kind, table in _joint_results(calls, joint.fit_joint(rows, group, p), variants, members, phred, names, "single" in analyses, mac_cutoff, rare_maf_cutoff, rv_num_cutoff, imputation).items():
+                    results.setdefault(kind, []).append(table.withColumn("trait", F.lit("+".join(group))))
             if null_fit_mode == "mixed":
                 fit = kinship.fit_mixed_linear if family == "gaussian" else kinship.fit_mixed_logistic
                 null = fit(rows, *kinship.subset(*grm, rows), p)
@@ -228,12 +234,14 @@ def run_all(spark: SparkSession, phenotype_csv: str, covariate_csv: str, prepare
                     results.setdefault(f"{kind}_binary", []).append(burdens.drop("score", "variance"))
                     results.setdefault(f"{kind}_binary_summaries", []).append(set_tests.binary_names(burdens))
 
+    if waiting:
+        raise ValueError(f"joint traits need the same covariates and continuous values: {waiting}")
     report = {"identity": mark, "traits": found, "rows": {}}
     for name, frames in results.items():
         table = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
-        if name == "single":
+        if name in ("single", "single_joint"):
             table = stored(table, name)
-            order = [F.col("trait"), *_chromosome_order("chrom"), *(F.col(c) for c in association.SINGLE_ORDER[2:])]
+            order = [F.col("trait"), *_chromosome_order("chrom"), *(F.col(c) for c in association.SINGLE_ORDER[2:] if c in table.columns)]
         else:
             gene = "Gene name" if "Gene name" in table.columns else "gene_name"
             table = stored(_in_catalogue(table, gene, data.ncrnas if name.startswith("ncrna") else data.genes), name)
@@ -246,6 +254,20 @@ def run_all(spark: SparkSession, phenotype_csv: str, covariate_csv: str, prepare
     return report
 
 
+def _joint_results(calls: DataFrame, model: joint.JointModel, variants: DataFrame, members: dict[str, DataFrame], phred: Column, names: Sequence[str], single: bool, mac_cutoff: float, cutoff: float, at_least: int, imputation: str) -> dict[str, DataFrame]:
+    """Single-variant and mask results of traits tested together; masks in long form, elementary and combined."""
+    out = {}
+    if single:
+        out["single_joint"] = joint.joint_single(calls, model, mac_cutoff, imputation).join(variants.select("variant_idx", "chrom", "pos", "ref", "alt"), "variant_idx")
+    test = F.element_at(F.create_map(*(F.lit(x) for pair in set_tests.TESTS.items() for x in pair)), F.col("test"))
+    name = F.concat(test, F.lit("("), "beta", F.lit(")"), F.when(F.col("annotation") != "", F.concat(F.lit("-"), "annotation")).otherwise(""))
+    for kind, of_kind in members.items():
+        long = stored(joint.joint_set_tests(calls, model, variants, of_kind, phred, names, cutoff, at_least, imputation), "joint")
+        each = long.select("gene_name", "mask", name.alias("name"), "p")
+        out[f"{kind}_joint"] = each.unionByName(set_tests.omnibus(long.withColumn("trait", F.lit(""))).drop("trait"))
+    return out
+
+
 def _by_chromosome(members: DataFrame, variants: DataFrame) -> DataFrame:
     """Members whose gene_name carries its chromosome, so that genes of one name on two chromosomes stay apart."""
     return members.join(variants.select("variant_idx", "chrom"), "variant_idx").select(F.concat_ws(":", "chrom", "gene_name").alias("gene_name"), "mask", "variant_idx")

@@ -53,7 +53,7 @@ def study(tmp_path_factory):
     (where / "rna.csv").write_text("chr,ncRNA\n5,LINC\nchr11,MIR\n5,ANTI\n")
     (where / "promoters.tsv").write_text("# made up\nchromosome\tstart\tend\n5\t3\t9\nchr11\t20\t40\n")
     rng = np.random.default_rng(11)
-    (where / "y.csv").write_text("FID,IID,grip,case\n" + "".join(f"{f},{i},{rng.normal():.6f},{k % 2}\n" for k, (f, i) in enumerate(PEOPLE)), encoding="utf-8")
+    (where / "y.csv").write_text("FID,IID,grip,bone,case\n" + "".join(f"{f},{i},{rng.normal():.6f},{rng.normal():.6f},{k % 2}\n" for k, (f, i) in enumerate(PEOPLE)), encoding="utf-8")
     (where / "x.csv").write_text("FID,IID,age,one\n" + "".join(f"{f},{i},{rng.normal():.6f},1\n" for f, i in PEOPLE), encoding="utf-8")
     return where, made
 
@@ -216,9 +216,9 @@ def test_two_chromosomes_equal_separate_runs(spark, study, tmp_path):
     for name, chroms in (("both", ("5", "11")), ("only5", ("5",)), ("only11", ("11",))):
         prepare(spark, where, chroms, tmp_path / name)
         out = str(tmp_path / f"{name}-results")
-        args = dict(analyses=("single", "coding"), traits={"grip": ["age", "one"], "case": ["age"]}, annotation_names=["CADD"], mac_cutoff=1, rare_maf_cutoff=0.6)
+        args = dict(analyses=("single", "coding"), traits={"grip": ["age", "one"], "bone": ["age", "one"], "case": ["age"]}, joint_groups=[("grip", "bone")], annotation_names=["CADD"], mac_cutoff=1, rare_maf_cutoff=0.6)
         report = workflow.run_all(spark, str(where / "y.csv"), str(where / "x.csv"), str(tmp_path / name), out, **args)
-        assert report["traits"] == {"grip": "gaussian", "case": "binomial"}
+        assert report["traits"] == {"grip": "gaussian", "bone": "gaussian", "case": "binomial"}
         rows[name] = {kind: spark.read.csv(f"{out}/{kind}", header=True).drop("variant_idx").collect() for kind in report["rows"]}
         if name == "both":
             data = workflow.Dataset(spark, str(tmp_path / name))
@@ -229,11 +229,12 @@ def test_two_chromosomes_equal_separate_runs(spark, study, tmp_path):
             with pytest.raises(ValueError, match="other inputs"):
                 workflow.run_all(spark, str(where / "y.csv"), str(where / "x.csv"), str(tmp_path / name), out, **(args | {"mac_cutoff": 2}))
     close = lambda r: tuple(f"{float(v):.9g}" if v and v.replace(".", "").replace("e-", "").replace("-", "").isdigit() else v for v in r)
-    assert {"single", "coding", "coding_binary", "coding_binary_summaries"} <= set(rows["both"])
+    assert {"single", "single_joint", "coding", "coding_joint", "coding_binary", "coding_binary_summaries"} == set(rows["both"])
+    assert {r["trait"] for r in rows["both"]["coding_joint"]} == {"grip+bone"}
     for kind, both in rows["both"].items():
         apart = rows["only5"][kind] + rows["only11"][kind]
         assert sorted(map(str, map(close, both))) == sorted(map(str, map(close, apart))), kind
-    coding = rows["both"]["coding"]
+    coding = [r for r in rows["both"]["coding"] if r["trait"] == "grip"]
     assert {(r["Chr"], r["Gene name"]) for r in coding} == {("5", "TAIL"), ("5", "SAME"), ("11", "TAIL"), ("11", "SAME")}
     order = [(r["Chr"], r["Gene name"]) for r in coding]
     assert order == sorted(order, key=lambda x: (int(x[0]), x[1] != "TAIL"))
